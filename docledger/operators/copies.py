@@ -26,13 +26,25 @@ def first_documents(docs: DataFrame) -> DataFrame:
 def mark_copies(docs: DataFrame) -> DataFrame:
     """Add `is_copy`: true for every document whose bytes an earlier one has.
 
-    The flag travels back over `file_path`, which is unique, so a hash that holds
-    a third of all documents never meets in one task.
+    Two rounds. Inside a hash the rows are first spread over `buckets` by path; the
+    first row of each bucket is a candidate, all others are copies for certain. Then
+    only the candidates of a hash, at most `buckets` of them, meet to find the first.
+    So a hash that holds a third of all documents never lands in one task, and the
+    documents are read once.
     """
-    firsts = first_documents(docs).select("file_path", F.lit(False).alias("is_copy"))
-    return docs.join(firsts, "file_path", "left").withColumn(
-        "is_copy", F.coalesce("is_copy", F.lit(True))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("file_path"), F.lit(buckets))
+    order = ["file_name", "file_path"]
+    inside = Window.partitionBy("file_hash", "bucket").orderBy(*order)
+    across = Window.partitionBy("file_hash", "round").orderBy(*order)
+    candidates = docs.withColumn("bucket", bucket).withColumn(
+        "candidate", F.row_number().over(inside) == 1
     )
+    ranked = candidates.withColumn(
+        "round", F.when(F.col("candidate"), -1).otherwise(F.col("bucket"))
+    ).withColumn("place", F.row_number().over(across))
+    first = F.col("candidate") & (F.col("place") == 1)
+    return ranked.withColumn("is_copy", ~first).drop("bucket", "candidate", "round", "place")
 
 
 def new_documents(docs: DataFrame, seen: DataFrame) -> DataFrame:
