@@ -21,10 +21,17 @@ CURRENCY_SYMBOLS = {
 CODE_WORD = r"(?U)\b[A-Z]{3}\b"
 
 
-def normalize_currency(text: Column) -> Column:
-    """Symbol, else first three-letter word, else the cleaned text; null when empty."""
-    cleaned = F.upper(strip(text))
+def clean_currency_text(text: Column) -> Column:
+    return F.upper(strip(text))
+
+
+def normalize_clean_currency(cleaned: Column) -> Column:
+    """Symbol, else first three-letter word, else the cleaned text."""
     symbols = F.create_map(*[F.lit(x) for pair in CURRENCY_SYMBOLS.items() for x in pair])
-    code = F.nullif(F.regexp_extract(cleaned, CODE_WORD, 0), F.lit(""))
-    known = F.coalesce(F.try_element_at(symbols, cleaned), code, cleaned)
-    return F.when(text != "", known)
+    word = F.regexp_substr(cleaned, F.lit(CODE_WORD))
+    return F.coalesce(F.try_element_at(symbols, cleaned), word, cleaned)
+
+
+def normalize_currency(text: Column) -> Column:
+    """The currency code that `text` stands for; null when it is empty."""
+    return F.when(text != "", normalize_clean_currency(clean_currency_text(text)))

@@ -2,64 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions.text import strip
 
 # Accepted layouts in order of preference, day before month. The
-# guard keeps out what Spark's formatter would take but the contract refuses
+# guards keep out what Spark's formatter would take but the contract refuses
 # (missing zeros in ISO dates, two-digit years, the year 0000, trailing text).
 _YEAR = r"(?!0000)\d{4}"
+ISO_DATE = rf"^{_YEAR}-\d\d-\d\d$"
+ISO_WEEK = rf"^{_YEAR}(-W\d\d(-[1-7])?|W\d\d[1-7]?)$"
 DATE_LAYOUTS = (
-    (rf"^{_YEAR}-\d{{2}}-\d{{2}}$", "yyyy-MM-dd"),
-    (rf"^{_YEAR}\d{{4}}$", "yyyyMMdd"),
-    (rf"^{_YEAR}/\d{{1,2}}/\d{{1,2}}$", "yyyy/M/d"),
-    (rf"^\d{{1,2}}\.\d{{1,2}}\.{_YEAR}$", "d.M.yyyy"),
-    (rf"^\d{{1,2}}/\d{{1,2}}/{_YEAR}$", "d/M/yyyy"),
-    (rf"^\d{{1,2}}/\d{{1,2}}/{_YEAR}$", "M/d/yyyy"),
-    (rf"^\d{{1,2}}-\d{{1,2}}-{_YEAR}$", "d-M-yyyy"),
-    (rf"^\d{{1,2}} [A-Za-z]+ {_YEAR}$", "d MMM yyyy"),
-    (rf"^\d{{1,2}} [A-Za-z]+ {_YEAR}$", "d MMMM yyyy"),
-    (rf"^[A-Za-z]+ \d{{1,2}}, {_YEAR}$", "MMMM d, yyyy"),
-    (rf"^[A-Za-z]+ \d{{1,2}}, {_YEAR}$", "MMM d, yyyy"),
+    (rf"^{_YEAR}\d{{4}}$", ("yyyyMMdd",)),
+    (rf"^{_YEAR}/\d\d?/\d\d?$", ("yyyy/M/d",)),
+    (rf"^\d\d?\.\d\d?\.{_YEAR}$", ("d.M.yyyy",)),
+    (rf"^\d\d?/\d\d?/{_YEAR}$", ("d/M/yyyy", "M/d/yyyy")),
+    (rf"^\d\d?-\d\d?-{_YEAR}$", ("d-M-yyyy",)),
+    (rf"^\d\d? [A-Za-z]+ {_YEAR}$", ("d MMM yyyy", "d MMMM yyyy")),
+    (rf"^[A-Za-z]+ \d\d?, {_YEAR}$", ("MMMM d, yyyy", "MMM d, yyyy")),
 )
-ISO_WEEK = rf"^{_YEAR}(-W\d{{2}}(-\d)?|W\d{{2}}\d?)$"
 
 
-def _first_monday(year: Column) -> Column:
-    """Monday of ISO week 1: the week that holds 4 January."""
-    fourth = F.make_date(year, F.lit(1), F.lit(4))
-    return F.date_sub(fourth, F.weekday(fourth))
+def _iso_week_date(text: Column) -> Column:
+    """`2024-W03-2`, `2024W032` or without the day, which then is Monday.
+
+    Week 1 is the week of 4 January. A week number that the year does not have gives
+    a date in another week, and that gives it away.
+    """
+    digits = F.rpad(F.translate(text, "-W", ""), 7, "1")
+    year, week, day = (
+        F.substring(digits, start, length).try_cast("int")
+        for start, length in ((1, 4), (5, 2), (7, 1))
+    )
+    monday = F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week")
+    found = F.date_add(monday, week * 7 + day - 8)
+    return F.when((F.weekofyear(found) == week) & (F.year(found) <= 9999), found)
 
 
-def _iso_week_date(text: Column) -> Column:
-    def number(pattern: str) -> Column:
-        return F.regexp_extract(text, pattern, 1).try_cast("int")
-
-    year, week = number(r"^(\d{4})"), number(r"W(\d{2})")
-    day = F.coalesce(number(r"W\d{2}-?(\d)$"), F.lit(1))
-    start = _first_monday(year)
-    found = F.date_add(start, (week - 1) * 7 + day - 1)
-    in_range = (
-        week.between(1, 53)
-        & day.between(1, 7)
-        & (F.date_add(start, (week - 1) * 7) < _first_monday(year + 1))
-        & (F.year(found) <= 9999)
+def clean_date_text(text: Column) -> Column:
+    """Stripped, with runs of white space as one space.
+
+    The runs only matter for the layouts with a month name: the others have no space
+    and fail on any.
+    """
+    return F.regexp_replace(strip(text), r"(?U)\s+", " ")
+
+
+def parse_clean_date(cleaned: Column) -> Column:
+    """First layout that yields a calendar date wins; otherwise null."""
+    found = F.when(cleaned.rlike(ISO_DATE), cleaned.try_cast("date")).when(
+        cleaned.rlike(ISO_WEEK), _iso_week_date(cleaned)
     )
-    return F.when(in_range, found)
+    for guard, layouts in DATE_LAYOUTS:
+        dates = [F.try_to_date(cleaned, layout) for layout in layouts]
+        found = found.when(cleaned.rlike(guard), F.coalesce(*dates))
+    return found
 
 
 def parse_date(text: Column) -> Column:
-    """First layout that yields a calendar date wins; otherwise null.
+    return parse_clean_date(clean_date_text(text))
+
+
+def with_parsed_dates(df: DataFrame, **columns: str) -> DataFrame:
+    """Add a parsed date per `new=source` pair.
 
-    White space runs count as one space, which only matters for the layouts with
-    a month name: the others have no space and fail on any.
+    The cleaned texts get a projection of their own, so that the many tests on them
+    do not clean the text again each time.
     """
-    cleaned = F.regexp_replace(strip(text), r"(?U)\s+", " ")
-    tries = [
-        F.when(cleaned.rlike(guard), F.try_to_date(cleaned, layout))
-        for guard, layout in DATE_LAYOUTS
-    ]
-    week = F.when(cleaned.rlike(ISO_WEEK), _iso_week_date(cleaned))
-    return F.coalesce(*tries[:2], week, *tries[2:])
+    cleaned = {f"_{new}": clean_date_text(F.col(source)) for new, source in columns.items()}
+    parsed = {new: parse_clean_date(F.col(f"_{new}")) for new in columns}
+    return df.withColumns(cleaned).withColumns(parsed).drop(*cleaned)

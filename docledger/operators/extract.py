@@ -54,49 +54,67 @@ def build_request(file_name: Column, text: Column) -> Column:
 # --- labels ----------------------------------------------------------------------------
 
 # The label layout. One label per line, the supplier on the first line.
-LABELS = {
-    "supplier_name": r"\A\s*(\S[^\r\n]*)",
-    "invoice_number": r"(?im)^[ \t]*invoice[ \t]*(?:number|no\.?|#)[ \t]*:[ \t]*(\S[^\r\n]*)$",
-    "invoice_date": r"(?im)^[ \t]*invoice date[ \t]*:[ \t]*(\S[^\r\n]*)$",
-    "due_date": r"(?im)^[ \t]*due date[ \t]*:[ \t]*(\S[^\r\n]*)$",
-    "amount": r"(?im)^[ \t]*total amount[ \t]*:[ \t]*(-?[0-9][0-9,]*(?:\.[0-9]+)?)",
-    "currency": r"(?im)^[ \t]*currency[ \t]*:[ \t]*(\S[^\r\n]*)$",
-    "amount_currency": r"(?im)^[ \t]*total amount[ \t]*:[ \t]*-?[0-9][0-9,.]*[ \t]*(\S[^\r\n]*)$",
-}
+LABEL_LINE = (
+    r"(?im)^[ \t]*(invoice (?:number|no\.?|#)|invoice date|due date|currency|total amount)"
+    r"[ \t]*:[ \t]*(\S[^\r\n]*)$"
+)
+NUMBER_LABELS = ("invoice number", "invoice no", "invoice no.", "invoice #")
+FIRST_LINE = r"\S[^\r\n]*"
+AMOUNT = r"^(-?[0-9][0-9,]*(?:\.[0-9]+)?)[ \t]*(.*)$"
 
 
-def label_record(text: Column) -> Column:
-    """Read the labelled lines of a document; a missing label gives null."""
+def with_label_record(docs: DataFrame) -> DataFrame:
+    """Add `record` from the labelled lines of `raw_text`; a missing label gives null.
 
-    def found(label: str) -> Column:
-        return F.nullif(strip(F.regexp_extract(text, LABELS[label], 1)), F.lit(""))
+    The first line of each label counts. Two passes over the text find all labels and
+    their values; what follows works on those few strings.
+    """
+    text = F.col("raw_text")
+    lines = docs.withColumns(
+        {
+            "_first": strip(F.regexp_substr(text, F.lit(FIRST_LINE))),
+            "_labels": F.transform(F.regexp_extract_all(text, F.lit(LABEL_LINE), F.lit(1)), F.lower),
+            "_values": F.regexp_extract_all(text, F.lit(LABEL_LINE), F.lit(2)),
+        }
+    )
 
-    return _record(
+    def value(label: str) -> Column:
+        place = F.nullif(F.array_position("_labels", F.lit(label)).cast("int"), F.lit(0))
+        return strip(F.try_element_at("_values", place))
+
+    labels = {"number": value(NUMBER_LABELS[0]), "amount": value("total amount")}
+    found = lines.withColumns({f"_{name}": column for name, column in labels.items()})
+    amount = F.regexp_extract("_amount", AMOUNT, 1)
+    record = _record(
         {
-            "supplier_name": found("supplier_name"),
-            "invoice_number": found("invoice_number"),
-            "invoice_date": found("invoice_date"),
-            "due_date": found("due_date"),
-            "total_amount": F.regexp_replace(found("amount"), ",", "").try_cast("double"),
-            "currency": F.coalesce(found("currency"), found("amount_currency")),
+            "supplier_name": F.col("_first"),
+            "invoice_number": F.coalesce("_number", *[value(x) for x in NUMBER_LABELS[1:]]),
+            "invoice_date": value("invoice date"),
+            "due_date": value("due date"),
+            "total_amount": F.translate(amount, ",", "").try_cast("double"),
+            "currency": F.coalesce(
+                value("currency"),
+                F.regexp_substr(F.regexp_extract("_amount", AMOUNT, 2), F.lit(r".+")),
+            ),
             "confidence_score": F.lit(1.0),
         }
     )
+    return found.withColumn("record", record).select(*docs.columns, "record")
 
 
 def label_extractor() -> Extractor:
     def apply(docs: DataFrame) -> DataFrame:
-        error = _blank_error()
-        record = F.when(error.isNull(), label_record(F.col("raw_text")))
-        return docs.withColumns({"record": record, "extract_error": error})
+        read = with_label_record(docs).withColumn("extract_error", _blank_error())
+        usable = F.when(F.col("extract_error").isNull(), F.col("record"))
+        return read.withColumn("record", usable)
 
     return Extractor(apply, native=True)
 
 
 # --- stored model responses --------------------------------------------------------------
 
-NUMBER_TYPES = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
-NUMBER_TEXT = r"^(?i:[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|[+-]?inf(inity)?|nan)$"
+NUMBER_TEXT = r"^\s*(?i:[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|[+-]?inf(inity)?|nan)\s*$"
+RESPONSE = ", ".join(f"{name} VARIANT" for name in RAW_EXTRACTION.names) + ", _bad STRING"
 
 
 def parse_response(docs: DataFrame, response: str) -> DataFrame:
@@ -104,69 +122,53 @@ def parse_response(docs: DataFrame, response: str) -> DataFrame:
 
     Unknown fields are ignored and absent ones take their default. A response that
     is no JSON object, gives a text field another type, an amount that is no number
-    or a confidence outside 0 to 1 (or null) fails as a whole.
+    or a confidence outside 0 to 1 (or null) fails as a whole. Variant fields keep
+    what the text says: absent is null, JSON null is VOID, and types stay apart.
     """
-    parsed = docs.withColumn("_json", F.try_parse_json(response))
-
-    def field(name: str) -> Column:
-        return F.try_variant_get("_json", f"$.{name}", "variant")
+    parsed = docs.withColumn(
+        "_json", F.from_json(response, RESPONSE, {"columnNameOfCorruptRecord": "_bad"})
+    )
+    body = strip(F.col(response))
+    is_object = F.col("_json._bad").isNull() & body.startswith("{") & body.endswith("}")
 
-    def kind(name: str) -> Column:
-        return F.schema_of_variant(field(name))
+    def field(name: str, dtype: str) -> Column:
+        return F.try_variant_get(f"_json.{name}", "$", dtype)
 
+    kinds = {f"_{n}_kind": F.schema_of_variant(f"_json.{n}") for n in RAW_EXTRACTION.names}
+    texts = {f"_{n}": field(n, "string") for n in TEXT_FIELDS}
+    numbers = {f"_{n}": field(n, "double") for n in ("total_amount", "confidence_score")}
     typed = parsed.withColumns(
-        {
-            "_is_object": F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False)),
-            **{f"_{name}_kind": kind(name) for name in RAW_EXTRACTION.names},
-            **{
-                f"_{name}": F.try_variant_get("_json", f"$.{name}", "string")
-                for name in RAW_EXTRACTION.names
-            },
-        }
+        {"_is_object": F.coalesce(is_object, F.lit(False)), **kinds, **texts, **numbers}
     )
 
-    def empty(name: str) -> Column:
-        """Absent (no type at all) or JSON null."""
-        return F.coalesce(F.col(f"_{name}_kind"), F.lit("VOID")) == "VOID"
-
-    def is_text(name: str) -> Column:
-        return empty(name) | (F.col(f"_{name}_kind") == "STRING")
+    def number(name: str) -> Column:
+        quoted = F.col(f"_{name}_kind") == "STRING"
+        odd = quoted & ~field(name, "string").rlike(NUMBER_TEXT)
+        return F.when(~F.coalesce(odd, F.lit(False)), F.col(f"_{name}"))
 
-    def as_number(name: str) -> Column:
-        plain = F.when(
-            F.col(f"_{name}_kind").rlike(NUMBER_TYPES),
-            F.try_variant_get("_json", f"$.{name}", "double"),
-        )
-        flag = F.when(F.col(f"_{name}_kind") == "BOOLEAN", (F.col(f"_{name}") == "true").cast("double"))
-        text = strip(F.col(f"_{name}"))
-        quoted = F.when(
-            (F.col(f"_{name}_kind") == "STRING") & text.rlike(NUMBER_TEXT), text.try_cast("double")
-        )
-        return F.coalesce(plain, flag, quoted)
-
-    numbers = typed.withColumns({"_amount": as_number("total_amount")}).withColumn(
-        "_confidence",
-        F.when(F.col("_confidence_score_kind").isNull() & F.col("_is_object"), F.lit(1.0)).otherwise(
-            as_number("confidence_score")
-        ),
-    )
-    bad_text = [F.when(~is_text(name), F.lit(name)) for name in TEXT_FIELDS]
-    bad_amount = F.when(
-        ~empty("total_amount") & F.col("_amount").isNull(), F.lit("total_amount")
+    confidence = F.when(F.col("_confidence_score_kind").isNull(), 1.0).otherwise(
+        number("confidence_score")
     )
-    bad_confidence = F.when(
-        ~F.coalesce(F.col("_confidence").between(0.0, 1.0), F.lit(False)), F.lit("confidence_score")
+    bound = typed.withColumns({"_amount": number("total_amount"), "_confidence": confidence})
+    flaws = [
+        F.when(~F.col(f"_{name}_kind").isin("STRING", "VOID"), F.lit(name)) for name in TEXT_FIELDS
+    ]
+    flaws.append(
+        F.when(
+            (F.col("_total_amount_kind") != "VOID") & F.col("_amount").isNull(),
+            F.lit("total_amount"),
+        )
     )
-    bad_field = F.coalesce(*bad_text, bad_amount, bad_confidence)
-    error = F.when(~F.col("_is_object"), F.lit("The response holds no record")).when(
-        bad_field.isNotNull(), F.concat(F.lit("The response has an unusable "), bad_field)
+    in_range = F.coalesce(F.col("_confidence").between(0.0, 1.0), F.lit(False))
+    flaws.append(F.when(~in_range, F.lit("confidence_score")))
+    error = F.when(~F.col("_is_object"), F.lit("The response holds no record")).otherwise(
+        F.concat(F.lit("The response has an unusable "), F.coalesce(*flaws))
     )
     fields = {name: F.col(f"_{name}") for name in TEXT_FIELDS}
     fields |= {"total_amount": F.col("_amount"), "confidence_score": F.col("_confidence")}
-    return numbers.withColumn("extract_error", error).select(
-        *docs.columns,
-        F.when(F.col("extract_error").isNull(), _record(fields)).alias("record"),
-        "extract_error",
+    usable = F.when(F.col("extract_error").isNull(), _record(fields))
+    return bound.withColumn("extract_error", error).select(
+        *docs.columns, usable.alias("record"), "extract_error"
     )
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions.amounts import round_amount
-from docledger.functions.currency import normalize_currency
-from docledger.functions.dates import parse_date
+from docledger.functions.currency import clean_currency_text, normalize_clean_currency
+from docledger.functions.dates import with_parsed_dates
 from docledger.functions.text import is_blank, strip
 from docledger.schemas import ALLOWED_CURRENCIES, DEFAULT_CONFIDENCE_FLOOR
 
@@ -24,15 +24,16 @@ class Rule:
 
 def normalize(raw: DataFrame) -> DataFrame:
     """Add the cleaned and parsed forms that the rules and the output need."""
-    return raw.withColumns(
+    cleaned = raw.withColumns(
         {
             "clean_number": strip(F.col("invoice_number")),
             "clean_supplier": strip(F.col("supplier_name")),
-            "parsed_date": parse_date(F.col("invoice_date")),
-            "parsed_due_date": parse_date(F.col("due_date")),
-            "currency_code": normalize_currency(F.col("currency")),
+            "clean_currency": clean_currency_text(F.col("currency")),
         }
     )
+    code = F.when(F.col("currency") != "", normalize_clean_currency(F.col("clean_currency")))
+    coded = cleaned.withColumn("currency_code", code).drop("clean_currency")
+    return with_parsed_dates(coded, parsed_date="invoice_date", parsed_due_date="due_date")
 
 
 def _shown(value: Column) -> Column:
@@ -55,12 +56,12 @@ def default_rules(confidence_floor: float = DEFAULT_CONFIDENCE_FLOOR) -> list[Ru
         ),
         Rule(
             "MISSING_INVOICE_NUMBER",
-            is_blank(F.col("invoice_number")),
+            F.coalesce("clean_number", F.lit("")) == "",
             F.lit("The record has no invoice number"),
         ),
         Rule(
             "EXTRACTION_FAILED",
-            is_blank(F.col("supplier_name")),
+            F.coalesce("clean_supplier", F.lit("")) == "",
             F.lit("The record has no supplier name"),
         ),
         Rule(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions.currency import normalize_currency
-from docledger.functions.dates import parse_date
+from docledger.functions.dates import with_parsed_dates
 from docledger.functions.keys import KEY, with_keys
 from docledger.functions.text import file_name, file_suffix, strip
 from docledger.operators import copies, dedup, extract, routing, rules
@@ -144,16 +144,15 @@ def extraction_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = recipes.order_documents(spark, sf_dir)
-    return docs.select(
-        "seq",
-        parse_date(F.col("invoice_date")).alias("invoice_date"),
-        parse_date(F.col("due_date")).alias("due_date"),
+    parsed = with_parsed_dates(docs, parsed_date="invoice_date", parsed_due_date="due_date")
+    return parsed.select(
+        "seq", F.col("parsed_date").alias("invoice_date"), F.col("parsed_due_date").alias("due_date")
     )
 
 
 def parse_date_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = recipes.written_dates(recipes.read(spark, sf_dir, "orders"))
-    return written.select("o_orderkey", "text", parse_date(F.col("text")).alias("parsed"))
+    return with_parsed_dates(written, parsed="text").select("o_orderkey", "text", "parsed")
 
 
 def currency_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
