@@ -7,13 +7,19 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from docledger.functions.keys import with_keys
+from docledger.functions.keys import KEY, with_keys
 from docledger.functions.text import is_blank
 from docledger.operators.copies import DOCUMENT, mark_admitted, probe_counts
-from docledger.operators.dedup import DEDUP_MODES, history_index, mark_duplicates
+from docledger.operators.dedup import (
+    DEDUP_MODES,
+    accepted_history,
+    history_index,
+    mark_duplicates,
+)
 from docledger.operators.extract import Extractor, label_extractor
 from docledger.operators.routing import (
     accepted_invoices,
@@ -25,13 +31,14 @@ from docledger.operators.routing import (
 )
 from docledger.operators.rules import Rule, default_rules, judge
 from docledger.schemas import DEFAULT_CONFIDENCE_FLOOR, RAW_EXTRACTION, RUN_SUMMARY
-from docledger.session import shared_folder, stage
+from docledger.session import new_folder, stage
 from docledger.sinks import exports
 from docledger.sources.files import with_content_hash
 from docledger.sources.ledger import Ledger, latest_events
 from docledger.sources.pages import Decoder, decode, read_text
 
-# A list of paths up to this size is sent to every executor instead of shuffling text.
+# A list of names or hashes up to this size is sent to every executor, so that contents
+# and the ledger stay where they are. Above it the same joins run by shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 Progress = Callable[[str, dict], None]
@@ -79,27 +86,53 @@ def route_documents(
     return route(mark_duplicates(judged, history, dedup, "admitted AND issue IS NULL"))
 
 
+def _fits(rows: DataFrame) -> bool:
+    """Whether the text in `rows` is small enough to send to every executor."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in rows.columns), F.lit(32))
+    return (rows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def _keep_admitted(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Drop documents that need no work, moving the paths and not the contents.
 
-    The shorter of the two path lists is measured. If it fits the limit it is
-    broadcast and the contents stay where they were read; otherwise the join is left
-    to Spark.
+    Usually one of the two path lists is short. If it fits the limit it is broadcast
+    and the contents stay where they were read; otherwise the join is left to Spark.
     """
-    size = F.sum(F.octet_length("file_path") + 16)
-    sizes = dict(marked.groupBy("admitted").agg(size).collect())
-    work, rest = sizes.get(True, 0), sizes.get(False, 0)
-    if rest == 0:
-        return docs
     admitted = marked.where("admitted").select("file_path")
     skipped = marked.where("NOT admitted").select("file_path")
-    if rest <= min(work, BROADCAST_BYTES):
+    if skipped.isEmpty():
+        return docs
+    if _fits(skipped):
         return docs.join(F.broadcast(skipped), "file_path", "left_anti")
-    if work <= BROADCAST_BYTES:
+    if _fits(admitted):
         return docs.join(F.broadcast(admitted), "file_path", "left_semi")
     return docs.join(admitted, "file_path", "left_semi")
 
 
+def _events_of(events: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Ledger events that share the columns of `wanted`, without shuffling the ledger if
+    the run is small. For a large run this is no gain and the events stay as they are."""
+    if not _fits(wanted):
+        return events
+    return events.join(F.broadcast(wanted.distinct()), wanted.columns, "left_semi")
+
+
+def _run_history(events: DataFrame, documents: DataFrame, path: str) -> DataFrame:
+    """History index over the keys that `documents` can ask for.
+
+    A small run looks for hashes that any accepted event gave one of its keys, then
+    takes all events of those hashes, since a later event may have moved a hash to
+    another key or rejected it. A large run indexes the whole ledger.
+    """
+    names = documents.select("record.supplier_name", "record.invoice_number")
+    keys = with_keys(names).select(*KEY)
+    if not _fits(keys):
+        return history_index(latest_events(events))
+    hits = accepted_history(events).join(F.broadcast(keys.distinct()), KEY, "left_semi")
+    hashes = stage(hits.select("file_hash").distinct(), path)
+    return history_index(latest_events(_events_of(events, hashes)))
+
+
 def _observed(
     df: DataFrame, name: str, path: str, on_progress: Progress | None, **metrics
 ) -> DataFrame:
@@ -116,7 +149,7 @@ def _observed(
 def _known_hashes(events: DataFrame, retry_issue_types: Sequence[str]) -> DataFrame:
     """Hashes to skip; documents that last failed with a type to retry are not among them."""
     if not retry_issue_types:
-        return events.select("file_hash")
+        return events
     retried = F.coalesce(F.col("issue_type").isin(*retry_issue_types), F.lit(False))
     return latest_events(events).where(~retried).select("file_hash")
 
@@ -133,15 +166,17 @@ def run_batch(
     force: bool = False,
     dedup: str = "hash",
     retry_issue_types: Sequence[str] = (),
+    ordered: bool = False,
     run_id: str | None = None,
     on_progress: Progress | None = None,
 ) -> BatchRun:
     """Process `docs`, write the outputs of the run, then record it in the ledger.
 
     `docs` has `file_name`, a unique `file_path`, and either `content` (bytes for
-    `decoders`) or `raw_text`. Outputs go to `output_dir/run_id=<run_id>/`. The ledger
-    is written last, and a repeated `run_id` replaces its own outputs and ledger rows,
-    so a run that broke off anywhere can simply be started again.
+    `decoders`) or `raw_text`. Outputs go to `output_dir/run_id=<run_id>/`, with
+    `ordered` in processing order (by name, then path) across their part files. The
+    ledger is written last, and a repeated `run_id` replaces its own outputs and ledger
+    rows, so a run that broke off anywhere can simply be started again.
     """
     spark = docs.sparkSession
     has_text = "raw_text" in docs.columns
@@ -153,7 +188,7 @@ def run_batch(
     rules = default_rules(confidence_floor) if rules is None else rules
     started_at = datetime.now(timezone.utc)
     run_id = run_id or f"{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    work = f"{shared_folder(spark)}/docledger/run_id={run_id}"
+    work = new_folder(spark, run_id)
     ledger.create()
     events = ledger.events().where(F.col("run_id") != run_id)
 
@@ -166,7 +201,10 @@ def run_batch(
         narrow = intake.select(*DOCUMENT)
     staged = _observed(narrow, "hashed", f"{work}/intake", on_progress)
 
-    known = None if force else _known_hashes(events, retry_issue_types)
+    known = None
+    if not force:
+        met = _events_of(events, staged.select("file_hash"))
+        known = _known_hashes(met, retry_issue_types)
     marked = _observed(
         mark_admitted(staged, known, force),
         "admitted",
@@ -192,7 +230,7 @@ def run_batch(
         )
         marked = marked.join(extracted, "file_path", "left")
 
-    history = history_index(latest_events(events)) if dedup != "off" else None
+    history = None if dedup == "off" else _run_history(events, marked, f"{work}/history")
     routed = _observed(
         route_documents(marked, rules, history, dedup),
         "routed",
@@ -202,8 +240,10 @@ def run_batch(
     )
 
     target = f"{output_dir.rstrip('/')}/run_id={run_id}"
-    accepted = exports.in_document_order(accepted_invoices(routed))
-    rejected = exports.in_document_order(exception_queue(routed))
+    accepted, rejected = accepted_invoices(routed), exception_queue(routed)
+    if ordered:
+        accepted = exports.in_document_order(accepted).persist(StorageLevel.DISK_ONLY)
+        rejected = exports.in_document_order(rejected).persist(StorageLevel.DISK_ONLY)
     outputs = {
         "invoices_csv": exports.export_invoices_csv(accepted, f"{target}/invoices_csv"),
         "invoices_json": exports.export_invoices_json(accepted, f"{target}/invoices_json"),
@@ -212,6 +252,10 @@ def run_batch(
         "run_summary_json": f"{target}/run_summary_json",
     }
 
+    if ordered:
+        accepted.unpersist()
+        rejected.unpersist()
+
     counters = summarize(routed).first().asDict()
     completed_at = datetime.now(timezone.utc)
     summary = {
@@ -233,4 +277,4 @@ def dry_run(docs: DataFrame, ledger: Ledger) -> DataFrame:
     """Counts of total, new and known documents; reads the ledger and changes nothing."""
     ledger.create()
     hashed = with_content_hash(docs, "raw_text" if "raw_text" in docs.columns else "content")
-    return probe_counts(hashed.select(*DOCUMENT), ledger.seen())
+    return probe_counts(hashed.select("file_hash"), ledger.seen())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,10 +25,12 @@ def run_arrivals(
 ) -> StreamingQuery:
     """Process the files that arrived since the last call, then stop.
 
-    Each micro-batch is one run whose id is its batch number, so a batch that Spark
-    repeats after a failure replaces its own outputs and ledger rows. The file source
-    remembers paths and the ledger remembers content: a renamed copy is still skipped.
+    Each micro-batch is one run, named by the stream's checkpoint and the batch number,
+    so a batch that Spark repeats after a failure replaces its own outputs and ledger
+    rows. The file source remembers paths and the ledger remembers content: a renamed
+    copy is still skipped.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:8]
     arrivals = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
@@ -37,7 +41,8 @@ def run_arrivals(
     )
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        run_batch(as_documents(batch), ledger, output_dir, run_id=f"batch-{batch_id:010d}", **options)
+        run_id = f"{stream}-{batch_id:010d}"
+        run_batch(as_documents(batch), ledger, output_dir, run_id=run_id, **options)
 
     return (
         arrivals.writeStream.foreachBatch(process)

@@ -12,6 +12,7 @@ from docledger.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, "4g")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 

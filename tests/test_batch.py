@@ -89,7 +89,7 @@ def read_json(path):
 
 def test_first_run_outputs(run):
     progress = []
-    first = run(on_progress=lambda stage, metrics: progress.append((stage, metrics)))
+    first = run(ordered=True, on_progress=lambda stage, metrics: progress.append((stage, metrics)))
     assert counts(first) == (7, 2, 1, 4, 0)
     issues = {r.file_name: r.exception.issue_type for r in first.results.collect() if r.exception}
     assert issues == ISSUES
@@ -281,4 +281,4 @@ def test_arrivals_run_once_each(spark, inbox, tmp_path):
     arrive()
     stats = {r.status: r.documents for r in ledger.stats().collect()}
     assert stats == {"OK": 3, "FLAGGED": 1, "EXCEPTION": 4, "TOTAL": 8}
-    assert len(list((tmp_path / "stream-out").glob("run_id=batch-*"))) == 2
+    assert len(list((tmp_path / "stream-out").glob("run_id=*"))) == 2
