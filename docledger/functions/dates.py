@@ -9,10 +9,11 @@ from docledger.functions.text import strip
 
 # Accepted layouts in order of preference, day before month. The
 # guards keep out what Spark's formatter would take but the contract refuses
-# (missing zeros in ISO dates, two-digit years, the year 0000, trailing text).
+# (missing zeros in ISO dates, two-digit years, the year 0000, days after 9999-12-31,
+# trailing text).
 _YEAR = r"(?!0000)\d{4}"
 ISO_DATE = rf"^{_YEAR}-\d\d-\d\d$"
-ISO_WEEK = rf"^{_YEAR}(-W\d\d(-[1-7])?|W\d\d[1-7]?)$"
+ISO_WEEK = rf"^(?!9999-?W52-?[67]){_YEAR}(-W\d\d(-[1-7])?|W\d\d[1-7]?)$"
 DATE_LAYOUTS = (
     (rf"^{_YEAR}\d{{4}}$", ("yyyyMMdd",)),
     (rf"^{_YEAR}/\d\d?/\d\d?$", ("yyyy/M/d",)),
@@ -37,7 +38,7 @@ def _iso_week_date(text: Column) -> Column:
     )
     monday = F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week")
     found = F.date_add(monday, week * 7 + day - 8)
-    return F.when((F.weekofyear(found) == week) & (F.year(found) <= 9999), found)
+    return F.when(F.weekofyear(found) == week, found)
 
 
 def clean_date_text(text: Column) -> Column:

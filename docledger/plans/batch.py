@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -41,6 +42,20 @@ from docledger.sources.pages import Decoder, decode, read_text
 # and the ledger stay where they are. Above it the same joins run by shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+# What the later steps need of a judged document.
+JUDGED_COLUMNS = (
+    "issue",
+    *KEY,
+    "supplier_name",
+    "invoice_number",
+    "clean_number",
+    "clean_supplier",
+    "parsed_date",
+    "parsed_due_date",
+    "total_amount",
+    "currency_code",
+)
+
 Progress = Callable[[str, dict], None]
 
 
@@ -72,17 +87,19 @@ def extract_records(docs: DataFrame, extractor: Extractor) -> DataFrame:
 
 
 def judge_documents(documents: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Rules over `record`; an earlier `failure` comes first."""
+    """Rules over `record`; an earlier `failure` comes first. Only narrow columns remain."""
+    carried = [c for c in documents.columns if c not in ("record", "failure")]
     fields = [F.col(f"record.{name}").alias(name) for name in RAW_EXTRACTION.names]
-    flat = documents.select(*DOCUMENT, "admitted", "failure", *fields)
-    return with_keys(judge(flat, rules)).withColumn("issue", F.coalesce("failure", "issue"))
+    flat = documents.select(*carried, "failure", *fields)
+    return (
+        with_keys(judge(flat, rules))
+        .withColumn("issue", F.coalesce("failure", "issue"))
+        .select(*carried, *JUDGED_COLUMNS)
+    )
 
 
-def route_documents(
-    documents: DataFrame, rules: Sequence[Rule], history: DataFrame | None, dedup: str
-) -> DataFrame:
-    """From documents with `admitted`, `record` and `failure` to one result each."""
-    judged = judge_documents(documents, rules)
+def route_documents(judged: DataFrame, history: DataFrame | None, dedup: str) -> DataFrame:
+    """One result per judged document. `judged` has `admitted` and is read twice."""
     return route(mark_duplicates(judged, history, dedup, "admitted AND issue IS NULL"))
 
 
@@ -124,8 +141,7 @@ def _run_history(events: DataFrame, documents: DataFrame, path: str) -> DataFram
     takes all events of those hashes, since a later event may have moved a hash to
     another key or rejected it. A large run indexes the whole ledger.
     """
-    names = documents.select("record.supplier_name", "record.invoice_number")
-    keys = with_keys(names).select(*KEY)
+    keys = documents.where("issue IS NULL").select(*KEY)
     if not _fits(keys):
         return history_index(latest_events(events))
     hits = accepted_history(events).join(F.broadcast(keys.distinct()), KEY, "left_semi")
@@ -185,6 +201,8 @@ def run_batch(
         raise ValueError("documents without raw_text need at least one decoder")
     if dedup not in DEDUP_MODES:
         raise ValueError(f"dedup must be one of {DEDUP_MODES}, not {dedup!r}")
+    if run_id is not None and not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"run_id names a folder, so it cannot be {run_id!r}")
     rules = default_rules(confidence_floor) if rules is None else rules
     started_at = datetime.now(timezone.utc)
     run_id = run_id or f"{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
@@ -192,13 +210,15 @@ def run_batch(
     ledger.create()
     events = ledger.events().where(F.col("run_id") != run_id)
 
-    # Hash every document once. Cheap extraction of table text shares that scan.
+    # Hash every document once. Cheap extraction from table text shares that scan, and
+    # the rules follow at once: from there on only narrow rows are moved.
     one_pass = has_text and extractor.native
-    intake = with_content_hash(docs, "raw_text" if has_text else "content")
+    narrow = with_content_hash(docs, "raw_text" if has_text else "content").select(
+        *DOCUMENT, *(["raw_text"] if one_pass else [])
+    )
     if one_pass:
-        narrow = extract_records(intake, extractor).select(*DOCUMENT, "record", "failure")
-    else:
-        narrow = intake.select(*DOCUMENT)
+        records = extract_records(narrow, extractor).select(*DOCUMENT, "record", "failure")
+        narrow = judge_documents(records, rules)
     staged = _observed(narrow, "hashed", f"{work}/intake", on_progress)
 
     known = None
@@ -222,17 +242,17 @@ def run_batch(
             text = read_text(decode(content, decoders))
         records = extract_records(text, extractor).select("file_path", "record", "failure")
         extracted = _observed(
-            records,
+            judge_documents(records, rules),
             "extracted",
             f"{work}/extracted",
             on_progress,
-            failed=F.count_if(F.col("failure").isNotNull()),
+            rejected=F.count_if(F.col("issue").isNotNull()),
         )
         marked = marked.join(extracted, "file_path", "left")
 
     history = None if dedup == "off" else _run_history(events, marked, f"{work}/history")
     routed = _observed(
-        route_documents(marked, rules, history, dedup),
+        route_documents(marked, history, dedup),
         "routed",
         f"{work}/routed",
         on_progress,

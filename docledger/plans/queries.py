@@ -11,7 +11,7 @@ from docledger.functions.keys import KEY, with_keys
 from docledger.functions.text import file_name, file_suffix, strip
 from docledger.operators import copies, dedup, extract, routing, rules
 from docledger.plans import recipes
-from docledger.plans.batch import extract_records, route_documents
+from docledger.plans.batch import extract_records, judge_documents, route_documents
 from docledger.schemas import EXCEPTION, INVOICE, RAW_EXTRACTION
 from docledger.session import new_folder, stage
 from docledger.sinks import exports
@@ -227,32 +227,34 @@ def dup_key_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicates_by_key(keyed, known).select("seq")
 
 
-def _as_documents(raw: DataFrame) -> DataFrame:
-    """Raw invoices in the shape that a run has after extraction."""
+def _judged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw invoices as a run has them after extraction and rules: a narrow staged table."""
+    raw = recipes.raw_invoices(spark, sf_dir)
     record = F.struct(*[F.col(name) for name in RAW_EXTRACTION.names])
     failure = F.lit(None).cast("struct<issue_type: string, details: string>")
-    return raw.select(*copies.DOCUMENT, record.alias("record"), failure.alias("failure"))
+    docs = raw.select("seq", *copies.DOCUMENT, record.alias("record"), failure.alias("failure"))
+    judged = judge_documents(docs, rules.default_rules())
+    return stage(judged, new_folder(spark, "judged"))
 
 
 def _batch(spark: SparkSession, sf_dir: str, dedup_mode: str = "hash") -> DataFrame:
     """All invoices as one run that starts with an empty ledger."""
-    docs = _as_documents(recipes.raw_invoices(spark, sf_dir)).withColumn("admitted", F.lit(True))
-    return route_documents(docs, rules.default_rules(), None, dedup_mode)
+    judged = _judged_documents(spark, sf_dir).withColumn("admitted", F.lit(True))
+    return route_documents(judged, None, dedup_mode)
 
 
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All invoices as one run against the ledger of earlier runs."""
-    docs = _as_documents(recipes.raw_invoices(spark, sf_dir))
-    marked = copies.mark_admitted(docs, recipes.seen_hashes(spark, sf_dir))
+    judged = _judged_documents(spark, sf_dir)
+    marked = copies.mark_admitted(judged, recipes.seen_hashes(spark, sf_dir))
     history = dedup.history_index(recipes.ledger(spark, sf_dir))
-    return route_documents(marked, rules.default_rules(), history, "hash")
+    return route_documents(marked, history, "hash")
 
 
 def dedup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forced run against history: which rows that pass the rules are duplicates."""
-    judged = with_keys(_judged(spark, sf_dir))
     history = dedup.history_index(recipes.ledger(spark, sf_dir))
-    marked = dedup.mark_duplicates(judged, history)
+    marked = dedup.mark_duplicates(_judged_documents(spark, sf_dir), history)
     return marked.where("issue IS NULL").select("seq", "is_duplicate")
 
 
@@ -338,12 +340,12 @@ def text_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first run over the documents table: whole texts are hashed and read for labels
     in one scan, copies are skipped, and the outcomes are counted per issue."""
     docs = files.table_documents(recipes.text_documents(spark, sf_dir), "name", "path", "text")
-    read = extract_records(docs, extract.label_extractor())
-    narrow = stage(
-        read.select(*copies.DOCUMENT, "record", "failure"), new_folder(spark, "text-run")
+    read = extract_records(docs.select(*copies.DOCUMENT, "raw_text"), extract.label_extractor())
+    records = read.select(*copies.DOCUMENT, "record", "failure")
+    judged = stage(
+        judge_documents(records, rules.default_rules()), new_folder(spark, "text-run")
     )
-    marked = copies.mark_admitted(narrow, None)
-    results = route_documents(marked, rules.default_rules(), None, "hash")
+    results = route_documents(copies.mark_admitted(judged, None), None, "hash")
     issue = F.coalesce("exception.issue_type", F.lit("NONE"))
     return results.groupBy("status", issue.alias("issue_type")).agg(F.count("*").alias("documents"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docledger.functions.amounts import amount_text
 from docledger.schemas import EXCEPTION, INVOICE
 
-# The CSV dialect of common spreadsheet exports.
+# The CSV dialect of common spreadsheet exports. Rows end with a plain
+# newline: with any other ending Spark also rewrites the newlines inside values.
 CSV_OPTIONS = {
     "header": True,
     "quote": '"',

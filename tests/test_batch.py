@@ -238,6 +238,8 @@ def test_bad_arguments(spark, run, inbox):
         run(decoders=[])
     with pytest.raises(ValueError):
         run(dedup="sometimes")
+    with pytest.raises(ValueError):
+        run(run_id="a/b")
 
 
 def test_csv_survives_quotes_commas_newlines_and_spaces(spark, folder):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docledger.functions.keys import with_keys
 from docledger.operators import copies, dedup
-from docledger.plans.batch import route_documents
+from docledger.plans.batch import judge_documents, route_documents
 from docledger.operators.routing import ledger_events, summarize
 from docledger.operators.rules import default_rules
 from docledger.sources.ledger import latest_events, lookup, status_counts
@@ -86,8 +86,9 @@ def routed_batch(spark, docs, ledger, force):
     df = spark.createDataFrame(docs, DOCS).repartition(5)
     df = df.withColumn("failure", F.lit(None).cast(FAILURE))
     book = spark.createDataFrame(ledger, LEDGER)
-    marked = copies.mark_admitted(df, book, force)
-    return route_documents(marked, default_rules(), dedup.history_index(book), "hash")
+    judged = judge_documents(df, default_rules())
+    marked = copies.mark_admitted(judged, book, force)
+    return route_documents(marked, dedup.history_index(book), "hash")
 
 
 @pytest.mark.parametrize("force", [False, True])
