@@ -2,6 +2,7 @@
 
 import csv
 import json
+import random
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import docledger
 from docledger.operators.extract import custom_extractor
+from docledger.plans import batch
 from docledger.sinks import exports
 from docledger.sources.files import scan_files, table_documents
 from docledger.streaming.incremental import run_arrivals
@@ -284,3 +286,42 @@ def test_arrivals_run_once_each(spark, inbox, tmp_path):
     stats = {r.status: r.documents for r in ledger.stats().collect()}
     assert stats == {"OK": 3, "FLAGGED": 1, "EXCEPTION": 4, "TOTAL": 8}
     assert len(list((tmp_path / "stream-out").glob("run_id=*"))) == 2
+
+
+def test_large_runs_take_the_shuffle_paths(run, inbox, monkeypatch):
+    """With no room to broadcast, every size-checked join has to give the same results."""
+    monkeypatch.setattr(batch, "BROADCAST_BYTES", 0)
+    assert counts(run()) == (7, 2, 1, 4, 0)
+    (inbox / "copy_of_001.pdf").write_bytes((inbox / "inv_001.pdf").read_bytes())
+    (inbox / "dup_of_002.pdf").write_text(page("techcorp ", "INV-2024-002", "2024-01-01", None, "1", "EUR"))
+    (inbox / "new.pdf").write_text(page("Nova", "N-1", "2024-01-01", "2024-02-01", "5.00", "EUR"))
+    mixed = run()
+    assert counts(mixed) == (10, 1, 0, 1, 8)
+    issues = {r.file_name: r.exception.issue_type for r in mixed.results.collect() if r.exception}
+    assert issues == {"dup_of_002.pdf": "DUPLICATE_INVOICE"}
+    assert counts(run(force=True)) == (10, 4, 1, 5, 0)
+
+
+def test_run_history_is_the_index_of_its_keys(spark, folder):
+    """Events of one hash may change key or status; only the last one counts."""
+    rng = random.Random(11)
+    events = [
+        (f"h{rng.randrange(60)}", rng.choice("ABCDEFGH"), rng.choice(["1", "2", " "]),
+         rng.choice(["OK", "FLAGGED", "EXCEPTION"]), f"2024-01-{rng.randrange(1, 29):02d}", f"r{i:04d}")
+        for i in range(400)
+    ]
+    columns = "file_hash string, supplier_name string, invoice_number string, status string,"
+    log = spark.createDataFrame(events, f"{columns} processed_at string, run_id string")
+    wanted = [("a", "1", None), ("c", "2", None), ("zz", "1", None), ("d", "1", "rejected")]
+    documents = spark.createDataFrame(
+        wanted, "supplier_key string, number_key string, issue string"
+    )
+    found = batch._run_history(log, documents, f"{folder}/history").collect()
+    everything = batch.history_index(batch.latest_events(log)).collect()
+    keys = {(s, n) for s, n, issue in wanted if issue is None}
+
+    def asked(rows):
+        return {tuple(r) for r in rows if (r.supplier_key, r.number_key) in keys}
+
+    assert asked(found) == asked(everything)
+    assert asked(everything)
