@@ -55,8 +55,8 @@ def build_request(file_name: Column, text: Column) -> Column:
 
 # The label layout. One label per line, the supplier on the first line.
 LABEL_LINE = (
-    r"(?im)^[ \t]*(invoice (?:number|no\.?|#)|invoice date|due date|currency|total amount)"
-    r"[ \t]*:[ \t]*(\S[^\r\n]*)$"
+    r"(?im)^[ \t]*(?:invoice (?:number|no\.?|#)|invoice date|due date|currency|total amount)"
+    r"[ \t]*:[ \t]*\S[^\r\n]*$"
 )
 NUMBER_LABELS = ("invoice number", "invoice no", "invoice no.", "invoice #")
 FIRST_LINE = r"\S[^\r\n]*"
@@ -66,21 +66,26 @@ AMOUNT = r"^(-?[0-9][0-9,]*(?:\.[0-9]+)?)[ \t]*(.*)$"
 def with_label_record(docs: DataFrame) -> DataFrame:
     """Add `record` from the labelled lines of `raw_text`; a missing label gives null.
 
-    The first line of each label counts. Two passes over the text find all labels and
-    their values; what follows works on those few strings.
+    The first line of each label counts. One pass over the text finds the labelled lines;
+    what follows works on those few strings.
     """
     text = F.col("raw_text")
+    found = F.regexp_extract_all(text, F.lit(LABEL_LINE), F.lit(0))
     lines = docs.withColumns(
         {
             "_first": strip(F.regexp_substr(text, F.lit(FIRST_LINE))),
-            "_labels": F.transform(F.regexp_extract_all(text, F.lit(LABEL_LINE), F.lit(1)), F.lower),
-            "_values": F.regexp_extract_all(text, F.lit(LABEL_LINE), F.lit(2)),
+            "_lines": F.transform(found, lambda line: F.split(line, ":", 2)),
+        }
+    ).withColumns(
+        {
+            "_labels": F.transform("_lines", lambda pair: F.lower(strip(pair[0]))),
+            "_values": F.transform("_lines", lambda pair: strip(pair[1])),
         }
     )
 
     def value(label: str) -> Column:
         place = F.nullif(F.array_position("_labels", F.lit(label)).cast("int"), F.lit(0))
-        return strip(F.try_element_at("_values", place))
+        return F.try_element_at("_values", place)
 
     labels = {"number": value(NUMBER_LABELS[0]), "amount": value("total amount")}
     found = lines.withColumns({f"_{name}": column for name, column in labels.items()})

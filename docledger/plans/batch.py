@@ -149,6 +149,17 @@ def _run_history(events: DataFrame, documents: DataFrame, path: str) -> DataFram
     return history_index(latest_events(_events_of(events, hashes)))
 
 
+def _with_extracted(marked: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Bring the judged records back to all documents, over the unique path.
+
+    A document that was hashed but is gone when its content is read is unreadable.
+    """
+    joined = marked.join(extracted.withColumn("_read", F.lit(True)), "file_path", "left")
+    gone = F.col("admitted") & F.col("_read").isNull()
+    lost = _issue("UNREADABLE_PDF", F.concat(F.lit("Gone before it was read: "), "file_name"))
+    return joined.withColumn("issue", F.when(gone, lost).otherwise(F.col("issue"))).drop("_read")
+
+
 def _observed(
     df: DataFrame, name: str, path: str, on_progress: Progress | None, **metrics
 ) -> DataFrame:
@@ -207,7 +218,6 @@ def run_batch(
     started_at = datetime.now(timezone.utc)
     run_id = run_id or f"{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     work = new_folder(spark, run_id)
-    ledger.create()
     events = ledger.events().where(F.col("run_id") != run_id)
 
     # Hash every document once. Cheap extraction from table text shares that scan, and
@@ -248,7 +258,7 @@ def run_batch(
             on_progress,
             rejected=F.count_if(F.col("issue").isNotNull()),
         )
-        marked = marked.join(extracted, "file_path", "left")
+        marked = _with_extracted(marked, extracted)
 
     history = None if dedup == "off" else _run_history(events, marked, f"{work}/history")
     routed = _observed(
@@ -295,6 +305,5 @@ def run_batch(
 
 def dry_run(docs: DataFrame, ledger: Ledger) -> DataFrame:
     """Counts of total, new and known documents; reads the ledger and changes nothing."""
-    ledger.create()
     hashed = with_content_hash(docs, "raw_text" if "raw_text" in docs.columns else "content")
     return probe_counts(hashed.select("file_hash"), ledger.seen())

@@ -299,7 +299,7 @@ def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create, append every past result, count, clear, count again."""
-    book = Ledger(spark, new_folder(spark, "ledger")).create()
+    book = Ledger(spark, new_folder(spark, "ledger"))
     past = recipes.ledger(spark, sf_dir)
     book.append(past.withColumn("processed_at", F.col("processed_at").cast("timestamp")), "past")
     filled = book.stats()

@@ -48,11 +48,12 @@ def lookup(hashes: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """The ledger kept under `path`, which must be a shared file system."""
+    """The ledger kept under `path` on a shared file system, made if it is not there."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
+        self._create()
 
     @property
     def _epochs(self) -> str:
@@ -62,12 +63,10 @@ class Ledger:
     def _events(self) -> str:
         return f"{self.path}/events"
 
-    def create(self) -> Ledger:
-        """Make an empty ledger unless there is one already."""
+    def _create(self) -> None:
         self._add_epoch(0, mode="ignore")
         empty = self.spark.createDataFrame([], LEDGER_EVENT)
         empty.write.mode("ignore").parquet(f"{self._events}/epoch=0/run_id=0")
-        return self
 
     def _add_epoch(self, number: int, mode: str) -> None:
         row = self.spark.range(number, number + 1, 1, 1).toDF("epoch")

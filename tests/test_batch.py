@@ -325,3 +325,22 @@ def test_run_history_is_the_index_of_its_keys(spark, folder):
 
     assert asked(found) == asked(everything)
     assert asked(everything)
+
+
+def test_document_gone_before_it_is_read(spark):
+    issue = "struct<issue_type: string, details: string>"
+    marked = spark.createDataFrame(
+        [("a", "p/a", True), ("b", "p/b", True), ("c", "p/c", False)],
+        "file_name string, file_path string, admitted boolean",
+    )
+    extracted = spark.createDataFrame([("p/a", None)], f"file_path string, issue {issue}")
+    found = {r.file_path: r.issue for r in batch._with_extracted(marked, extracted).collect()}
+    assert found["p/a"] is None and found["p/c"] is None
+    assert found["p/b"].issue_type == "UNREADABLE_PDF" and "b" in found["p/b"].details
+
+
+def test_new_ledger_is_empty(spark, folder):
+    ledger = docledger.Ledger(spark, f"{folder}/ledger")
+    assert [tuple(r) for r in ledger.stats().collect()] == [("TOTAL", 0)]
+    assert ledger.get("x").count() == 0 and ledger.history().count() == 0
+    assert docledger.Ledger(spark, f"{folder}/ledger").epoch() == 0

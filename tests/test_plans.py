@@ -168,7 +168,7 @@ def test_texts_are_read_once(spark):
 
 
 def test_point_lookup_reaches_the_scan(spark, folder):
-    ledger = Ledger(spark, f"{folder}/ledger").create()
+    ledger = Ledger(spark, f"{folder}/ledger")
     text = plan(ledger.get("abc"))
     assert "EqualTo(file_hash,abc)" in text
     assert re.search(r"PartitionFilters: \[.*epoch", text)
