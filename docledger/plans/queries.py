@@ -228,18 +228,24 @@ def dup_key_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw invoices as a run has them after extraction and rules: a narrow staged table."""
+    """Raw invoices as a run has them after extraction and rules."""
     raw = recipes.raw_invoices(spark, sf_dir)
     record = F.struct(*[F.col(name) for name in RAW_EXTRACTION.names])
     failure = F.lit(None).cast("struct<issue_type: string, details: string>")
     docs = raw.select("seq", *copies.DOCUMENT, record.alias("record"), failure.alias("failure"))
-    judged = judge_documents(docs, rules.default_rules())
-    return stage(judged, new_folder(spark, "judged"))
+    return judge_documents(docs, rules.default_rules())
+
+
+def _staged(judged: DataFrame) -> DataFrame:
+    """Duplicate marking reads its input twice, so that input is written once."""
+    return stage(judged, new_folder(judged.sparkSession, "judged"))
 
 
 def _batch(spark: SparkSession, sf_dir: str, dedup_mode: str = "hash") -> DataFrame:
     """All invoices as one run that starts with an empty ledger."""
     judged = _judged_documents(spark, sf_dir).withColumn("admitted", F.lit(True))
+    if dedup_mode != "off":
+        judged = _staged(judged)
     return route_documents(judged, None, dedup_mode)
 
 
@@ -248,13 +254,13 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = _judged_documents(spark, sf_dir)
     marked = copies.mark_admitted(judged, recipes.seen_hashes(spark, sf_dir))
     history = dedup.history_index(recipes.ledger(spark, sf_dir))
-    return route_documents(marked, history, "hash")
+    return route_documents(_staged(marked), history, "hash")
 
 
 def dedup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forced run against history: which rows that pass the rules are duplicates."""
     history = dedup.history_index(recipes.ledger(spark, sf_dir))
-    marked = dedup.mark_duplicates(_judged_documents(spark, sf_dir), history)
+    marked = dedup.mark_duplicates(_staged(_judged_documents(spark, sf_dir)), history)
     return marked.where("issue IS NULL").select("seq", "is_duplicate")
 
 
@@ -342,10 +348,8 @@ def text_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = files.table_documents(recipes.text_documents(spark, sf_dir), "name", "path", "text")
     read = extract_records(docs.select(*copies.DOCUMENT, "raw_text"), extract.label_extractor())
     records = read.select(*copies.DOCUMENT, "record", "failure")
-    judged = stage(
-        judge_documents(records, rules.default_rules()), new_folder(spark, "text-run")
-    )
-    results = route_documents(copies.mark_admitted(judged, None), None, "hash")
+    judged = _staged(judge_documents(records, rules.default_rules()))
+    results = route_documents(_staged(copies.mark_admitted(judged, None)), None, "hash")
     issue = F.coalesce("exception.issue_type", F.lit("NONE"))
     return results.groupBy("status", issue.alias("issue_type")).agg(F.count("*").alias("documents"))
 
