@@ -96,7 +96,7 @@ events_all AS (
     UNION ALL
     SELECT file_hash, file_name, supplier_name, invoice_number, 'OK', NULL,
         processed_at + INTERVAL 1 DAY, 2
-    FROM ledger WHERE status IN ('EXCEPTION', 'FLAGGED')),
+    FROM ledger WHERE status = 'EXCEPTION'),
 latest AS (
     SELECT * EXCLUDE (age) FROM (
         SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY processed_at DESC, seq DESC) AS age

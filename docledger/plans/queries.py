@@ -130,11 +130,17 @@ def parse_event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extraction_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents, one in eleven of them blank, with stored answers."""
+    """Labelled documents, one in eleven of them blank, with stored answers.
+
+    As in a run, extraction is staged before it is filtered: Spark would push the
+    filter below the projections and parse every answer again for each use.
+    """
     docs = recipes.model_responses(recipes.label_text(recipes.raw_invoices(spark, sf_dir)))
     blank = F.when(F.col("seq") % 11 == 3, F.lit(" \n")).otherwise(F.col("raw_text"))
-    found = extract.response_extractor().apply(docs.withColumn("raw_text", blank))
-    return found.where("extract_error IS NOT NULL").select(
+    sent = docs.select("seq", "response", blank.alias("raw_text"))
+    found = extract.response_extractor().apply(sent).select("seq", "extract_error")
+    failed = stage(found, new_folder(spark, "extracted")).where("extract_error IS NOT NULL")
+    return failed.select(
         "seq", F.lit("EXTRACTION_FAILED").alias("issue_type"), F.col("extract_error").alias("details")
     )
 

@@ -112,7 +112,7 @@ def seen_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger's first events, and a second one a day later for rejected and flagged ones."""
+    """The ledger's first events, and a second one a day later for the rejected ones."""
     first = _was_processed(raw_invoices(spark, sf_dir)).select(*LEDGER_COLUMNS)
     # The second event is made from the first row by row: no second read of the orders.
     later = F.struct(
@@ -122,8 +122,7 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(2).cast("long").alias("seq"),
     )
     now = F.struct("status", "issue_type", "processed_at", F.lit(1).cast("long").alias("seq"))
-    repeated = F.col("status").isin("EXCEPTION", "FLAGGED")
-    events = F.when(repeated, F.array(now, later)).otherwise(F.array(now))
+    events = F.when(F.col("status") == "EXCEPTION", F.array(now, later)).otherwise(F.array(now))
     return first.withColumn("event", F.explode(events)).select(
         "file_hash", "file_name", "supplier_name", "invoice_number", "event.*"
     )
