@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docledger.operators.rules import invoice_columns
+from docledger.operators.rules import invoice_columns, with_clean_names
 from docledger.schemas import ACCEPTED_STATUSES, EXCEPTION, INVOICE, RESULT
 
 # What the results table says about documents that raised no issue.
@@ -35,12 +35,12 @@ def final_issue() -> Column:
 
 
 def route(judged: DataFrame) -> DataFrame:
-    """Results of rows that have `admitted`, `issue`, `is_duplicate` and the cleaned fields.
+    """Results of rows that have `admitted`, `issue`, `is_duplicate` and the judged fields.
 
     One CASE over one pass: the branches cannot overlap and nothing is left out.
     The raw supplier and number ride along for the ledger.
     """
-    found = judged.withColumn("found", F.when(F.col("admitted"), final_issue()))
+    found = with_clean_names(judged).withColumn("found", F.when(F.col("admitted"), final_issue()))
     invoice = F.struct(*invoice_columns())
     exception = F.struct(
         "file_name",

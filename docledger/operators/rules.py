@@ -22,15 +22,20 @@ class Rule:
     details: Column
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Add the cleaned and parsed forms that the rules and the output need."""
-    cleaned = raw.withColumns(
+def with_clean_names(raw: DataFrame) -> DataFrame:
+    return raw.withColumns(
         {
             "clean_number": strip(F.col("invoice_number")),
             "clean_supplier": strip(F.col("supplier_name")),
-            "clean_currency": clean_currency_text(F.col("currency")),
         }
     )
+
+
+def normalize(raw: DataFrame) -> DataFrame:
+    """Add the cleaned and parsed forms that the rules and the output need."""
+    cleaned = with_clean_names(raw).withColumn(
+        "clean_currency", clean_currency_text(F.col("currency"))
+    )
     code = F.when(F.col("currency") != "", normalize_clean_currency(F.col("clean_currency")))
     coded = cleaned.withColumn("currency_code", code).drop("clean_currency")
     return with_parsed_dates(coded, parsed_date="invoice_date", parsed_due_date="due_date")

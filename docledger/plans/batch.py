@@ -42,14 +42,12 @@ from docledger.sources.pages import Decoder, decode, read_text
 # and the ledger stay where they are. Above it the same joins run by shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
-# What the later steps need of a judged document.
+# What the later steps need of a judged document. Keys and stripped names are made again
+# from the two raw names: that is cheaper than to write and move them.
 JUDGED_COLUMNS = (
     "issue",
-    *KEY,
     "supplier_name",
     "invoice_number",
-    "clean_number",
-    "clean_supplier",
     "parsed_date",
     "parsed_due_date",
     "total_amount",
@@ -91,16 +89,14 @@ def judge_documents(documents: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     carried = [c for c in documents.columns if c not in ("record", "failure")]
     fields = [F.col(f"record.{name}").alias(name) for name in RAW_EXTRACTION.names]
     flat = documents.select(*carried, "failure", *fields)
-    return (
-        with_keys(judge(flat, rules))
-        .withColumn("issue", F.coalesce("failure", "issue"))
-        .select(*carried, *JUDGED_COLUMNS)
-    )
+    issue = F.coalesce("failure", "issue")
+    return judge(flat, rules).withColumn("issue", issue).select(*carried, *JUDGED_COLUMNS)
 
 
 def route_documents(judged: DataFrame, history: DataFrame | None, dedup: str) -> DataFrame:
     """One result per judged document. `judged` has `admitted` and is read twice."""
-    return route(mark_duplicates(judged, history, dedup, "admitted AND issue IS NULL"))
+    competes = "admitted AND issue IS NULL"
+    return route(mark_duplicates(with_keys(judged), history, dedup, competes))
 
 
 def _fits(rows: DataFrame) -> bool:
@@ -141,7 +137,7 @@ def _run_history(events: DataFrame, documents: DataFrame, path: str) -> DataFram
     takes all events of those hashes, since a later event may have moved a hash to
     another key or rejected it. A large run indexes the whole ledger.
     """
-    keys = documents.where("issue IS NULL").select(*KEY)
+    keys = with_keys(documents.where("issue IS NULL")).select(*KEY)
     if not _fits(keys):
         return history_index(latest_events(events))
     hits = accepted_history(events).join(F.broadcast(keys.distinct()), KEY, "left_semi")

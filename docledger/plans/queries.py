@@ -266,10 +266,11 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forced run against history: which rows that pass the rules are duplicates."""
     history = dedup.history_index(recipes.ledger(spark, sf_dir))
+    names = ["supplier_name", "invoice_number"]
     judged = _judged_documents(spark, sf_dir).select(
-        "seq", *copies.DOCUMENT, *KEY, F.col("issue.issue_type").alias("issue")
+        "seq", *copies.DOCUMENT, *names, F.col("issue.issue_type").alias("issue")
     )
-    marked = dedup.mark_duplicates(_staged(judged), history)
+    marked = dedup.mark_duplicates(with_keys(_staged(judged)), history)
     return marked.where("issue IS NULL").select("seq", "is_duplicate")
 
 

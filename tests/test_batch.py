@@ -314,7 +314,7 @@ def test_run_history_is_the_index_of_its_keys(spark, folder):
     log = spark.createDataFrame(events, f"{columns} processed_at string, run_id string")
     wanted = [("a", "1", None), ("c", "2", None), ("zz", "1", None), ("d", "1", "rejected")]
     documents = spark.createDataFrame(
-        wanted, "supplier_key string, number_key string, issue string"
+        wanted, "supplier_name string, invoice_number string, issue string"
     )
     found = batch._run_history(log, documents, f"{folder}/history").collect()
     everything = batch.history_index(batch.latest_events(log)).collect()
