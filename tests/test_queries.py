@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import connect, spark_rows, sql_rows
+from docledger.plans.oracles import ORACLES
+from docledger.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 SQL = entry_points.oracle_sql()
@@ -16,10 +18,10 @@ def db():
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(entry_points.queries())
-    assert set(entry_points.queries()) - set(SQL) == {"scan_files"}
+    assert set(QUERIES) - set(SQL) == {"scan_files"}
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, db, name):
     columns, rows = spark_rows(entry_points.queries()[name](spark, SF))
     sql_columns, expected = sql_rows(db, SQL[name])
