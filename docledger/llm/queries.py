@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from docledger.llm.bpe import encode_texts
 from docledger.llm.common import table
+from docledger.llm.langid import identify_held_out
 from docledger.llm.mixing import mix
 from docledger.llm.sharding import shard_documents
+from docledger.llm.token_counts import count_tokens
 from docledger.llm.urls import judge
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op1_language_id(spark, sf_dir):
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
 
 def op3_mix_sources(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("place")
@@ -16,13 +27,26 @@ def op4_url_filters(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op5_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return count_tokens(docs, public_tokenizers.path(VOCABULARY))
+
+
+def op7_bpe_encode_decode(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return encode_texts(docs, public_tokenizers.path(VOCABULARY), with_ids=False)
+
+
 def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op4_url_filters": op4_url_filters,
+    "op5_token_counts": op5_token_counts,
+    "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
