@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from docledger.llm.pretokens import END_OF_WORD, Splitter, Vocabulary, spelled
 
-#: Distinct words and pairs a worker remembers; beyond that it forgets them and goes on.
+#: Distinct words of each kind, and pairs, that a worker remembers at most, about.
 REMEMBERED = 300_000
 NEVER = 1 << 60
 
@@ -38,8 +38,18 @@ class Codec:
             pair = (self.ids[left], self.ids[right])
             self.rank[pair] = at
             self.parts[self.ids[left + right]] = (*pair, at)
-        self.longest = max(len(t.removesuffix(END_OF_WORD)) for t in self.ids)
-        self.remembered: dict[str, tuple[bytes, str, int]] = {}
+        # Every ending of a token, with the token's id if it is a whole one.
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        for text, token in self.ids.items():
+            letters = text.removesuffix(END_OF_WORD)
+            endings = self.inner if letters == text else self.final
+            for at in range(1, len(letters)):
+                endings.setdefault(letters[at:], -1)
+            endings[letters] = token
+        # Words of late and of before; what is not used for long falls out of both.
+        self.recent: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.own: dict[int, bool] = {}
@@ -114,14 +124,21 @@ class Codec:
                 j += 1
         return self.rank[ends[i][0], heads[j][0]] == at
 
-    def last_token(self, letters: str, suffix: str, last: list[int]) -> int:
+    def last_token(self, letters: str, endings: dict[str, int], last: list[int]) -> int:
         """The last token of `letters`, given those of all its shorter prefixes."""
-        n = len(letters)
-        for size in range(min(n, self.longest), 0, -1):
-            token = self.ids.get(letters[n - size :] + suffix)
-            if token is not None and (
-                self.follows(last[n - size], token) if size < n else self.stands(token)
-            ):
+        fitting = []
+        for at in range(len(letters) - 1, -1, -1):
+            token = endings.get(letters[at:])
+            if token is None:
+                break
+            if token >= 0:
+                fitting.append((at, token))
+        pairs = self.pairs
+        for at, token in reversed(fitting):
+            fits = pairs.get((last[at], token)) if at else self.stands(token)
+            if fits is None:
+                fits = self.follows(last[at], token)
+            if fits:
                 return token
         raise ValueError(f"no token ends {letters!r}")
 
@@ -148,38 +165,42 @@ class Codec:
                 longer = prefix + letter
                 inner = len(child) > ("" in child)
                 # The last letter of a word is spelled with its end, so a leaf needs no state.
-                last.append(self.last_token(longer, "", last) if inner else -1)
+                last.append(self.last_token(longer, self.inner, last) if inner else -1)
                 walk.append((longer, iter(child.items())))
 
     def remember(self, word: str, last: list[int]) -> None:
         found = []
         at, suffix = len(word), END_OF_WORD
         while at:
-            token = self.last_token(word[:at], suffix, last) if suffix else last[at]
+            token = self.last_token(word, self.final, last) if suffix else last[at]
             found.append(token)
             at -= len(self.texts[token]) - len(suffix)
             suffix = ""
         found.reverse()
-        self.keep(word, found)
-
-    def keep(self, word: str, found: list[int]) -> None:
-        data = np.array(found, "<u4").tobytes()
-        self.remembered[word] = (data, " ".join(self.texts[t] for t in found), len(found))
-
-    def look_up(self, words: list[str]) -> list[tuple[bytes, str, int]]:
-        """Ids, decoded text and number of tokens of each pre-token."""
-        keys = [w if w in self.specials else spelled(w) for w in words]
-        if len(self.remembered) + len(keys) > REMEMBERED:
-            self.remembered.clear()
-        new = []
-        for key in keys:
-            if key not in self.remembered:
-                if key in self.specials:
-                    self.keep(key, [self.specials[key]])
-                else:
-                    new.append(key)
-        self.encode_all(new)
-        return [self.remembered[key] for key in keys]
+        self.encoded[word] = self.entry(found)
+
+    def entry(self, found: list[int]) -> tuple[bytes, str]:
+        return np.array(found, "<u4").tobytes(), " ".join([self.texts[t] for t in found])
+
+    def look_up(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """Ids and decoded text of each distinct pre-token."""
+        if len(self.recent) > REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        recent, older = self.recent, self.older
+        new = [word for word in words if word not in recent and word not in older]
+        letters = {word: spelled(word) for word in new if word not in self.specials}
+        self.encoded = {}
+        self.encode_all(list(letters.values()))
+        for word in new:
+            special = self.specials.get(word)
+            recent[word] = self.encoded[letters[word]] if special is None else self.entry([special])
+        answers = []
+        for word in words:
+            answer = recent.get(word)
+            if answer is None:
+                answer = recent[word] = older[word]
+            answers.append(answer)
+        return answers
 
 
 _codecs: dict[int, Codec] = {}
@@ -207,7 +228,7 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame
             columns: list[list] = [[] for _ in names[1:]]
             for _, part in splitter.batches(batch.column("text").to_pylist()):
                 found = codec.look_up(part.words)
-                data, text, count = zip(*found, strict=True) if found else ((), (), ())
+                data, text = zip(*found, strict=True) if found else ((), ())
                 places, bounds = part.places.tolist(), part.bounds.tolist()
                 for begin, end in zip(bounds, bounds[1:], strict=False):
                     own = places[begin:end]

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import regex
 from tokenizers import Tokenizer
 
@@ -173,7 +174,9 @@ class Splitter:
             powers = np.cumprod(np.full(int(length.max()), STEP, np.uint64))
             value = (codes[flat].astype(np.uint64) + np.uint64(1)) * powers[place]
             value = np.add.reduceat(value ^ (value >> np.uint64(31)), heads)
-        _, example, places = np.unique(value, return_index=True, return_inverse=True)
+        places, distinct = pd.factorize(value)
+        example = np.empty(len(distinct), np.int64)
+        example[places[::-1]] = np.arange(len(places) - 1, -1, -1)
         words = [self._word(codes[first[e] : last[e]]) for e in example.tolist()]
         return Tokens(words, places, bounds)
 
