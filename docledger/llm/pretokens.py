@@ -26,7 +26,7 @@ END_OF_WORD = "</w>"
 #: Special tokens stand in the code points as numbers above all characters.
 FIRST_SPECIAL = 0x110000
 #: Characters handled at once; a longer document is handled by itself.
-CHARS_AT_ONCE = 1 << 19
+CHARS_AT_ONCE = 1 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
