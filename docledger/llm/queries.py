@@ -7,6 +7,7 @@ import public_tokenizers
 from docledger.llm.bpe import encode_texts
 from docledger.llm.common import table
 from docledger.llm.langid import identify_held_out
+from docledger.llm.minhash import near_duplicates
 from docledger.llm.mixing import mix
 from docledger.llm.sharding import shard_documents
 from docledger.llm.token_counts import count_tokens
@@ -19,6 +20,10 @@ def op1_language_id(spark, sf_dir):
     return identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("place")
 
@@ -43,6 +48,7 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
     "op4_url_filters": op4_url_filters,
     "op5_token_counts": op5_token_counts,
