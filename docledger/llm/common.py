@@ -17,6 +17,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return stage(df, new_folder(df.sparkSession, label))
 
 
+#: Bytes of a table that may be sent to every executor; larger ones are joined by shuffle.
+SENT_BYTES = 32 << 20
+
+
+def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """`df`, marked for broadcast if its counted rows stay within `SENT_BYTES`. Stage it first."""
+    return F.broadcast(df) if df.count() * row_bytes <= SENT_BYTES else df
+
+
 def remainder(doc_id: str, by: int) -> Column:
     """crc32 of the id as text, modulo `by`; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % by, F.lit(0))

@@ -12,8 +12,10 @@ documents. The weight runs from `least` to 1 as idf runs from 0 to its ceiling;
 keeps the common part of a large group of copies from fading beside their few differences.
 
 Texts with the same words are one node. Inside a bucket every text is first compared with
-the least id; of the pairs left, between texts of different classes, those are compared
-that sizes and the distances to that least id (the distance is a metric) do not rule out.
+the least id. Buckets whose texts are still of several classes are then settled in tiles of
+bounded size: texts of different classes are compared, one against many, if sizes and the
+distances to that least id (the distance is a metric) do not rule the pair out, and a link
+is returned for each two classes that meet. So no pair is lost, and none is written out.
 
 Words are runs without white space, A-Z in lower case; a text of one to four words is one
 shingle. A text without words, and a null text, is a class of its own; a null id never
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import staged
+from docledger.llm.common import sent_if_small, staged
 from docledger.llm.components import components
 from docledger.llm.words import STEP, mixed, word_hashes
 
@@ -38,7 +40,9 @@ WORDS = 5
 #: Random triples for the samples, drawn by hash; and shingles of one counting bucket.
 POOL_BITS, PER_BUCKET = 16, 1 << 16
 #: Rows of a matrix of samples, and shingles that a task counts before it hands them on.
-AT_ONCE, COUNT_AT_ONCE = 1 << 14, 1 << 22
+AT_ONCE, COUNT_AT_ONCE = 1 << 12, 1 << 21
+#: Pairs compared at once, and texts of a bucket that one task gets at most, twice.
+PAIRS_AT_ONCE, TILE = 256, 1024
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray):
@@ -260,21 +264,27 @@ def near_duplicates(
         .groupBy("node")
         .agg(F.first("weight").alias("weight"), F.first("signature").alias("signature"))
     )
-    entries = nodes.select("node", "weight", F.posexplode("signature").alias("band", "value")).select(
-        "node", "weight", F.xxhash64("band", "value").alias("bucket")
+    entries = nodes.select("node", F.posexplode("signature").alias("band", "value")).select(
+        "node", "band", F.xxhash64("band", "value").alias("bucket")
     )
     centres = entries.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n"))
     crowded = staged(
-        entries.join(centres.filter("n > 1"), "bucket").select("bucket", "centre", "node", "weight"),
+        entries.join(centres.filter("n > 1"), "bucket").select("bucket", "band", "centre", "node"),
         "buckets",
     )
+    wanted = staged(crowded.select(F.col("node").alias("doc_id")).distinct(), "crowded")
+    needed = staged(
+        texts.join(sent_if_small(wanted, 64), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
+        "texts",
+    )
 
     def compare(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with the weighted Jaccard similarity of their texts."""
 
         def similarity(batches):
             weights = Weights(*shared.value, total, rare, least)
-            for batch in batches:
+            parts = (b.slice(at, PAIRS_AT_ONCE) for b in batches for at in range(0, b.num_rows, PAIRS_AT_ONCE))
+            for batch in parts:
                 sets = [
                     {i: (value, own) for i, value, own, _ in weighted(weights, batch.column(c))}
                     for c in ("text_a", "text_b")
@@ -289,10 +299,6 @@ def near_duplicates(
                     [batch.column("a"), batch.column("b"), pa.array(found)], ["a", "b", "similarity"]
                 )
 
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        needed = staged(
-            texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts"
-        )
         left = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         return staged(
@@ -316,30 +322,65 @@ def near_duplicates(
         crowded.join(classes, "node", "left")
         .withColumn("class", F.coalesce("component", "node"))
         .join(distance, ["centre", "node"], "left")
-        .select("bucket", "node", "weight", "class", F.coalesce("far", F.lit(0.0)).alias("far"))
+        .select("bucket", "band", "node", "class", F.coalesce("far", F.lit(0.0)).alias("far"))
     )
     split = (
         labelled.groupBy("bucket")
-        .agg(F.min("class").alias("low"), F.max("class").alias("high"))
+        .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
         .filter("low < high")
-        .select("bucket")
+        .select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("chunks"))
     )
-    open_rows = staged(labelled.join(split, "bucket"), "open-buckets")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = (
-        x.join(
-            y,
-            (F.col("x.bucket") == F.col("y.bucket"))
-            & (F.col("x.node") < F.col("y.node"))
-            & (F.col("x.class") != F.col("y.class"))
-            & (F.least("x.weight", "y.weight") >= threshold * F.greatest("x.weight", "y.weight"))
-            & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9),
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-        .join(starred.select("a", "b"), ["a", "b"], "left_anti")
+    # Every two chunks of a bucket meet in one tile.
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    tiled = (
+        labelled.join(split, "bucket")
+        .withColumn("chunk", chunk)
+        .withColumn("other", other)
+        .withColumn("tile", F.struct(F.least("chunk", "other"), F.greatest("chunk", "other")))
+        .join(nodes.select("node", "signature"), "node")
+        .join(needed.select(F.col("doc_id").alias("node"), "text"), "node")
+        .drop("chunks")
     )
-    more = compare(staged(rest, "pairs")).filter(F.col("similarity") >= threshold).select("a", "b")
+
+    def settle(tile: pa.Table) -> pa.Table:
+        """Links between the classes that meet in a tile."""
+        tile = tile.combine_chunks()
+        weights = Weights(*shared.value, total, rare, least)
+        found = list(weighted(weights, tile["text"].combine_chunks()))
+        sets, own = [x[1] for x in found], [x[2] for x in found]
+        whole = np.array([w.sum() for w in own])
+        nodes_here, far = tile["node"], tile["far"].to_numpy()
+        start = np.unique(tile["class"].to_numpy(), return_inverse=True)[1]
+        signature = np.array(tile["signature"].to_pylist(), np.int64)[:, : tile["band"][0].as_py()]
+        chunk = tile["chunk"].to_numpy()
+        across = len(np.unique(chunk)) > 1
+        main, label = np.bincount(start).argmax(), start.copy()
+        links = []
+        for i in np.flatnonzero(start != main).tolist():
+            # A pair that met in an earlier band is settled there.
+            open_ = (label != label[i]) & ((start == main) | (np.arange(len(label)) > i))
+            open_ &= ~(signature == signature[i]).any(axis=1) & (np.abs(far - far[i]) <= 1 - threshold + 1e-9)
+            open_ &= np.minimum(whole, whole[i]) >= threshold * np.maximum(whole, whole[i]) - 1e-9
+            if across:
+                open_ &= chunk != chunk[i]
+            others = np.flatnonzero(open_)
+            if not len(others):
+                continue
+            value = np.concatenate([sets[j] for j in others])
+            heads = np.cumsum([0, *(len(sets[j]) for j in others[:-1])])
+            at = np.searchsorted(sets[i], value).clip(max=len(sets[i]) - 1)
+            both = np.minimum(own[i][at], np.concatenate([own[j] for j in others]))
+            both = np.add.reduceat(np.where(sets[i][at] == value, both, 0.0), heads)
+            near = others[both / (whole[i] + whole[others] - both) >= threshold]
+            for j in near.tolist():
+                if label[j] != label[i]:
+                    links.append((i, j))
+                    label[label == label[j]] = label[i]
+        ends = [nodes_here.take(pa.array([x[k] for x in links], pa.int64())) for k in (0, 1)]
+        return pa.table({"a": ends[0], "b": ends[1]})
+
+    more = tiled.groupBy("bucket", "tile").applyInArrow(settle, f"a {kind}, b {kind}")
     final = components(linked.union(more))
     named = members.join(final, "node", "left").select(
         "doc_id", F.coalesce("component", "node").alias("class_id")
