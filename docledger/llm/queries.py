@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from docledger.llm.bpe import encode_texts
 from docledger.llm.common import table
+from docledger.llm.embeddings import near_vectors
 from docledger.llm.langid import identify_held_out
 from docledger.llm.minhash import near_duplicates
 from docledger.llm.mixing import mix
 from docledger.llm.sharding import shard_documents
 from docledger.llm.token_counts import count_tokens
+from docledger.llm.topk import top_k
 from docledger.llm.urls import judge
 
 VOCABULARY = "word_bpe_49k.json"
@@ -42,6 +45,14 @@ def op7_bpe_encode_decode(spark, sf_dir):
     return encode_texts(docs, public_tokenizers.path(VOCABULARY), with_ids=False)
 
 
+def op8_exact_top_k(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_near_vectors(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +64,8 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_token_counts": op5_token_counts,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_near_vectors": op9_near_vectors,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
