@@ -154,39 +154,34 @@ def fit(
     return model
 
 
+def predicted(texts: pa.Array, model: Model):
+    """(languages, cosines, rejected) of an array of texts."""
+    known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False)
+    known = known.to_numpy(zero_copy_only=False) & bool(model.languages)
+    nearest, cosine = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    if model.languages:
+        for first, counts in ngram_counts(texts):
+            found = model.vectors(counts) @ model.centroids.T
+            nearest[first : first + len(found)] = found.argmax(axis=1)
+            cosine[first : first + len(found)] = found.max(axis=1)
+    cosine = np.where(known, cosine.clip(0, 1), 0.0)
+    low = cosine < model.least[nearest] if model.languages else ~known
+    pairs = zip(nearest.tolist(), known.tolist(), strict=True)
+    languages = [model.languages[n] if k else UNKNOWN for n, k in pairs]
+    return languages, cosine, low | ~known
+
+
 def identify(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
     """One row per document: `lang_pred`, `score` (its cosine) and `rejected`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the languages
-    names = ["doc_id", "held_out", "lang_pred", "score", "rejected"]
 
     def predict(batches):
-        model = shared.value
         for batch in batches:
-            texts = batch.column("text")
-            known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False)
-            known = known.to_numpy(zero_copy_only=False) & bool(model.languages)
-            nearest = np.zeros(batch.num_rows, np.int64)
-            cosine = np.zeros(batch.num_rows)
-            if model.languages:
-                for first, counts in ngram_counts(texts):
-                    found = model.vectors(counts) @ model.centroids.T
-                    nearest[first : first + len(found)] = found.argmax(axis=1)
-                    cosine[first : first + len(found)] = found.max(axis=1)
-            cosine = np.where(known, cosine.clip(0, 1), 0.0)
-            low = cosine < model.least[nearest] if model.languages else ~known
-            predicted = [
-                model.languages[n] if k else UNKNOWN
-                for n, k in zip(nearest.tolist(), known.tolist(), strict=True)
-            ]
+            languages, cosine, rejected = predicted(batch.column("text"), shared.value)
+            arrays = [batch.column("doc_id"), batch.column("held_out")]
+            arrays += [pa.array(languages, pa.string()), pa.array(cosine), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(predicted, pa.string()),
-                    pa.array(cosine),
-                    pa.array(low | ~known),
-                ],
-                names,
+                arrays, ["doc_id", "held_out", "lang_pred", "score", "rejected"]
             )
 
     held_out = F.lit(False) if held_out is None else held_out
@@ -197,6 +192,18 @@ def identify(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
     )
 
 
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows of documents that are not rejected, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+
+    def keep(batches):
+        for batch in batches:
+            rejected = predicted(batch.column("text"), shared.value)[2]
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify_held_out(docs: DataFrame) -> DataFrame:
     """Learn from documents whose remainder by 3 is not 1, judge all."""
     held_out = remainder("doc_id", 3) == 1

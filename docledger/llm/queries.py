@@ -9,6 +9,7 @@ from docledger.llm.bpe import encode_texts
 from docledger.llm.common import table
 from docledger.llm.embeddings import near_vectors
 from docledger.llm.langid import identify_held_out
+from docledger.llm.lm import score_held_out
 from docledger.llm.minhash import near_duplicates
 from docledger.llm.mixing import mix
 from docledger.llm.sharding import shard_documents
@@ -40,6 +41,10 @@ def op5_token_counts(spark, sf_dir):
     return count_tokens(docs, public_tokenizers.path(VOCABULARY))
 
 
+def op6_lm_scores(spark, sf_dir):
+    return score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_encode_decode(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return encode_texts(docs, public_tokenizers.path(VOCABULARY), with_ids=False)
@@ -63,6 +68,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_url_filters": op4_url_filters,
     "op5_token_counts": op5_token_counts,
+    "op6_lm_scores": op6_lm_scores,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_near_vectors": op9_near_vectors,
