@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from docledger.llm.pretokens import END_OF_WORD, Splitter, Vocabulary, spelled
 
 #: Distinct words of each kind, and pairs, that a worker remembers at most, about.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 NEVER = 1 << 60
 
 

@@ -118,7 +118,7 @@ def fit(
         for batch in batches:
             rows = []
             for _, counts in ngram_counts(batch.column("text")):
-                rows += [row.astype("<u4").tobytes() for row in counts]
+                rows += [(row.nonzero()[0].astype("<u4").tobytes() + row[row > 0].astype("<u4").tobytes()) for row in counts]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary())], ["lang", "counts"])
 
     df = np.zeros(DIMENSIONS)
@@ -138,12 +138,16 @@ def fit(
     )
     drawn: dict[str, list] = {}
     for lang, counts in sample.collect():
-        drawn.setdefault(lang, []).append(np.frombuffer(counts, "<u4"))
+        drawn.setdefault(lang, []).append(bytes(counts))
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + 1
     model = Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
     centroids, least = [], []
     for lang in sorted(drawn):
-        vectors = model.vectors(np.array(sorted(drawn[lang], key=bytes)))
+        table = np.zeros((len(drawn[lang]), DIMENSIONS), np.int64)
+        for row, cells in zip(table, sorted(drawn[lang]), strict=True):
+            gram, n = np.frombuffer(cells, "<u4").reshape(2, -1)
+            row[gram] = n
+        vectors = model.vectors(table)
         own = cluster(vectors, clusters)
         nearest = (vectors @ own.T).max(axis=1)
         centroids.append(own)
