@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docledger.llm.common import tidy
 from docledger.llm.pretokens import END_OF_WORD, Splitter, Vocabulary, spelled
 
 #: Distinct words of each kind, and pairs, that a worker remembers at most, about.
@@ -218,6 +219,7 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame
     name = hash(vocabulary.source)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
 
+    @tidy
     def encode(batches):
         if name not in _codecs:
             _codecs.clear()

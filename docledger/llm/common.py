@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,19 @@ def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= SENT_BYTES else df
 
 
+def tidy(function):
+    """Hand back, when a task ends, memory that Arrow keeps for later; workers live on."""
+
+    @wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def remainder(doc_id: str, by: int) -> Column:
     """crc32 of the id as text, modulo `by`; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % by, F.lit(0))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import staged
+from docledger.llm.common import staged, tidy
 from docledger.llm.components import components
 from docledger.llm.vectors import matrices
 
@@ -50,6 +50,7 @@ def unit(matrix: np.ndarray) -> np.ndarray:
 def encode(vectors: DataFrame, kind: str, seed: int) -> DataFrame:
     """Id, label, vector, its code (packed signs) and its correction factor."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for rows, matrix in matrices(batch.column("embedding")):

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.llm.common import remainder
+from docledger.llm.common import remainder, tidy
 
 DIMENSIONS = 4096
 N = 3
@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: Bytes that are no ASCII letter and no part of a longer character count as spaces.
 LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
 #: Bytes and documents turned into vectors at once.
-BYTES_AT_ONCE, ROWS_AT_ONCE = 1 << 20, 512
+BYTES_AT_ONCE, ROWS_AT_ONCE = 1 << 19, 256
 
 
 def ngram_counts(texts: pa.Array):
@@ -107,6 +107,7 @@ def fit(
     if not total:
         return Model(np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS)), [], np.zeros(0))
 
+    @tidy
     def frequencies(batches):
         found = np.zeros(DIMENSIONS, np.int64)
         for batch in batches:
@@ -114,6 +115,7 @@ def fit(
                 found += (counts > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS)), pa.array(found)], ["gram", "df"])
 
+    @tidy
     def sparse(batches):
         for batch in batches:
             rows = []
@@ -179,6 +181,7 @@ def identify(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
     """One row per document: `lang_pred`, `score` (its cosine) and `rejected`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the languages
 
+    @tidy
     def predict(batches):
         for batch in batches:
             languages, cosine, rejected = predicted(batch.column("text"), shared.value)
@@ -200,6 +203,7 @@ def recognised(docs: DataFrame) -> DataFrame:
     """The rows of documents that are not rejected, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
+    @tidy
     def keep(batches):
         for batch in batches:
             rejected = predicted(batch.column("text"), shared.value)[2]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docledger.llm.common import sent_if_small, staged
+from docledger.llm.common import sent_if_small, staged, tidy
 from docledger.llm.components import components
 from docledger.llm.words import STEP, mixed, word_hashes
 
@@ -40,7 +40,7 @@ WORDS = 5
 #: Random triples for the samples, drawn by hash; and shingles of one counting bucket.
 POOL_BITS, PER_BUCKET = 16, 1 << 16
 #: Rows of a matrix of samples, and shingles that a task counts before it hands them on.
-AT_ONCE, COUNT_AT_ONCE = 1 << 12, 1 << 21
+AT_ONCE, COUNT_AT_ONCE = 1 << 12, 1 << 20
 #: Pairs compared at once, and texts of a bucket that one task gets at most, twice.
 PAIRS_AT_ONCE, TILE = 256, 1024
 
@@ -158,6 +158,7 @@ def frequent_shingles(docs: DataFrame, total: int, rare: float):
             ["bucket", "low", "counts"],
         )
 
+    @tidy
     def count(batches):
         values, size = [], 0
         for batch in batches:
@@ -218,6 +219,7 @@ def near_duplicates(
                 words = hashes[bounds[i] : bounds[i + 1]]
                 yield first + i, value[begin:end], weight[begin:end], words
 
+    @tidy
     def sign(batches):
         weights, sampler = Weights(*shared.value, total, rare, least), Sampler(bands * rows, seed)
         for batch in batches:
@@ -281,6 +283,7 @@ def near_duplicates(
     def compare(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with the weighted Jaccard similarity of their texts."""
 
+        @tidy
         def similarity(batches):
             weights = Weights(*shared.value, total, rare, least)
             parts = (b.slice(at, PAIRS_AT_ONCE) for b in batches for at in range(0, b.num_rows, PAIRS_AT_ONCE))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from docledger.llm.common import tidy
 from docledger.llm.pretokens import END_OF_WORD, Splitter, Vocabulary, spelled
 
 #: Distinct merged words a worker remembers; beyond that it forgets all and goes on.
@@ -45,6 +46,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast  # of the vocabulary's fixed size
     shared = send((vocabulary.source, vocabulary.specials, whole_tokens(vocabulary)))
 
+    @tidy
     def count(batches):
         source, specials, whole = shared.value
         splitter, merge = Splitter(specials, source), merger(source)

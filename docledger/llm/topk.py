@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.llm.common import sent_if_small, staged
+from docledger.llm.common import sent_if_small, staged, tidy
 from docledger.llm.vectors import matrices
 
 BLOCK, STRIPE, CHUNK = 128, 2048, 1024
@@ -38,6 +38,7 @@ def integers(matrix: np.ndarray, scale: int) -> np.ndarray:
 def stripes_of(vectors: DataFrame, scale: int) -> DataFrame:
     """Rows of up to `STRIPE` vectors in blocks: ids, matrix, and bounds of the terms."""
 
+    @tidy
     def pack(batches):
         for batch in batches:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
@@ -131,6 +132,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     asked = staged(chunks_of(queries, scale, chunks), "queries")
 
     def search(stripes: DataFrame, asked: DataFrame) -> DataFrame:
+        @tidy
         def run(batches):
             for batch in batches:
                 for row in batch.to_pylist():

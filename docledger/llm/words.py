@@ -13,7 +13,7 @@ LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
 LOWER[65:91] += np.uint64(32)
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes handled at once; a longer document is handled by itself.
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 
 
 def mixed(value: np.ndarray) -> np.ndarray:
