@@ -226,9 +226,10 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame
             _codecs[name] = Codec(shared.value)
         codec = _codecs[name]
         splitter = Splitter(codec.specials, shared.value.source)
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         for batch in batches:
-            columns: list[list] = [[] for _ in names[1:]]
-            for _, part in splitter.batches(batch.column("text").to_pylist()):
+            for first, part in splitter.batches(batch.column("text").to_pylist()):
+                columns: list[list] = [[] for _ in names[1:]]
                 found = codec.look_up(part.words)
                 data, text = zip(*found, strict=True) if found else ((), ())
                 places, bounds = part.places.tolist(), part.bounds.tolist()
@@ -245,10 +246,11 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame
                         row += [np.frombuffer(ids, "<u4").astype(np.int32), decoded]
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names)
+                # Written out piece by piece: ids and decoded texts outgrow their documents.
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
+                own_ids = batch.column("doc_id").slice(first, len(bounds) - 1)
+                yield pa.RecordBatch.from_arrays([own_ids, *arrays], names)
 
-    kinds = ["long", "long", "string", "string", "array<int>", "string"]
-    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=False))
+    types = [docs.schema["doc_id"].dataType.simpleString(), "long", "string", "string", "array<int>", "string"]
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, types, strict=False))
     return docs.select("doc_id", "text").mapInArrow(encode, schema)

@@ -79,6 +79,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     counted = docs.select("doc_id", size, "text").mapInArrow(
-        count, "doc_id long, n_bytes long, n_tokens long, n_whole long"
+        count,
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, n_whole long",
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
