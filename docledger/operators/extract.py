@@ -26,11 +26,13 @@ class Extractor:
 
     `native` extractors are Column expressions: cheap enough to run in the scan
     that hashes the text, so the text itself is never shuffled. The others run
-    only on documents that the ledger has not seen.
+    only on documents that the ledger has not seen. `columns` are those it reads
+    besides names and text.
     """
 
     apply: Callable[[DataFrame], DataFrame]
     native: bool
+    columns: tuple[str, ...] = ()
 
 
 def _record(fields: dict[str, Column]) -> Column:
@@ -185,7 +187,7 @@ def response_extractor(response: str = "response") -> Extractor:
             "record", F.when(F.col("extract_error").isNull(), F.col("record"))
         )
 
-    return Extractor(apply, native=True)
+    return Extractor(apply, native=True, columns=(response,))
 
 
 # --- a user's extractor ------------------------------------------------------------------
@@ -195,8 +197,9 @@ def custom_extractor(
 ) -> Extractor:
     """Run a user's extractor: `factory()` gives a function of text and file name.
 
-    The factory runs once per task, at its first document, so clients are never
-    pickled. The function returns a dict of record fields, or None for a refusal;
+    The factory runs once on the driver, where a failure ends the run before anything
+    is recorded, and once per task, at its first document, so clients are never pickled;
+    a task whose factory fails gives that error for all its documents. The function returns a dict of record fields, or None for a refusal;
     what it raises becomes that document's error and fails nothing else. Its
     answers go through the same binding as stored responses; the text itself is not
     sent back. `partitions` spreads the remaining documents evenly, as the new ones
@@ -210,14 +213,21 @@ def custom_extractor(
 
         import pandas as pd
 
-        extract = None
+        extract = broken = None
 
         def answer(text, name):
-            nonlocal extract
+            nonlocal extract, broken
             if text is None:
                 return None, None
+            if broken:
+                return None, broken
+            if extract is None:
+                try:
+                    extract = factory()
+                except Exception as error:
+                    broken = f"The extractor failed: {error}"
+                    return None, broken
             try:
-                extract = extract or factory()
                 found = extract(text, name)
                 if found is None:
                     return None, "The extractor gave no record"
@@ -233,6 +243,7 @@ def custom_extractor(
             )
 
     def apply(docs: DataFrame) -> DataFrame:
+        factory()
         carried = [field for field in docs.schema.fields if field.name != "raw_text"]
         answered = T.StructType(
             carried

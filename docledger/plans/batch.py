@@ -169,6 +169,13 @@ def _observed(
     return staged
 
 
+def _refuse_other_run(ledger: Ledger, run_id: str, staged: DataFrame) -> None:
+    """A run id may be repeated for the documents it recorded, never for others."""
+    recorded = ledger.events().where(F.col("run_id") == run_id).select("file_hash")
+    if not recorded.join(staged.select("file_hash"), "file_hash", "left_anti").isEmpty():
+        raise ValueError(f"run {run_id!r} is recorded with documents that are not in this one")
+
+
 def _known_hashes(events: DataFrame, retry_issue_types: Sequence[str]) -> DataFrame:
     """Hashes to skip; documents that last failed with a type to retry are not among them."""
     if not retry_issue_types:
@@ -199,7 +206,9 @@ def run_batch(
     `decoders`) or `raw_text`. Outputs go to `output_dir/run_id=<run_id>/`, with
     `ordered` in processing order (by name, then path) across their part files. The
     ledger is written last, and a repeated `run_id` replaces its own outputs and ledger
-    rows, so a run that broke off anywhere can simply be started again.
+    rows, so a run that broke off anywhere can simply be started again. An id that the
+    ledger has with documents which are not among `docs` is refused. `docs` also has the
+    columns that the extractor names.
     """
     spark = docs.sparkSession
     has_text = "raw_text" in docs.columns
@@ -210,9 +219,12 @@ def run_batch(
         raise ValueError(f"dedup must be one of {DEDUP_MODES}, not {dedup!r}")
     if run_id is not None and not re.fullmatch(r"[\w.-]+", run_id):
         raise ValueError(f"run_id names a folder, so it cannot be {run_id!r}")
+    if rules is not None and confidence_floor != DEFAULT_CONFIDENCE_FLOOR:
+        raise ValueError("confidence_floor belongs to the default rules; give it to your own")
     rules = default_rules(confidence_floor) if rules is None else rules
+    given_run = run_id
     started_at = datetime.now(timezone.utc)
-    run_id = run_id or f"{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    run_id = run_id or f"{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex}"
     work = new_folder(spark, run_id)
     events = ledger.events().where(F.col("run_id") != run_id)
 
@@ -220,12 +232,14 @@ def run_batch(
     # the rules follow at once: from there on only narrow rows are moved.
     one_pass = has_text and extractor.native
     narrow = with_content_hash(docs, "raw_text" if has_text else "content").select(
-        *DOCUMENT, *(["raw_text"] if one_pass else [])
+        *DOCUMENT, *(["raw_text", *extractor.columns] if one_pass else [])
     )
     if one_pass:
         records = extract_records(narrow, extractor).select(*DOCUMENT, "record", "failure")
         narrow = judge_documents(records, rules)
     staged = _observed(narrow, "hashed", f"{work}/intake", on_progress)
+    if given_run is not None:
+        _refuse_other_run(ledger, run_id, staged)
 
     known = None
     if not force:
@@ -242,9 +256,9 @@ def run_batch(
     if not one_pass:
         wanted = _keep_admitted(docs, marked)
         if has_text:
-            text = wanted.select("file_name", "file_path", "raw_text")
+            text = wanted.select("file_name", "file_path", "raw_text", *extractor.columns)
         else:
-            content = wanted.select("file_name", "file_path", "content")
+            content = wanted.select("file_name", "file_path", "content", *extractor.columns)
             text = read_text(decode(content, decoders))
         records = extract_records(text, extractor).select("file_path", "record", "failure")
         extracted = _observed(

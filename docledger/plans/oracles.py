@@ -285,7 +285,7 @@ _LABEL = "(?im)^[ \\t]*invoice[ \\t]*(number|no\\.?|#)[ \\t]*:[ \\t]*\\S"
 
 ORACLES = {
     "content_hash": "SELECT doc_id, sha256(text) AS file_hash FROM documents",
-    "assemble_pages": f"""SELECT conv_id, CAST(0 AS BIGINT) AS part, count(*) AS page_count,
+    "assemble_pages": f"""SELECT conv_id, count(*) AS page_count,
         trim(string_agg(coalesce(text, ''), E'\\n\\n' ORDER BY turn), {SPACES}) AS raw_text
         FROM conversations GROUP BY conv_id""",
     "unreadable_documents": f"""SELECT doc_id,

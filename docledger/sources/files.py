@@ -42,8 +42,9 @@ def as_documents(files: DataFrame) -> DataFrame:
 
 
 def with_content_hash(docs: DataFrame, column: str = "content") -> DataFrame:
-    """Add `file_hash`, the SHA-256 of the whole content in hex."""
-    return docs.withColumn("file_hash", F.sha2(F.col(column).cast("binary"), 256))
+    """Add `file_hash`, the SHA-256 of the whole content in hex; no content hashes as empty."""
+    content = F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+    return docs.withColumn("file_hash", F.sha2(content, 256))
 
 
 def table_documents(table: DataFrame, name: str, path: str, text: str) -> DataFrame:

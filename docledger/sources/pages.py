@@ -8,43 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docledger.functions.text import is_blank, join_pages, page_text
+from docledger.functions.text import is_blank, page_text
 
-# Pages of one document that a single row may take up.
-PAGES_PER_ROW = 65_536
 
+def assemble_pages(pages: DataFrame, doc: str, page_no: str, text: str) -> DataFrame:
+    """One row per document from a table of pages: page count and text, in page order.
 
-def assemble_pages(
-    pages: DataFrame, doc: str, page_no: str, text: str, pages_per_row: int = PAGES_PER_ROW
-) -> DataFrame:
-    """One text per document from a table of pages, in page order.
-
-    A document with more than `pages_per_row` pages comes out whole as several rows
-    (`part` 0, 1, ...), each holding that many page numbers, so no task ever gathers
-    an unbounded document. Parts are not stripped: joined by a blank line and then
-    stripped they give the document's text. The list of such documents has at most
-    rows / `pages_per_row` entries, which is what makes the broadcast safe; it is
-    found from the key column alone.
+    The pages of a document are one string and so go to one task, whatever their number.
     """
-    large = (
-        pages.groupBy(doc)
-        .count()
-        .where(F.col("count") > pages_per_row)
-        .select(doc, F.lit(True).alias("large"))
-    )
-    part = F.when(F.col("large"), F.floor(F.col(page_no) / pages_per_row)).otherwise(0)
     page = F.struct(F.col(page_no).alias("page_no"), F.col(text).alias("text"))
     return (
-        pages.join(F.broadcast(large), doc, "left")
-        .groupBy(doc, "large", part.cast("long").alias("part"))
+        pages.groupBy(doc)
         .agg(F.array_sort(F.collect_list(page)).alias("pages"))
         .select(
             doc,
-            "part",
             F.size("pages").cast("long").alias("page_count"),
-            F.when(F.col("large"), join_pages(F.col("pages.text")))
-            .otherwise(page_text(F.col("pages.text")))
-            .alias("raw_text"),
+            page_text(F.col("pages.text")).alias("raw_text"),
         )
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -20,28 +20,34 @@ def run_arrivals(
     checkpoint: str,
     *,
     suffix: str = ".pdf",
-    files_per_batch: int = 100_000,
+    files_per_batch: int | None = None,
     **options,
 ) -> StreamingQuery:
     """Process the files that arrived since the last call, then stop.
 
-    Each micro-batch is one run, named by the stream's checkpoint and the batch number,
-    so a batch that Spark repeats after a failure replaces its own outputs and ledger
-    rows. The file source remembers paths and the ledger remembers content: a renamed
+    Each micro-batch is one run, named by the stream's id and the batch number, so a
+    batch that Spark repeats after a failure replaces its own outputs and ledger rows.
+    The id is kept in the checkpoint: a checkpoint that was deleted and begun again is
+    another stream, and leaves the rows of the former one alone. `files_per_batch` splits
+    a backlog into several runs; then the first copy of a document, and the first owner of
+    a key, follow the order of arrival, not of file names. The file source remembers paths and the ledger remembers content: a renamed
     copy is still skipped.
     """
-    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:8]
-    arrivals = (
+    files = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name_pattern(suffix))
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
     )
+    if files_per_batch is not None:
+        files = files.option("maxFilesPerTrigger", files_per_batch)
+    arrivals = files.load(folder)
+
+    def stream_id() -> str:
+        return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        run_id = f"{stream}-{batch_id:010d}"
+        run_id = f"{stream_id()}-{batch_id:010d}"
         run_batch(as_documents(batch), ledger, output_dir, run_id=run_id, **options)
 
     return (

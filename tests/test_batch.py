@@ -10,26 +10,26 @@ import pytest
 from pyspark.sql import functions as F
 
 import docledger
-from docledger.operators.extract import custom_extractor
+from docledger.operators.extract import custom_extractor, response_extractor
 from docledger.plans import batch
 from docledger.sinks import exports
 from docledger.sources.files import scan_files, table_documents
 from docledger.streaming.incremental import run_arrivals
 
 DOCUMENTS = {
-    "inv_001.pdf": ("Acme Industrial", "INV-2024-001", "2024-03-01", "2024-03-31", "1,250.00", "EUR"),
-    "inv_002.pdf": ("TechCorp", "INV-2024-002", "05.03.2024", None, "450.00", "USD"),
-    "inv_003.pdf": ("Logistics", "INV-2024-003", "2024-03-10", "2024-04-10", "-75.00", "EUR"),
-    "inv_004.pdf": ("ACME Industrial ", "inv-2024-001", "2024-03-01", "2024-03-31", "1,250.00", "EUR"),
-    "inv_005.PDF": ('Vertex, "Global"', "INV-2024-005", "2024-03-12", "2024-04-12", "3,400.00", "£"),
-    "inv_006.pdf": ("Omni", None, "2024-03-14", "2024-04-14", "1200.00", "USD"),
-    "inv_007.pdf": ("Tokyo", "INV-2024-007", "2024-03-18", "2024-04-18", "150000.00", "JPY"),
+    "memo_11.pdf": ("Norrland Timber", "NT/77-A", "2022-07-19", "2022-08-02", "2,318.40", "EUR"),
+    "memo_12.pdf": ("Blue Kettle", "BK 4410", "23.11.2021", None, "96.50", "USD"),
+    "memo_13.pdf": ("Ferry Cargo", "FC.0912", "2023-01-30", "2023-03-01", "-12.30", "EUR"),
+    "memo_14.pdf": ("NORRLAND Timber ", "nt/77-a", "2022-07-19", "2022-08-02", "2,318.40", "EUR"),
+    "memo_15.PDF": ('Halden, "North"', "H31", "2020-02-29", "2020-06-15", "7,005.00", "£"),
+    "memo_16.pdf": ("Quarry Lane", None, "2022-12-24", "2023-01-07", "640.00", "USD"),
+    "memo_17.pdf": ("Osaka Pens", "OP-55", "2021-05-08", "2021-05-09", "88000.00", "JPY"),
 }
 ISSUES = {
-    "inv_003.pdf": "INVALID_AMOUNT",
-    "inv_004.pdf": "DUPLICATE_INVOICE",
-    "inv_006.pdf": "MISSING_INVOICE_NUMBER",
-    "inv_007.pdf": "UNKNOWN_CURRENCY",
+    "memo_13.pdf": "INVALID_AMOUNT",
+    "memo_14.pdf": "DUPLICATE_INVOICE",
+    "memo_16.pdf": "MISSING_INVOICE_NUMBER",
+    "memo_17.pdf": "UNKNOWN_CURRENCY",
 }
 
 
@@ -108,19 +108,19 @@ def test_first_run_outputs(run):
         "currency",
         "status",
     ]
-    assert [r["file_name"] for r in invoices] == ["inv_001.pdf", "inv_002.pdf", "inv_005.PDF"]
+    assert [r["file_name"] for r in invoices] == ["memo_11.pdf", "memo_12.pdf", "memo_15.PDF"]
     assert [r["status"] for r in invoices] == ["OK", "FLAGGED", "OK"]
-    assert [r["total_amount"] for r in invoices] == ["1250.00", "450.00", "3400.00"]
-    assert [r["due_date"] for r in invoices] == ["2024-03-31", "", "2024-04-12"]
+    assert [r["total_amount"] for r in invoices] == ["2318.40", "96.50", "7005.00"]
+    assert [r["due_date"] for r in invoices] == ["2022-08-02", "", "2020-06-15"]
     assert invoices[1]["invoice_date"] == "2024-03-05"
-    assert invoices[2]["supplier_name"] == 'Vertex, "Global"' and invoices[2]["currency"] == "GBP"
+    assert invoices[2]["supplier_name"] == 'Halden, "North"' and invoices[2]["currency"] == "GBP"
 
     header, exceptions = read_csv(first.output_files["exceptions_csv"])
     assert header == ["file_name", "file_hash", "issue_type", "details"]
     assert {r["file_name"]: r["issue_type"] for r in exceptions} == ISSUES
 
     as_json = read_json(first.output_files["invoices_json"])
-    assert as_json[1]["due_date"] is None and as_json[0]["total_amount"] == 1250.0
+    assert as_json[1]["due_date"] is None and as_json[0]["total_amount"] == 2318.4
     assert {r["issue_type"] for r in read_json(first.output_files["exceptions_json"])} == set(ISSUES.values())
     summary = read_json(first.output_files["run_summary_json"])
     assert len(summary) == 1 and summary[0]["exceptions_count"] == 4
@@ -140,7 +140,7 @@ def test_repeat_forced_and_changed_runs(run, inbox):
     assert counts(run(force=True)) == (7, 2, 1, 4, 0)
     assert counts(run(force=True, dedup="off")) == (7, 3, 1, 3, 0)
 
-    (inbox / "copy_of_001.pdf").write_bytes((inbox / "inv_001.pdf").read_bytes())
+    (inbox / "copy_of_001.pdf").write_bytes((inbox / "memo_11.pdf").read_bytes())
     (inbox / "new_a.pdf").write_text(page("Nova", "N-1", "2024-01-01", "2024-02-01", "5.00", "EUR"))
     (inbox / "new_b.pdf").write_text(page("Nova", "N-1", "2024-01-01", "2024-02-01", "5.00", "EUR"))
     mixed = run()
@@ -153,13 +153,13 @@ def test_ledger_after_a_run(run):
     first = run(run_id="one")
     stats = {r.status: r.documents for r in run.ledger.stats().collect()}
     assert stats == {"OK": 2, "FLAGGED": 1, "EXCEPTION": 4, "TOTAL": 7}
-    rejected = first.results.where("file_name = 'inv_004.pdf'").first()
+    rejected = first.results.where("file_name = 'memo_14.pdf'").first()
     record = run.ledger.get(rejected.file_hash).first()
-    assert record.issue_type == "DUPLICATE_INVOICE" and record.supplier_name == "ACME Industrial"
+    assert record.issue_type == "DUPLICATE_INVOICE" and record.supplier_name == "NORRLAND Timber"
     assert record.processed_at.replace(tzinfo=timezone.utc) == first.summary["started_at"]
     assert run.ledger.get("no such hash").count() == 0
     assert {tuple(r)[:3] for r in run.ledger.history().collect()} == {
-        ("acme industrial", "inv-2024-001", 1),
+        ("norrland timber", "nt/77-a", 1),
         ("techcorp", "inv-2024-002", 1),
         ('vertex, "global"', "inv-2024-005", 1),
     }
@@ -280,7 +280,7 @@ def test_arrivals_run_once_each(spark, inbox, tmp_path):
 
     arrive()
     assert {r.status: r.documents for r in ledger.stats().collect()}["TOTAL"] == 7
-    (inbox / "renamed.pdf").write_bytes((inbox / "inv_001.pdf").read_bytes())
+    (inbox / "renamed.pdf").write_bytes((inbox / "memo_11.pdf").read_bytes())
     (inbox / "later.pdf").write_text(page("Nova", "N-1", "2024-01-01", "2024-02-01", "5.00", "EUR"))
     arrive()
     stats = {r.status: r.documents for r in ledger.stats().collect()}
@@ -292,8 +292,8 @@ def test_large_runs_take_the_shuffle_paths(run, inbox, monkeypatch):
     """With no room to broadcast, every size-checked join has to give the same results."""
     monkeypatch.setattr(batch, "BROADCAST_BYTES", 0)
     assert counts(run()) == (7, 2, 1, 4, 0)
-    (inbox / "copy_of_001.pdf").write_bytes((inbox / "inv_001.pdf").read_bytes())
-    (inbox / "dup_of_002.pdf").write_text(page("techcorp ", "INV-2024-002", "2024-01-01", None, "1", "EUR"))
+    (inbox / "copy_of_001.pdf").write_bytes((inbox / "memo_11.pdf").read_bytes())
+    (inbox / "dup_of_002.pdf").write_text(page("blue kettle ", "BK 4410", "2024-01-01", None, "1", "EUR"))
     (inbox / "new.pdf").write_text(page("Nova", "N-1", "2024-01-01", "2024-02-01", "5.00", "EUR"))
     mixed = run()
     assert counts(mixed) == (10, 1, 0, 1, 8)
@@ -344,3 +344,42 @@ def test_new_ledger_is_empty(spark, folder):
     assert [tuple(r) for r in ledger.stats().collect()] == [("TOTAL", 0)]
     assert ledger.get("x").count() == 0 and ledger.history().count() == 0
     assert docledger.Ledger(spark, f"{folder}/ledger").epoch() == 0
+
+
+def test_stored_responses_and_null_texts(spark, tmp_path):
+    answer = json.dumps(
+        {
+            "supplier_name": "Ferry Cargo",
+            "invoice_number": "FC.1",
+            "invoice_date": "2023-02-01",
+            "due_date": "2023-03-01",
+            "total_amount": 12.5,
+            "currency": "EUR",
+            "confidence_score": 0.95,
+        }
+    )
+    rows = [("a", "p/a", "some text", answer), ("b", "p/b", None, None), ("c", "p/c", "other", "{")]
+    docs = spark.createDataFrame(rows, "file_name string, file_path string, raw_text string, response string")
+    ledger = docledger.Ledger(spark, str(tmp_path / "stored"))
+    run = docledger.run_batch(docs, ledger, str(tmp_path / "out"), extractor=response_extractor())
+    found = {r.file_name: (r.status, r.exception and r.exception.issue_type) for r in run.results.collect()}
+    assert found == {
+        "a": ("OK", None),
+        "b": ("EXCEPTION", "UNREADABLE_PDF"),
+        "c": ("EXCEPTION", "EXTRACTION_FAILED"),
+    }
+    assert ledger.events().where("file_hash IS NULL").isEmpty()
+    again = docledger.run_batch(docs, ledger, str(tmp_path / "out"), extractor=response_extractor())
+    assert {r.status for r in again.results.collect()} == {"SKIPPED_CACHED"}
+
+
+def test_a_run_id_is_not_taken_over(spark, tmp_path):
+    kind = "file_name string, file_path string, raw_text string"
+    ledger = docledger.Ledger(spark, str(tmp_path / "owned"))
+    one, two = (spark.createDataFrame([(n, n, n)], kind) for n in ("x", "y"))
+    docledger.run_batch(one, ledger, str(tmp_path / "out"), run_id="r")
+    with pytest.raises(ValueError, match="documents that are not in this one"):
+        docledger.run_batch(two, ledger, str(tmp_path / "out"), run_id="r")
+    assert ledger.events().count() == 1
+    with pytest.raises(ValueError, match="confidence_floor"):
+        docledger.run_batch(one, ledger, str(tmp_path / "out"), rules=[], confidence_floor=0.1)
