@@ -112,7 +112,7 @@ def test_first_run_outputs(run):
     assert [r["status"] for r in invoices] == ["OK", "FLAGGED", "OK"]
     assert [r["total_amount"] for r in invoices] == ["2318.40", "96.50", "7005.00"]
     assert [r["due_date"] for r in invoices] == ["2022-08-02", "", "2020-06-15"]
-    assert invoices[1]["invoice_date"] == "2024-03-05"
+    assert invoices[1]["invoice_date"] == "2021-11-23"
     assert invoices[2]["supplier_name"] == 'Halden, "North"' and invoices[2]["currency"] == "GBP"
 
     header, exceptions = read_csv(first.output_files["exceptions_csv"])
@@ -160,8 +160,8 @@ def test_ledger_after_a_run(run):
     assert run.ledger.get("no such hash").count() == 0
     assert {tuple(r)[:3] for r in run.ledger.history().collect()} == {
         ("norrland timber", "nt/77-a", 1),
-        ("techcorp", "inv-2024-002", 1),
-        ('vertex, "global"', "inv-2024-005", 1),
+        ("blue kettle", "bk 4410", 1),
+        ('halden, "north"', "h31", 1),
     }
     run.ledger.clear()
     assert {r.status: r.documents for r in run.ledger.stats().collect()} == {"TOTAL": 0}
