@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import wraps
 
 import pyarrow as pa
@@ -29,15 +30,23 @@ def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= SENT_BYTES else df
 
 
+def give_back() -> None:
+    """Return memory that Arrow and, where it can be told to, the C library keep for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(function):
-    """Hand back, when a task ends, memory that Arrow keeps for later; workers live on."""
+    """Hand back, when a task ends, the memory it held; workers live on."""
 
     @wraps(function)
     def run(batches):
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 
