@@ -136,7 +136,9 @@ def parse_response(docs: DataFrame, response: str) -> DataFrame:
         "_json", F.from_json(response, RESPONSE, {"columnNameOfCorruptRecord": "_bad"})
     )
     body = strip(F.col(response))
-    is_object = F.col("_json._bad").isNull() & body.startswith("{") & body.endswith("}")
+    # The parser stops after the first value; as an array the whole text must be one value.
+    alone = F.size(F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")) == 1
+    is_object = F.col("_json._bad").isNull() & body.startswith("{") & body.endswith("}") & alone
 
     def field(name: str, dtype: str) -> Column:
         return F.try_variant_get(f"_json.{name}", "$", dtype)

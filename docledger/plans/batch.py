@@ -230,7 +230,8 @@ def run_batch(
 
     # Hash every document once. Cheap extraction from table text shares that scan, and
     # the rules follow at once: from there on only narrow rows are moved.
-    one_pass = has_text and extractor.native
+    # Where the ledger knows documents, it is asked first, and only new ones are extracted.
+    one_pass = has_text and extractor.native and (force or events.isEmpty())
     narrow = with_content_hash(docs, "raw_text" if has_text else "content").select(
         *DOCUMENT, *(["raw_text", *extractor.columns] if one_pass else [])
     )

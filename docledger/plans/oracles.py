@@ -284,6 +284,8 @@ HASHED = """WITH hashed AS (
 _LABEL = "(?im)^[ \\t]*invoice[ \\t]*(number|no\\.?|#)[ \\t]*:[ \\t]*\\S"
 
 ORACLES = {
+    "scanned_file_hashes": """SELECT doc_id, '.txt' AS suffix, strlen(coalesce(text, '')) + 1 AS length,
+        sha256(coalesce(text, '') || chr(10)) AS file_hash FROM documents""",
     "content_hash": "SELECT doc_id, sha256(text) AS file_hash FROM documents",
     "assemble_pages": f"""SELECT conv_id, count(*) AS page_count,
         trim(string_agg(coalesce(text, ''), E'\\n\\n' ORDER BY turn), {SPACES}) AS raw_text
@@ -413,3 +415,11 @@ ORACLES = {
     "json_round_trip_exceptions": f"{BATCH} {EXCEPTIONS}",
     "summary_round_trip": f"{RUN} {SUMMARY}",
 }
+
+# Whole runs give what their steps give one by one.
+ORACLES |= {
+    "run_batch_results": ORACLES["text_run_summary"],
+    "run_batch_rerun": """SELECT 'SKIPPED_CACHED' AS status, 'NONE' AS issue_type,
+        count(*) AS documents FROM documents HAVING count(*) > 0""",
+    "run_batch_responses": ORACLES["batch_results"],
+}

@@ -11,7 +11,7 @@ from docledger.functions.keys import KEY, with_keys
 from docledger.functions.text import file_name, file_suffix, strip
 from docledger.operators import copies, dedup, extract, routing, rules
 from docledger.plans import recipes
-from docledger.plans.batch import extract_records, judge_documents, route_documents
+from docledger.plans.batch import extract_records, judge_documents, route_documents, run_batch
 from docledger.schemas import EXCEPTION, INVOICE, RAW_EXTRACTION
 from docledger.session import new_folder, stage
 from docledger.sinks import exports
@@ -27,6 +27,17 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_name", suffix, "length")
 
 
+def scanned_file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text written out as a file of its own, then scanned and hashed."""
+    folder = new_folder(spark, "texts")
+    docs = recipes.read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.write.partitionBy("doc_id").text(folder)
+    found = files.with_content_hash(files.scan_files(spark, folder, ".txt"))
+    doc_id = F.regexp_extract("file_path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id")
+    suffix = file_suffix(F.col("file_name")).alias("suffix")
+    return found.select(doc_id, suffix, "length", "file_hash")
+
+
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = recipes.read(spark, sf_dir, "documents")
     return files.with_content_hash(docs, "text").select("doc_id", "file_hash")
@@ -336,8 +347,7 @@ def exceptions_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.exception_queue(_batch(spark, sf_dir)).select(*EXCEPTION.names)
 
 
-def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = _run(spark, sf_dir)
+def _result_facts(results: DataFrame) -> DataFrame:
     return results.select(
         "file_name",
         "file_hash",
@@ -348,6 +358,10 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _result_facts(_run(spark, sf_dir))
+
+
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.summarize(_run(spark, sf_dir))
 
@@ -360,10 +374,50 @@ def text_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read.select(*copies.DOCUMENT, "record", "failure")
     judged = _staged(judge_documents(records, rules.default_rules()))
     results = route_documents(_staged(copies.mark_admitted(judged, None)), None, "hash")
+    return _outcomes(results)
+
+
+def _outcomes(results: DataFrame) -> DataFrame:
     issue = F.coalesce("exception.issue_type", F.lit("NONE"))
     return results.groupBy("status", issue.alias("issue_type")).agg(F.count("*").alias("documents"))
 
 
+def _text_run(spark: SparkSession, sf_dir: str, book: Ledger) -> DataFrame:
+    docs = files.table_documents(recipes.text_documents(spark, sf_dir), "name", "path", "text")
+    return _outcomes(run_batch(docs, book, new_folder(spark, "out")).results)
+
+
+def run_batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`run_batch` over the documents table with a new ledger: outcomes per issue."""
+    return _text_run(spark, sf_dir, Ledger(spark, new_folder(spark, "ledger")))
+
+
+def run_batch_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents once more: all are known."""
+    book = Ledger(spark, new_folder(spark, "ledger"))
+    _text_run(spark, sf_dir, book)
+    return _text_run(spark, sf_dir, book)
+
+
+def run_batch_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`run_batch` over stored answers against the ledger of earlier runs.
+
+    An invoice's text is its order key, whose hash the ledger has for finished orders.
+    """
+    book = Ledger(spark, new_folder(spark, "ledger"))
+    past = recipes.ledger(spark, sf_dir)
+    book.append(past.withColumn("processed_at", F.col("processed_at").cast("timestamp")), "past")
+    fields = F.struct(*[F.col(name) for name in RAW_EXTRACTION.names])
+    docs = recipes.raw_invoices(spark, sf_dir).select(
+        "file_name",
+        "file_path",
+        F.col("o_orderkey").cast("string").alias("raw_text"),
+        F.to_json(fields, {"ignoreNullFields": "false"}).alias("response"),
+    )
+    run = run_batch(docs, book, new_folder(spark, "out"), extractor=extract.response_extractor())
+    return _result_facts(run.results)
+
+
 def export_invoices_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.invoice_csv_columns(validated_invoices(spark, sf_dir))
 
@@ -414,6 +468,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         scan_files,
+        scanned_file_hashes,
         content_hash,
         assemble_pages,
         unreadable_documents,
@@ -451,6 +506,9 @@ QUERIES = {
         batch_results,
         run_summary,
         text_run_summary,
+        run_batch_results,
+        run_batch_rerun,
+        run_batch_responses,
         export_invoices_projection,
         export_invoices_json,
         csv_round_trip,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions.text import file_name
+from docledger.session import new_folder, stage
 
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
@@ -20,15 +21,22 @@ def scan_files(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFr
     """Every file under `folder` with the suffix. A missing folder is an error.
 
     `content` is read only if a later step uses it. Names that start with `_` or
-    `.` are left out, as in every Spark file source.
+    `.` are left out, as in every Spark file source. A file that is gone by the time it
+    is read, or above `spark.sql.sources.binaryFile.maxLength`, is a row without content:
+    names are listed once and written down, and paths alone are compared with the list.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name_pattern(suffix))
+        .option("ignoreMissingFiles", "true")
         .load(folder)
     )
-    return as_documents(files)
+    listed = stage(files.select("path", "length"), new_folder(spark, "listing"))
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    read = files.where(F.col("length") <= limit).select("path", "length", "content")
+    unread = listed.join(read.select("path"), "path", "left_anti")
+    return as_documents(read.unionByName(unread.withColumn("content", F.lit(None).cast("binary"))))
 
 
 def as_documents(files: DataFrame) -> DataFrame:
@@ -42,8 +50,13 @@ def as_documents(files: DataFrame) -> DataFrame:
 
 
 def with_content_hash(docs: DataFrame, column: str = "content") -> DataFrame:
-    """Add `file_hash`, the SHA-256 of the whole content in hex; no content hashes as empty."""
-    content = F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+    """Add `file_hash`, the SHA-256 of the whole content in hex.
+
+    A null text hashes as the empty one. A file without content could not be read and
+    hashes by its path, so such files are no copies of each other.
+    """
+    absent = F.concat(F.lit("unread:"), "file_path") if column == "content" else F.lit("")
+    content = F.coalesce(F.col(column).cast("binary"), absent.cast("binary"))
     return docs.withColumn("file_hash", F.sha2(content, 256))
 
 

@@ -58,6 +58,8 @@ def decode(docs: DataFrame, decoders: Sequence[Decoder]) -> DataFrame:
         import pandas as pd
 
         def first_pages(content):
+            if content is None:
+                return None, None, "the file is gone or above the size limit"
             errors = []
             for place, decoder in enumerate(chain):
                 try:

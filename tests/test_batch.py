@@ -219,7 +219,7 @@ def test_unreadable_and_failed_documents_are_recorded(run, inbox):
 def test_empty_folder(spark, run, tmp_path):
     (tmp_path / "none").mkdir()
     docs = scan_files(spark, str(tmp_path / "none"))
-    empty = docledger.run_batch(docs, run.ledger, str(tmp_path / "out"), decoders=[decode_text])
+    empty = docledger.run_batch(docs, run.ledger, str(tmp_path / "out"), decoders=[lambda content: [content.decode()]])
     assert counts(empty) == (0, 0, 0, 0, 0)
     header, rows = read_csv(empty.output_files["exceptions_csv"])
     assert rows == [] and header[0] == "file_name"
@@ -383,3 +383,22 @@ def test_a_run_id_is_not_taken_over(spark, tmp_path):
     assert ledger.events().count() == 1
     with pytest.raises(ValueError, match="confidence_floor"):
         docledger.run_batch(one, ledger, str(tmp_path / "out"), rules=[], confidence_floor=0.1)
+
+
+def test_files_that_cannot_be_read_have_an_outcome(spark, inbox, tmp_path):
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    (inbox / "large.pdf").write_text("x" * 5000)
+    spark.conf.set(limit, "4000")
+    try:
+        docs = scan_files(spark, str(inbox))
+        (inbox / "memo_11.pdf").unlink()
+        ledger = docledger.Ledger(spark, str(tmp_path / "ledger"))
+        plain = lambda content: content.decode("utf-8").split("\f")
+        run = docledger.run_batch(docs, ledger, str(tmp_path / "out"), decoders=[plain])
+        found = {r.file_name: r for r in run.results.collect()}
+    finally:
+        spark.conf.unset(limit)
+    assert set(found) == {*DOCUMENTS, "large.pdf"}
+    unread = {n for n, r in found.items() if r.exception and r.exception.issue_type == "UNREADABLE_PDF"}
+    assert unread == {"large.pdf", "memo_11.pdf"}
+    assert found["large.pdf"].file_hash != found["memo_11.pdf"].file_hash

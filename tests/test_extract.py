@@ -91,6 +91,8 @@ RESPONSES = [
     ("I cannot help", "no record"),
     (response()[:-1], "no record"),
     (response() + " and more", "no record"),
+    (response() + response(), "no record"),
+    (response() + ", " + response(), "no record"),
     ("", "no record"),
     (None, "no record"),
 ]
