@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from docledger.llm.common import tidy
 from docledger.llm.pretokens import END_OF_WORD, Splitter, Vocabulary, spelled
 
-#: Distinct words of each kind, and pairs, that a worker remembers at most, about.
-REMEMBERED = 100_000
+#: Distinct words of each kind, and pairs of tokens, that a worker remembers at most, about.
+REMEMBERED, REMEMBERED_PAIRS = 60_000, 100_000
+#: Rows handled at once.
+ROWS_AT_ONCE = 512
 NEVER = 1 << 60
 
 
@@ -30,19 +32,19 @@ class Codec:
     """Encodes pre-tokens with the ids and merges of one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.ids = vocabulary.ids
+        ids = vocabulary.ids
         self.specials = vocabulary.specials
-        self.texts = {i: t for t, i in [*vocabulary.ids.items(), *vocabulary.specials.items()]}
+        self.texts = {i: t for t, i in [*ids.items(), *vocabulary.specials.items()]}
         self.rank = {}
         self.parts = {}
         for at, (left, right) in enumerate(vocabulary.merges):
-            pair = (self.ids[left], self.ids[right])
+            pair = (ids[left], ids[right])
             self.rank[pair] = at
-            self.parts[self.ids[left + right]] = (*pair, at)
+            self.parts[ids[left + right]] = (*pair, at)
         # Every ending of a token, with the token's id if it is a whole one.
         self.inner: dict[str, int] = {}
         self.final: dict[str, int] = {}
-        for text, token in self.ids.items():
+        for text, token in ids.items():
             letters = text.removesuffix(END_OF_WORD)
             endings = self.inner if letters == text else self.final
             for at in range(1, len(letters)):
@@ -93,7 +95,7 @@ class Codec:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= REMEMBERED_PAIRS:
                 self.pairs.clear()
             self.pairs[left, right] = answer
         return answer
@@ -180,6 +182,11 @@ class Codec:
         found.reverse()
         self.encoded[word] = self.entry(found)
 
+    def forget(self) -> None:
+        """Drop what was remembered of the texts; a worker outlives the stage that encodes."""
+        self.recent, self.older, self.encoded = {}, {}, {}
+        self.pairs.clear()
+
     def entry(self, found: list[int]) -> tuple[bytes, str]:
         return np.array(found, "<u4").tobytes(), " ".join([self.texts[t] for t in found])
 
@@ -214,20 +221,21 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame
     Ids are hashed as little-endian unsigned 32-bit integers. Tokens decode to their
     strings, word ends included, with one space between two of them.
     """
-    vocabulary = Vocabulary.read(path)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of the file's fixed size
-    name = hash(vocabulary.source)
+    source = Vocabulary.read(path).source
+    shared = docs.sparkSession.sparkContext.broadcast(source)  # of the file's fixed size
+    name = hash(source)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
 
     @tidy
     def encode(batches):
         if name not in _codecs:
             _codecs.clear()
-            _codecs[name] = Codec(shared.value)
+            _codecs[name] = Codec(Vocabulary.parse(shared.value))
         codec = _codecs[name]
-        splitter = Splitter(codec.specials, shared.value.source)
+        splitter = Splitter(codec.specials, shared.value)
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-        for batch in batches:
+        parts = (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
+        for batch in parts:
             for first, part in splitter.batches(batch.column("text").to_pylist()):
                 columns: list[list] = [[] for _ in names[1:]]
                 found = codec.look_up(part.words)
@@ -250,6 +258,7 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
                 own_ids = batch.column("doc_id").slice(first, len(bounds) - 1)
                 yield pa.RecordBatch.from_arrays([own_ids, *arrays], names)
+        codec.forget()
 
     types = [docs.schema["doc_id"].dataType.simpleString(), "long", "string", "string", "array<int>", "string"]
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, types, strict=False))

@@ -26,7 +26,7 @@ END_OF_WORD = "</w>"
 #: Special tokens stand in the code points as numbers above all characters.
 FIRST_SPECIAL = 0x110000
 #: Characters handled at once; a longer document is handled by itself.
-CHARS_AT_ONCE = 1 << 19
+CHARS_AT_ONCE = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,8 +38,8 @@ def _classes(specials: int, source: str) -> np.ndarray:
     own library as well; for those few it decides.
     """
     table = np.full(FIRST_SPECIAL + specials, OTHER, np.uint8)
-    points = [*range(0xD800), *range(0xE000, FIRST_SPECIAL)]  # all but surrogates
-    every, points = "".join(map(chr, points)), np.array(points)
+    points = np.append(np.arange(0xD800), np.arange(0xE000, FIRST_SPECIAL))  # all but surrogates
+    every = points.astype("<u4").tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for run in regex.finditer(pattern, every):
             table[points[run.start() : run.end()]] = kind
@@ -83,7 +83,10 @@ class Vocabulary:
     def read(cls, path: str) -> Vocabulary:
         """Read on the driver; tasks get the content, so they need no file of their own."""
         with open(path, encoding="utf-8") as file:
-            source = file.read()
+            return cls.parse(file.read(), path)
+
+    @classmethod
+    def parse(cls, source: str, path: str = "the file") -> Vocabulary:
         content = json.loads(source)
         model = content["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != END_OF_WORD:
