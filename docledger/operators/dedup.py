@@ -32,18 +32,19 @@ def history_index(ledger: DataFrame) -> DataFrame:
     )
 
 
-def duplicates_of_history(keyed: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows whose key the ledger has under some other hash.
+def duplicates_of_history(keyed: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows whose key history has under some other hash.
 
-    Both sides reach the join straight from a shuffle, which is what lets adaptive
+    `index` is a history index, one row per key however many hashes a key has. Staged,
+    it and the rows reach the join straight from a shuffle, which is what lets adaptive
     execution split a key that holds a large share of the rows.
     """
-    known = accepted_history(ledger).withColumnRenamed("file_hash", "known_hash")
+    own = F.col("d.file_hash")
     return keyed.alias("d").join(
-        known.alias("h"),
+        index.alias("h"),
         (F.col("d.supplier_key") == F.col("h.supplier_key"))
         & (F.col("d.number_key") == F.col("h.number_key"))
-        & (F.col("d.file_hash") != F.col("h.known_hash")),
+        & ((own != F.col("h.min_hash")) | (own != F.col("h.max_hash"))),
         "left_semi",
     )
 

@@ -35,7 +35,7 @@ from docledger.schemas import DEFAULT_CONFIDENCE_FLOOR, RAW_EXTRACTION, RUN_SUMM
 from docledger.session import new_folder, stage
 from docledger.sinks import exports
 from docledger.sources.files import with_content_hash
-from docledger.sources.ledger import Ledger, latest_events
+from docledger.sources.ledger import Ledger, bucket_of, latest_events
 from docledger.sources.pages import Decoder, decode, read_text
 
 # A list of names or hashes up to this size is sent to every executor, so that contents
@@ -124,9 +124,14 @@ def _keep_admitted(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
 def _events_of(events: DataFrame, wanted: DataFrame) -> DataFrame:
     """Ledger events that share the columns of `wanted`, without shuffling the ledger if
-    the run is small. For a large run this is no gain and the events stay as they are."""
+    the run is small, and reading only the buckets of wanted hashes. For a large run this
+    is no gain and the events stay as they are."""
     if not _fits(wanted):
         return events
+    if "bucket" in events.columns and "file_hash" in wanted.columns:
+        # At most as many rows as a ledger has buckets.
+        buckets = wanted.select(bucket_of(F.col("file_hash"))).distinct().collect()
+        events = events.where(F.col("bucket").isin([row[0] for row in buckets]))
     return events.join(F.broadcast(wanted.distinct()), wanted.columns, "left_semi")
 
 
@@ -171,7 +176,7 @@ def _observed(
 
 def _refuse_other_run(ledger: Ledger, run_id: str, staged: DataFrame) -> None:
     """A run id may be repeated for the documents it recorded, never for others."""
-    recorded = ledger.events().where(F.col("run_id") == run_id).select("file_hash")
+    recorded = ledger.recorded(run_id).select("file_hash")
     if not recorded.join(staged.select("file_hash"), "file_hash", "left_anti").isEmpty():
         raise ValueError(f"run {run_id!r} is recorded with documents that are not in this one")
 

@@ -235,7 +235,8 @@ def history_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dup_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = with_keys(recipes.raw_invoices(spark, sf_dir)).select("seq", "file_hash", *KEY)
-    return dedup.duplicates_of_history(keyed, recipes.ledger(spark, sf_dir)).select("seq")
+    index = stage(dedup.history_index(recipes.ledger(spark, sf_dir)), new_folder(spark, "index"))
+    return dedup.duplicates_of_history(keyed, index).select("seq")
 
 
 def dup_key_only(spark: SparkSession, sf_dir: str) -> DataFrame:

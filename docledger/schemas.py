@@ -59,7 +59,7 @@ RESULT = _struct(
     message=_S,
 )
 
-# One event per document and run. `epoch` and `run_id` are directory columns.
+# One event per document and run. In the ledger `batch` and `bucket` are directory columns.
 LEDGER_EVENT = _struct(
     file_hash=_S,
     file_name=_S,
@@ -71,7 +71,8 @@ LEDGER_EVENT = _struct(
 )
 LEDGER = T.StructType(
     LEDGER_EVENT.fields
-    + [T.StructField("epoch", T.LongType()), T.StructField("run_id", T.StringType())]
+    + [T.StructField(n, T.StringType()) for n in ("run_id", "batch")]
+    + [T.StructField("bucket", T.IntegerType())]
 )
 
 RUN_SUMMARY = _struct(

@@ -2,23 +2,35 @@
 
 Layout under the ledger path:
 
-    epochs/                       one tiny row per clear; the highest is current
-    events/epoch=E/run_id=R/      what run R recorded, sorted by hash
+    epochs/                       one tiny row per clear or compaction; the highest is current
+    events/EPOCH/batch=R/bucket=B/    what run R recorded of the hashes of bucket B
 
-A run writes its own folder, so writing it again after a failure replaces it.
-Clearing starts a new epoch and deletes nothing that a running job may be reading.
+A run writes its own folder, so writing it again after a failure replaces it. A run
+or a lookup of few hashes reads only their buckets, and of the current epoch only.
+Clearing and compacting start a new epoch, in a folder of a new name, and delete nothing
+that a running job may be reading.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docledger.operators.dedup import history_index
 from docledger.schemas import LEDGER, LEDGER_EVENT
 
+# Fixed for the life of a ledger: the folder of a hash follows from it.
+BUCKETS = 64
+# The folder of compacted events; no run id can have this name.
+COMPACTED = "~compacted"
+
+
+def bucket_of(file_hash: Column) -> Column:
+    return F.pmod(F.crc32(file_hash.cast("binary")), F.lit(BUCKETS)).cast("int")
+
 
 def latest_events(events: DataFrame, order: Sequence[str] = ("processed_at", "run_id")) -> DataFrame:
     """Last event per hash, every column from that one event.
@@ -64,26 +76,40 @@ class Ledger:
         return f"{self.path}/events"
 
     def _create(self) -> None:
-        self._add_epoch(0, mode="ignore")
-        empty = self.spark.createDataFrame([], LEDGER_EVENT)
-        empty.write.mode("ignore").parquet(f"{self._events}/epoch=0/run_id=0")
+        self._prepare("0")
+        self._add_epoch(0, "0", mode="ignore")
 
-    def _add_epoch(self, number: int, mode: str) -> None:
+    def _prepare(self, folder: str) -> None:
+        """An empty file, so that a folder without runs can be read."""
+        empty = self.spark.createDataFrame([], LEDGER_EVENT).withColumn("run_id", F.lit("0"))
+        empty.write.mode("ignore").parquet(f"{self._events}/{folder}/batch=0/bucket=0")
+
+    def _add_epoch(self, number: int, folder: str, mode: str) -> None:
         row = self.spark.range(number, number + 1, 1, 1).toDF("epoch")
-        row.write.mode(mode).parquet(self._epochs)
+        row.withColumn("folder", F.lit(folder)).write.mode(mode).parquet(self._epochs)
+
+    def _current(self) -> Row:
+        """The current epoch: one row from a table of one row per clear or compaction."""
+        epochs = self.spark.read.schema("epoch LONG, folder STRING").parquet(self._epochs)
+        return epochs.agg(F.max(F.struct("epoch", "folder")).alias("last")).first().last
 
     def epoch(self) -> int:
-        """Number of the current epoch: one scalar from a table of one row per clear."""
-        epochs = self.spark.read.schema("epoch LONG").parquet(self._epochs)
-        return epochs.agg(F.max("epoch")).first()[0]
+        return self._current().epoch
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(f"{self._events}/{self._current().folder}")
 
     def events(self) -> DataFrame:
         """All events of the current epoch, as listed now: a snapshot for this run."""
-        everything = self.spark.read.schema(LEDGER).parquet(self._events)
-        return everything.where(F.col("epoch") == self.epoch())
+        return self._all().drop("batch")
+
+    def recorded(self, run_id: str) -> DataFrame:
+        """What a run recorded; reads the run's own folder and the compacted events."""
+        own = F.col("batch").isin(run_id, COMPACTED) & (F.col("run_id") == run_id)
+        return self._all().where(own).drop("batch")
 
     def current(self) -> DataFrame:
-        return latest_events(self.events()).drop("epoch", "run_id")
+        return latest_events(self.events()).drop("run_id", "bucket")
 
     def seen(self) -> DataFrame:
         """Hashes with any event, repeats included: enough for semi and anti joins."""
@@ -93,19 +119,24 @@ class Ledger:
         return history_index(self.current())
 
     def get(self, file_hash: str) -> DataFrame:
-        """The record of one hash, or no row. The equality reaches the Parquet scan."""
-        return latest_events(self.events().where(F.col("file_hash") == file_hash)).drop(
-            "epoch", "run_id"
-        )
+        """The record of one hash, or no row. Both equalities reach the Parquet scan."""
+        wanted = (F.col("bucket") == bucket_of(F.lit(file_hash))) & (F.col("file_hash") == file_hash)
+        return latest_events(self.events().where(wanted)).drop("run_id", "bucket")
 
     def append(self, events: DataFrame, run_id: str) -> None:
-        """Record a run. Files are cut by hash range, so a hash lookup skips most of them."""
-        target = f"{self._events}/epoch={self.epoch()}/run_id={run_id}"
+        """Record a run. Files are cut by bucket and hash range, so a lookup skips most of them."""
+        rows = events.select(*LEDGER_EVENT.names).withColumn("run_id", F.lit(run_id))
+        self._write(rows, f"{self._events}/{self._current().folder}/batch={run_id}")
+
+    def _write(self, rows: DataFrame, target: str) -> None:
         (
-            events.select(*LEDGER_EVENT.names)
-            .repartitionByRange("file_hash")
-            .sortWithinPartitions("file_hash")
-            .write.option("parquet.bloom.filter.enabled#file_hash", "true")
+            rows.withColumn("bucket", bucket_of(F.col("file_hash")))
+            .repartitionByRange("bucket", "file_hash")
+            .sortWithinPartitions("bucket", "file_hash")
+            .write.partitionBy("bucket")
+            .option("partitionOverwriteMode", "static")
+            .option("parquet.bloom.filter.enabled#file_hash", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
             .mode("overwrite")
             .parquet(target)
         )
@@ -115,4 +146,21 @@ class Ledger:
 
     def clear(self) -> None:
         """Forget everything by starting a new epoch."""
-        self._add_epoch(self.epoch() + 1, mode="append")
+        self._begin(None)
+
+    def compact(self) -> None:
+        """Start a new epoch with the last event of each hash, in few files.
+
+        Events keep the id of their run, so a run may still be repeated. Not to be called
+        while a run is under way: what it appends to the former epoch would not be seen.
+        """
+        self._begin(latest_events(self.events()).select(*LEDGER_EVENT.names, "run_id"))
+
+    def _begin(self, events: DataFrame | None) -> None:
+        """The epoch counts once its row is there; a broken attempt leaves an unused folder."""
+        number = self.epoch() + 1
+        folder = f"{number}-{uuid.uuid4().hex}"
+        self._prepare(folder)
+        if events is not None:
+            self._write(events, f"{self._events}/{folder}/batch={COMPACTED}")
+        self._add_epoch(number, folder, mode="append")

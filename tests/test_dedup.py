@@ -169,7 +169,7 @@ def test_history_and_key_only_probes(spark):
     keyed = with_keys(
         spark.createDataFrame(rows, "i int, file_hash string, supplier_name string, invoice_number string")
     )
-    assert {r.i for r in dedup.duplicates_of_history(keyed, book).collect()} == {1, 3}
+    assert {r.i for r in dedup.duplicates_of_history(keyed, dedup.history_index(book)).collect()} == {1, 3}
     known = dedup.accepted_history(book)
     assert {r.i for r in dedup.duplicates_by_key(keyed, known).collect()} == {1, 2, 3}
 

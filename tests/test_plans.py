@@ -2,13 +2,16 @@
 
 import re
 from contextlib import contextmanager
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from docledger.operators import copies, dedup
 from docledger.plans.queries import QUERIES
-from docledger.sources.ledger import Ledger, latest_events
+from docledger.plans import batch
+from docledger.session import stage
+from docledger.sources.ledger import BUCKETS, Ledger, latest_events
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,15 +91,16 @@ def largest_task(df):
     return max(counts) / sum(counts)
 
 
-def test_crowded_keys_are_split_in_probes(spark, crowded):
+def test_crowded_keys_are_split_in_probes(spark, crowded, folder):
     docs = crowded.select("file_name", "file_path", F.col("k").alias("file_hash"))
     seen = book(spark).select(F.col("supplier_name").alias("file_hash"))
     rows = keyed(crowded, "h")
     known = dedup.accepted_history(book(spark))
+    index = stage(dedup.history_index(book(spark)), f"{folder}/index")
     for df in (
         copies.new_documents(docs, seen),
         copies.already_seen(docs, seen),
-        dedup.duplicates_of_history(rows, book(spark)),
+        dedup.duplicates_of_history(rows, index),
         dedup.duplicates_by_key(rows, known),
         # forced run: a third of the rows are copies of one document
         dedup.mark_duplicates(keyed(crowded, "k"), dedup.history_index(book(spark))),
@@ -171,5 +175,34 @@ def test_point_lookup_reaches_the_scan(spark, folder):
     ledger = Ledger(spark, f"{folder}/ledger")
     text = plan(ledger.get("abc"))
     assert "EqualTo(file_hash,abc)" in text
-    assert re.search(r"PartitionFilters: \[.*epoch", text)
+    assert re.search(r"PartitionFilters: \[.*bucket", text)
+
+
+def test_small_runs_read_few_buckets_and_compaction_keeps_records(spark, folder):
+    ledger = Ledger(spark, f"{folder}/ledger")
+    columns = "file_hash string, file_name string, supplier_name string, invoice_number string,"
+    columns += "status string, issue_type string, processed_at timestamp"
+
+    def record(run_id, hashes, day):
+        at = datetime(2024, 1, day)
+        rows = [(f"h{i}", f"n{i}", "s", str(i), "OK", None, at) for i in hashes]
+        ledger.append(spark.createDataFrame(rows, columns), run_id)
+
+    record("a", range(0, 200), 1)
+    record("b", range(100, 300), 2)
+    wanted = spark.createDataFrame([("h5",), ("h150",)], "file_hash string")
+    met = batch._events_of(ledger.events(), wanted)
+    assert sorted(r.run_id for r in met.collect()) == ["a", "a", "b"]
+    assert len({r.bucket for r in met.collect()}) <= 2 < BUCKETS
+    assert re.search(r"PartitionFilters: \[.*bucket#\d+ (IN|=)", plan(met).replace("(bucket", "bucket"))
+    before = {tuple(r) for r in ledger.current().collect()}
+    ledger.compact()
+    assert ledger.events().count() == len(before) == 300
+    assert {tuple(r) for r in ledger.current().collect()} == before
+    assert ledger.recorded("a").count() == 100 and ledger.recorded("b").count() == 200
+    record("a", range(0, 200), 3)
+    assert ledger.current().count() == 300 and ledger.recorded("a").count() == 300
+    assert ledger.get("h150").first().processed_at.day == 3
+    ledger.clear()
+    assert ledger.events().isEmpty() and ledger.epoch() == 2
 
