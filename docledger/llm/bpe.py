@@ -3,7 +3,8 @@
 The encoding of a prefix is its last token after the encoding of what comes before that
 token, so one last token per prefix describes all encodings. The new words of a batch go
 into a trie; a walk, depth first, finds the last token of each node from those above it,
-and words with a common prefix share that work. A token t may follow a token s if merging
+and words with a common prefix share that work. Runs of many letters go by themselves, in memory
+that grows with their length, and are not remembered. A token t may follow a token s if merging
 the letters of both leaves them as they are; exactly one token that ends a prefix may.
 
 A null text is an empty one, and an empty text has no ids and decodes to an empty text.
@@ -23,6 +24,8 @@ from docledger.llm.pretokens import END_OF_WORD, Splitter, Vocabulary, spelled
 
 #: Distinct words of each kind, and pairs of tokens, that a worker remembers at most, about.
 REMEMBERED, REMEMBERED_PAIRS = 60_000, 100_000
+#: Letters of the longest word that goes into a trie and is remembered.
+LONGEST = 256
 #: Rows handled at once.
 ROWS_AT_ONCE = 512
 NEVER = 1 << 60
@@ -50,6 +53,7 @@ class Codec:
             for at in range(1, len(letters)):
                 endings.setdefault(letters[at:], -1)
             endings[letters] = token
+        self.longest = max(map(len, [*self.inner, *self.final]), default=1)
         # Words of late and of before; what is not used for long falls out of both.
         self.recent: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
@@ -127,8 +131,12 @@ class Codec:
                 j += 1
         return self.rank[ends[i][0], heads[j][0]] == at
 
-    def last_token(self, letters: str, endings: dict[str, int], last: list[int]) -> int:
-        """The last token of `letters`, given those of all its shorter prefixes."""
+    def last_token(self, letters: str, endings: dict[str, int], last: list[int], start: int = 0) -> int:
+        """The last token of a prefix that ends in `letters`, given those of all shorter ones.
+
+        What comes before place `start` may be left out if `letters` are as many as the
+        longest token has.
+        """
         fitting = []
         for at in range(len(letters) - 1, -1, -1):
             token = endings.get(letters[at:])
@@ -138,6 +146,7 @@ class Codec:
                 fitting.append((at, token))
         pairs = self.pairs
         for at, token in reversed(fitting):
+            at += start
             fits = pairs.get((last[at], token)) if at else self.stands(token)
             if fits is None:
                 fits = self.follows(last[at], token)
@@ -146,9 +155,12 @@ class Codec:
         raise ValueError(f"no token ends {letters!r}")
 
     def encode_all(self, words: list[str]) -> None:
-        """Encode the spelled words through one trie and remember them."""
+        """Encode the spelled words, all but long ones through one trie, and remember them."""
         trie: dict = {}
         for word in words:
+            if len(word) > LONGEST:
+                self.encode_run(word)
+                continue
             node = trie
             for letter in word:
                 node = node.setdefault(letter, {})
@@ -171,11 +183,20 @@ class Codec:
                 last.append(self.last_token(longer, self.inner, last) if inner else -1)
                 walk.append((longer, iter(child.items())))
 
+    def encode_run(self, word: str) -> None:
+        """Encode one long word; of each prefix no more than its last token is kept."""
+        last = [-1]
+        for end in range(1, len(word)):
+            start = max(0, end - self.longest)
+            last.append(self.last_token(word[start:end], self.inner, last, start))
+        self.remember(word, last)
+
     def remember(self, word: str, last: list[int]) -> None:
         found = []
         at, suffix = len(word), END_OF_WORD
+        start = max(0, at - self.longest)
         while at:
-            token = self.last_token(word, self.final, last) if suffix else last[at]
+            token = self.last_token(word[start:], self.final, last, start) if suffix else last[at]
             found.append(token)
             at -= len(self.texts[token]) - len(suffix)
             suffix = ""
@@ -208,6 +229,10 @@ class Codec:
             if answer is None:
                 answer = recent[word] = older[word]
             answers.append(answer)
+        for word in new:
+            if len(word) > LONGEST:
+                del recent[word]
+        self.encoded = {}
         return answers
 
 

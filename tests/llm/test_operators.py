@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,13 +13,14 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docledger.llm.bpe import encode_texts
+from docledger.llm.bpe import Codec, encode_texts
 from docledger.llm.components import components
 from docledger.llm.embeddings import near_vectors
 from docledger.llm.langid import identify_held_out, recognised
 from docledger.llm.lm import score_held_out, score_texts
 from docledger.llm.minhash import near_duplicates, without_near_duplicates
 from docledger.llm.mixing import mix, mixed_documents
+from docledger.llm.pretokens import Vocabulary
 from docledger.llm.sharding import jump, shard_documents
 from docledger.llm.token_counts import count_tokens
 from docledger.llm.topk import top_k
@@ -222,6 +224,23 @@ def test_tokens(name, request):
     assert all(len(r.ids) == r.n_tokens for r in encoded)
 
 
+def test_tokens_of_long_runs(spark):
+    """One unbroken run each; the library decides, and memory grows with the letters only."""
+    letters = "".join(np.random.default_rng(4).choice(list("etaoinshr"), 200_000))
+    runs = [letters, "a" * 200_000, "=" * 200_000, "-=" * 100_000, "語" * 70_000, "x" * 256, "x" * 257]
+    codec = Codec(Vocabulary.read(VOCABULARY))
+    tracemalloc.start()
+    codec.look_up([letters, "=" * 200_000])
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert not codec.recent and not codec.encoded
+    df = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(runs)], "doc_id long, text string")
+    found = {r.doc_id: r.ids for r in encode_texts(df, VOCABULARY).collect()}
+    library = Tokenizer.from_file(VOCABULARY)
+    for i, text in enumerate(runs):
+        assert found[i] == library.encode(f"before {text} after", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", ["docs", "odd"])
 def test_language_model(name, request):
     df = request.getfixturevalue(name)
