@@ -17,7 +17,7 @@ from docledger.llm.bpe import Codec, encode_texts
 from docledger.llm.components import components
 from docledger.llm.embeddings import near_vectors
 from docledger.llm.langid import identify_held_out, recognised
-from docledger.llm.lm import score_held_out, score_texts
+from docledger.llm.lm import Model, log_probabilities, score_held_out, score_texts
 from docledger.llm.minhash import near_duplicates, without_near_duplicates
 from docledger.llm.mixing import mix, mixed_documents
 from docledger.llm.pretokens import Vocabulary
@@ -262,6 +262,40 @@ def test_language_model(name, request):
         assert sum(r.score for r in new) > sum(r.base_score for r in new)
 
 
+def test_language_model_learns_rare_words(spark):
+    """Words far from the most frequent ones tell which words are near them."""
+    random = np.random.default_rng(5)
+    rows = [" ".join(f"f{i}" for i in random.integers(0, 600, 100)) for _ in range(500)]
+    topics = [[f"t{k}-{i}" for i in range(100)] for k in range(4)]
+    rows += [" ".join(random.permutation(topic)) for topic in topics for _ in range(40)]
+    own = [" ".join(random.permutation(topic)) for topic in topics]
+    mixed = [" ".join(random.permutation(sum(topics, []))[:100]) for _ in topics]
+    table = [(i, t, i >= len(rows)) for i, t in enumerate(rows + own + mixed)]
+    df = spark.createDataFrame(table, "doc_id long, text string, new boolean")
+    found = {r.doc_id: r.score for r in score_texts(df, F.col("new")).collect()}
+    new = [found[len(rows) + i] for i in range(8)]
+    assert min(new[:4]) > max(new[4:]) + 10
+
+
+def test_normaliser_of_language_model():
+    """The probabilities of all tokens after a context add up to 1, sampled ones nearly."""
+    random = np.random.default_rng(6)
+    for known, near in ((200, 1e-4), (3000, 0.1)):
+        share = 1 / np.arange(1, known + 3)
+        model = Model(
+            np.sort(random.integers(1, 1 << 60, known).astype(np.uint64)),
+            share / share.sum(),
+            random.normal(0, 0.3, (known + 3, 8)).astype("f4"),
+            random.normal(0, 0.3, (known + 2, 9)).astype("f4"),
+            np.tile(np.eye(8, dtype="f4"), (2, 1, 1)),
+            0, 0, 0, 0,
+        )
+        every = np.arange(known + 2)
+        for context in (known + 2, 5):
+            logs = log_probabilities(model, every, lambda part: np.full((2, len(every[part])), context), 6)
+            assert abs((10**logs).sum() - 1) < near
+
+
 def with_odd_vectors(spark, vectors):
     kind = vectors.schema["embedding"].dataType.simpleString()
     rows = [(9001, None, 1), (9050, [0.0] * 64, 1), (9100, [float("nan")] * 64, 1), (9002, [1.0, None], 1)]
