@@ -2,13 +2,16 @@
 
 Texts become vectors of hashed n-grams of bytes, weighted log(1 + tf) idf and scaled to
 length 1. Each language has up to `clusters` centroids, found by spherical k-means on a
-bounded sample; a text belongs to the language of the centroid with the highest cosine. It
-is rejected if that cosine is under `reject` times the least one that the sample's own
-texts have, so outlying texts of a language stay and other matter goes.
+bounded sample; a text belongs to the language of the centroid with the highest cosine.
+Cosines grow with the length of a text, also those of matter that has nothing to do with the
+language, so each centroid has a cut per length: what texts without any structure reach at
+that length, plus `reject` of the way from there to a low quantile of the sample's own texts,
+thinned to that length. A text under the cut is rejected.
 
 Document frequencies count all training documents; the sample bounds the clustering only.
 A null text, and one without a letter, is `und` with score 0 and rejected, and so is every
-text if nothing was learned. Rows with a null language teach nothing. Repeated rows are
+text if nothing was learned. Rows with a null language, and texts without a letter, teach
+nothing. Repeated rows are
 judged alike; an empty table gives an empty result.
 """
 
@@ -26,6 +29,13 @@ from docledger.llm.common import remainder, tidy
 
 DIMENSIONS = 4096
 N = 3
+#: A letter, in the spelling of Java and of RE2.
+LETTER = r"\p{L}"
+#: Lengths in n-grams for which there are cuts; in between they are interpolated.
+LENGTHS = 1 << np.arange(4, 15)
+#: The quantile of own cosines, own texts it is taken of at most and at least, texts without
+#: structure made for a length, and how far above these the least cut lies.
+LOW, MOST_OWN, LEAST_OWN, MADE, ABOVE = 0.01, 200, 20, 8, 1.1
 UNKNOWN = "und"
 #: Bytes that are no ASCII letter and no part of a longer character count as spaces.
 LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
@@ -63,7 +73,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """idf, centroids with their languages, and the cosine below which each rejects."""
+    """idf, centroids with their languages, and the cosines below which each rejects texts of
+    no n-grams and of each of LENGTHS."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -73,6 +84,13 @@ class Model:
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return unit(np.log1p(counts).astype(np.float32) * self.idf)
 
+    def cuts(self, nearest: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The cut of each text, by its centroid and its number of n-grams."""
+        at = np.interp(np.log2(np.maximum(lengths, 1)), [0, *np.log2(LENGTHS)], np.arange(len(LENGTHS) + 1))
+        low = np.floor(at).astype(np.int64)
+        high = np.minimum(low + 1, len(LENGTHS))
+        return self.least[nearest, low] * (1 - at + low) + self.least[nearest, high] * (at - low)
+
 
 def cluster(vectors: np.ndarray, clusters: int, rounds: int = 10) -> np.ndarray:
     """Spherical k-means from far apart starts; at most as many centroids as vectors."""
@@ -87,6 +105,35 @@ def cluster(vectors: np.ndarray, clusters: int, rounds: int = 10) -> np.ndarray:
     return centroids
 
 
+def structureless(random) -> list[np.ndarray]:
+    """For each of LENGTHS, counts of texts of random letters and of evenly hashed n-grams."""
+    made = []
+    for length in LENGTHS.tolist():
+        letters = random.integers(97, 123, (MADE, length)).astype(np.uint8)
+        letters[random.random(letters.shape) < 0.15] = 32
+        texts = pa.array([row.tobytes().decode() for row in letters])
+        counts = [counts for _, counts in ngram_counts(texts)]
+        even = random.multinomial(length, np.full(DIMENSIONS, 1 / DIMENSIONS), MADE)
+        made.append(np.concatenate([*counts, even]))
+    return made
+
+
+def cuts_of(model: Model, centroid: np.ndarray, own: np.ndarray, chance: list, reject: float, random) -> list[float]:
+    """The cuts of a centroid, from the counts of its own texts."""
+    own = own[:MOST_OWN]
+    sizes, low, found = own.sum(axis=1), 0.0, [0.0]
+    for length, vectors in zip(LENGTHS.tolist(), chance, strict=True):
+        floor = ABOVE * float((vectors @ centroid).max())
+        fits = sizes >= length
+        if fits.sum() >= min(LEAST_OWN, len(own)):
+            thinned = own[fits]
+            row, gram = thinned.nonzero()
+            thinned[row, gram] = random.binomial(thinned[row, gram], (length / sizes[fits])[row])
+            low = float(np.quantile(model.vectors(thinned) @ centroid, LOW))
+        found.append(floor + reject * max(0.0, low - floor))
+    return found
+
+
 def fit(
     docs: DataFrame,
     clusters: int = 4,
@@ -99,13 +146,14 @@ def fit(
     `per_language` bounds the documents of a language that are clustered: those with the
     least seeded hashes, drawn by rate first so that few texts are moved.
     """
-    docs = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    docs = docs.select("doc_id", "text", "lang").filter("lang is not null")
+    docs = docs.filter(F.col("text").rlike(LETTER))
     # One row per language.
     sizes = docs.groupBy("lang").count().withColumn("rate", F.lit(1.5 * per_language) / F.col("count"))
     known = sizes.collect()
     total = sum(row["count"] for row in known)
     if not total:
-        return Model(np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS)), [], np.zeros(0))
+        return Model(np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS)), [], np.zeros((0, 1 + len(LENGTHS))))
 
     @tidy
     def frequencies(batches):
@@ -144,6 +192,8 @@ def fit(
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + 1
     model = Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
     centroids, least = [], []
+    random = np.random.default_rng(seed)
+    chance = [model.vectors(counts) for counts in structureless(random)]
     for lang in sorted(drawn):
         table = np.zeros((len(drawn[lang]), DIMENSIONS), np.int64)
         for row, cells in zip(table, sorted(drawn[lang]), strict=True):
@@ -151,9 +201,9 @@ def fit(
             row[gram] = n
         vectors = model.vectors(table)
         own = cluster(vectors, clusters)
-        nearest = (vectors @ own.T).max(axis=1)
+        nearest = (vectors @ own.T).argmax(axis=1)
         centroids.append(own)
-        least += [reject * float(nearest.min())] * len(own)
+        least += [cuts_of(model, c, table[nearest == i], chance, reject, random) for i, c in enumerate(own)]
         model.languages += [lang] * len(own)
     model.centroids = np.concatenate(centroids)
     model.least = np.array(least)
@@ -162,16 +212,18 @@ def fit(
 
 def predicted(texts: pa.Array, model: Model):
     """(languages, cosines, rejected) of an array of texts."""
-    known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False)
+    known = pc.fill_null(pc.match_substring_regex(texts, LETTER), False)
     known = known.to_numpy(zero_copy_only=False) & bool(model.languages)
     nearest, cosine = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    lengths = np.zeros(len(texts), np.int64)
     if model.languages:
         for first, counts in ngram_counts(texts):
             found = model.vectors(counts) @ model.centroids.T
             nearest[first : first + len(found)] = found.argmax(axis=1)
             cosine[first : first + len(found)] = found.max(axis=1)
+            lengths[first : first + len(found)] = counts.sum(axis=1)
     cosine = np.where(known, cosine.clip(0, 1), 0.0)
-    low = cosine < model.least[nearest] if model.languages else ~known
+    low = cosine < model.cuts(nearest, lengths) if model.languages else ~known
     pairs = zip(nearest.tolist(), known.tolist(), strict=True)
     languages = [model.languages[n] if k else UNKNOWN for n, k in pairs]
     return languages, cosine, low | ~known

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from docledger.llm.bpe import Codec, encode_texts
 from docledger.llm.components import components
 from docledger.llm.embeddings import near_vectors
-from docledger.llm.langid import identify_held_out, recognised
+from docledger.llm.langid import fit, identify, identify_held_out, recognised
 from docledger.llm.lm import Model, log_probabilities, score_held_out, score_texts
 from docledger.llm.minhash import near_duplicates, without_near_duplicates
 from docledger.llm.mixing import mix, mixed_documents
@@ -97,6 +97,21 @@ def test_language(docs, odd):
     assert recognised(odd).columns == odd.columns
 
 
+def test_language_rejects_other_matter(spark, docs):
+    """Matter of no learned language goes at any length, also if labelled rows have no letter."""
+    random = np.random.default_rng(7)
+    latin = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    scripts = [latin, np.array([chr(c) for c in range(0x4E00, 0x9FA5)]), np.array([chr(c) for c in range(0xE01, 0xE2F)])]
+    other = ["".join(random.choice(s, n)) for s in scripts for n in (150, 1500, 15_000, 60_000)]
+    bare = [(i, t, lang) for i, (t, lang) in enumerate([("", "en"), ("12345", "en"), ("!", "de"), (" ", "fr"), ("0", "es")])]
+    taught = docs.select("doc_id", "text", "lang")
+    taught = taught.unionByName(spark.createDataFrame(bare, taught.schema))
+    df = spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")
+    model = fit(taught)
+    assert all(r.rejected for r in identify(df, model).collect())
+    assert not any(r.rejected for r in identify(docs, model).collect())
+
+
 def shingles(text):
     words = [w.lower() for w in WORD.findall(text or "")]
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
