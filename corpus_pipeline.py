@@ -43,7 +43,7 @@ STAGES = [
     ("bpe_encode", encoding_stage),
 ]
 
-#: Samples by seeded hashes and BPE are beyond SQL; tests hold `run` against brute force.
+#: Samples by seeded hashes and BPE are beyond SQL; no test runs the stages in sequence yet.
 ORACLE_SQL = None
 
 
