@@ -16,6 +16,7 @@ from docledger.llm.sharding import shard_documents
 from docledger.llm.token_counts import count_tokens
 from docledger.llm.topk import top_k
 from docledger.llm.urls import judge
+from docledger.llm.whitening import whiten
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -62,6 +63,10 @@ def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
@@ -73,5 +78,6 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_near_vectors": op9_near_vectors,
     "op10_sharding": op10_sharding,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 ORACLES: dict[str, str] = {}
