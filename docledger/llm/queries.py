@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docledger.llm.bpe import encode_texts
 from docledger.llm.common import table
+from docledger.llm.conversations import repair_conversations
 from docledger.llm.embeddings import near_vectors
 from docledger.llm.langid import identify_held_out
 from docledger.llm.lm import score_held_out
@@ -67,6 +68,10 @@ def op12_embedding_whitening(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
@@ -79,5 +84,6 @@ QUERIES = {
     "op9_near_vectors": op9_near_vectors,
     "op10_sharding": op10_sharding,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {}
