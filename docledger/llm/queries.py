@@ -16,6 +16,7 @@ from docledger.llm.mixing import mix
 from docledger.llm.sharding import shard_documents
 from docledger.llm.token_counts import count_tokens
 from docledger.llm.topk import top_k
+from docledger.llm.toxicity import score_held_out as toxicity_held_out
 from docledger.llm.urls import judge
 from docledger.llm.whitening import whiten
 
@@ -64,6 +65,10 @@ def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark, sf_dir):
+    return toxicity_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_embedding_whitening(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_near_vectors": op9_near_vectors,
     "op10_sharding": op10_sharding,
+    "op11_toxicity": op11_toxicity,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_conversation_repair": op13_conversation_repair,
 }
