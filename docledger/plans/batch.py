@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
+from pyspark import Accumulator, StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -31,12 +33,13 @@ from docledger.operators.routing import (
     summarize,
 )
 from docledger.operators.rules import Rule, default_rules, judge
-from docledger.schemas import DEFAULT_CONFIDENCE_FLOOR, RAW_EXTRACTION, RUN_SUMMARY
-from docledger.session import new_folder, stage
+from docledger.schemas import ANSWER, DEFAULT_CONFIDENCE_FLOOR, RAW_EXTRACTION, RUN_SUMMARY
+from docledger.session import exists, move, new_folder, remove, stage
 from docledger.sinks import exports
 from docledger.sources.files import with_content_hash
 from docledger.sources.ledger import Ledger, bucket_of, latest_events
-from docledger.sources.pages import Decoder, decode, read_text
+from docledger.sources.pages import DECODE_SECONDS, Decoder, decode, read_text
+from docledger.sources.stores import Store, open_store
 
 # A list of names or hashes up to this size is sent to every executor, so that contents
 # and the ledger stay where they are. Above it the same joins run by shuffle.
@@ -54,6 +57,8 @@ JUDGED_COLUMNS = (
     "currency_code",
 )
 
+OUTPUTS = ("invoices_csv", "invoices_json", "exceptions_csv", "exceptions_json", "run_summary_json")
+
 Progress = Callable[[str, dict], None]
 
 
@@ -174,6 +179,95 @@ def _observed(
     return staged
 
 
+@contextmanager
+def _watched(docs: DataFrame, name: str, on_progress: Progress | None, every: float) -> Iterator:
+    """Give a function that counts the rows of a DataFrame as its tasks end, and report the
+    count while the block runs, at most once in `every` seconds. Tasks that are run twice
+    count twice here; what a stage reports when it is written does not."""
+    if on_progress is None:
+        yield lambda df: df
+        return
+    seen, over = docs.sparkSession.sparkContext.accumulator(0), threading.Event()
+
+    def report() -> None:
+        last = 0
+        while not over.wait(every):
+            if seen.value != last:
+                last = seen.value
+                on_progress(name, {"documents": last})
+
+    thread = threading.Thread(target=report, daemon=True)
+    thread.start()
+    try:
+        yield lambda df: _counted(df, seen)
+    finally:
+        over.set()
+        thread.join()
+
+
+def _counted(df: DataFrame, seen: Accumulator) -> DataFrame:
+    def count(batches: Iterator) -> Iterator:
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema)
+
+
+def _with_answers(
+    docs: DataFrame,
+    marked: DataFrame,
+    texts_of: Callable[[DataFrame], DataFrame],
+    extractor: Extractor,
+    folder: str,
+    work: str,
+    per_commit: int,
+) -> DataFrame:
+    """`record` and `failure` of every admitted document, each extracted once.
+
+    What the extractor answers is written to `folder`, by path and content hash, before
+    anything else is done with it, and committed every `per_commit` documents; documents whose
+    answer is there already are not sent again. So a run that broke and is started again under
+    its id pays for the documents of one commit at most.
+    """
+    spark, key = docs.sparkSession, ["file_path", "file_hash"]
+    todo = marked.select(*DOCUMENT, "admitted")
+    if exists(spark, folder):
+        done = spark.read.schema(ANSWER).parquet(folder).select(*key, F.lit(True).alias("done"))
+        todo = todo.join(done, key, "left").withColumn(
+            "admitted", F.col("admitted") & F.col("done").isNull()
+        )
+    todo = stage(todo.select(*DOCUMENT, "admitted"), f"{work}/todo")
+    commits = -(-todo.where("admitted").count() // per_commit)
+    share = F.pmod(F.xxhash64("file_path"), F.lit(max(commits, 1)))
+    wide = commits > 1 and not {"raw_text", "content"}.isdisjoint(docs.columns)
+    if wide:
+        # Contents are picked out once, not once for each commit.
+        _keep_admitted(docs, todo).withColumn("_share", share).write.partitionBy("_share").parquet(f"{work}/wanted")
+        docs = spark.read.schema(docs.schema.add("_share", "int")).parquet(f"{work}/wanted")
+    for turn in range(commits):
+        mine = todo.withColumn("admitted", F.col("admitted") & (share == turn))
+        part = docs.where(F.col("_share") == turn).drop("_share") if wide else _keep_admitted(docs, mine)
+        records = extract_records(texts_of(part), extractor)
+        records.select(ANSWER.names).write.mode("append").parquet(folder)
+    if not commits and not exists(spark, folder):
+        return spark.createDataFrame([], ANSWER).drop("file_hash")
+    answers = spark.read.schema(ANSWER).parquet(folder)
+    return answers.join(marked.where("admitted").select(*key), key, "left_semi").drop("file_hash")
+
+
+def _publish(output_dir: str, pending: str, target: str, docs: DataFrame) -> None:
+    """Let the outputs of a run appear, all at once, in place of those of an earlier attempt.
+
+    Between the two renames there are none; a reader never meets a part of them.
+    """
+    spark, replaced = docs.sparkSession, f"{output_dir}/_replaced/{uuid.uuid4().hex}"
+    if exists(spark, target):
+        move(spark, target, replaced)
+    move(spark, pending, target)
+    remove(spark, replaced)
+
+
 def _refuse_other_run(ledger: Ledger, run_id: str, staged: DataFrame) -> None:
     """A run id may be repeated for the documents it recorded, never for others."""
     recorded = ledger.recorded(run_id).select("file_hash")
@@ -204,16 +298,25 @@ def run_batch(
     ordered: bool = False,
     run_id: str | None = None,
     on_progress: Progress | None = None,
+    report_every: float = 1.0,
+    answers_per_commit: int = 100_000,
+    decode_seconds: float = DECODE_SECONDS,
+    store: Store = open_store,
 ) -> BatchRun:
     """Process `docs`, write the outputs of the run, then record it in the ledger.
 
-    `docs` has `file_name`, a unique `file_path`, and either `content` (bytes for
-    `decoders`) or `raw_text`. Outputs go to `output_dir/run_id=<run_id>/`, with
+    `docs` has `file_name`, a unique `file_path`, and `raw_text`, or `content` (bytes for
+    `decoders`), or neither: then it lists files, which are read by path. Outputs go to
+    `output_dir/run_id=<run_id>/`, which appears when all of them are written, with
     `ordered` in processing order (by name, then path) across their part files. The
     ledger is written last, and a repeated `run_id` replaces its own outputs and ledger
-    rows, so a run that broke off anywhere can simply be started again. An id that the
+    rows, so a run that broke off anywhere can simply be started again; the answers of a
+    custom extractor are kept until then and not asked for twice. An id that the
     ledger has with documents which are not among `docs` is refused. `docs` also has the
     columns that the extractor names.
+
+    `on_progress(stage, counts)` is called after each stage, and while documents are extracted
+    every `report_every` seconds, as "extracting", from a thread of its own.
     """
     spark = docs.sparkSession
     has_text = "raw_text" in docs.columns
@@ -233,17 +336,36 @@ def run_batch(
     work = new_folder(spark, run_id)
     events = ledger.events().where(F.col("run_id") != run_id)
 
-    # Hash every document once. Cheap extraction from table text shares that scan, and
-    # the rules follow at once: from there on only narrow rows are moved.
-    # Where the ledger knows documents, it is asked first, and only new ones are extracted.
-    one_pass = has_text and extractor.native and (force or events.isEmpty())
-    narrow = with_content_hash(docs, "raw_text" if has_text else "content").select(
-        *DOCUMENT, *(["raw_text", *extractor.columns] if one_pass else [])
-    )
+    def read(wanted: DataFrame) -> DataFrame:
+        """Documents with name, path, hash and text, read and decoded where they are files."""
+        if has_text:
+            texts = with_content_hash(wanted, "raw_text")
+        else:
+            files = with_content_hash(wanted) if "content" in wanted.columns else wanted
+            kept = [c for c in ("content", "length", "file_hash") if c in files.columns]
+            files = files.select("file_name", "file_path", *kept, *extractor.columns)
+            texts = read_text(decode(files, decoders, decode_seconds, store))
+        details = [c for c in ("unreadable_details",) if c in texts.columns]
+        return texts.select(*DOCUMENT, "raw_text", *details, *extractor.columns)
+
+    # Every document is hashed once. Where nothing can be skipped, decoding shares that scan,
+    # and so does cheap extraction, with the rules: from there on only narrow rows are moved.
+    # Where the ledger knows documents, it is asked first, and only new ones are read again.
+    nothing_known = force or events.isEmpty()
+    one_pass = nothing_known and extractor.native
+    decoded = nothing_known and not has_text and not extractor.native
     if one_pass:
-        records = extract_records(narrow, extractor).select(*DOCUMENT, "record", "failure")
+        records = extract_records(read(docs), extractor).select(*DOCUMENT, "record", "failure")
         narrow = judge_documents(records, rules)
-    staged = _observed(narrow, "hashed", f"{work}/intake", on_progress)
+    elif decoded:
+        narrow = read(docs)
+    else:
+        narrow = with_content_hash(docs, "raw_text" if has_text else "content", store).select(*DOCUMENT)
+    with _watched(docs, "extracting" if one_pass else "hashing", on_progress, report_every) as counted:
+        staged = _observed(counted(narrow), "hashed", f"{work}/intake", on_progress)
+    texts = staged if decoded else docs
+    if decoded:
+        staged = staged.select(*DOCUMENT)
     if given_run is not None:
         _refuse_other_run(ledger, run_id, staged)
 
@@ -259,21 +381,31 @@ def run_batch(
         admitted=F.count_if("admitted"),
     )
 
+    answers = f"{ledger.path}/answers/run_id={run_id}"
+    if one_pass and not has_text and on_progress is not None:
+        done = F.count("*").alias("documents"), F.count("issue").alias("rejected")
+        on_progress("extracted", marked.where("admitted").agg(*done).first().asDict())
     if not one_pass:
-        wanted = _keep_admitted(docs, marked)
-        if has_text:
-            text = wanted.select("file_name", "file_path", "raw_text", *extractor.columns)
-        else:
-            content = wanted.select("file_name", "file_path", "content", *extractor.columns)
-            text = read_text(decode(content, decoders))
-        records = extract_records(text, extractor).select("file_path", "record", "failure")
-        extracted = _observed(
-            judge_documents(records, rules),
-            "extracted",
-            f"{work}/extracted",
-            on_progress,
-            rejected=F.count_if(F.col("issue").isNotNull()),
-        )
+        with _watched(docs, "extracting", on_progress, report_every) as counted:
+
+            def texts_of(wanted: DataFrame) -> DataFrame:
+                return wanted if decoded else read(wanted)
+
+            if extractor.native:
+                records = extract_records(texts_of(_keep_admitted(texts, marked)), extractor)
+                records = counted(records.select("file_path", "record", "failure"))
+            else:
+                watched = replace(extractor, apply=lambda part: counted(extractor.apply(part)))
+                records = _with_answers(
+                    texts, marked, texts_of, watched, answers, work, answers_per_commit
+                )
+            extracted = _observed(
+                judge_documents(records, rules),
+                "extracted",
+                f"{work}/extracted",
+                on_progress,
+                rejected=F.count_if(F.col("issue").isNotNull()),
+            )
         marked = _with_extracted(marked, extracted)
 
     history = None if dedup == "off" else _run_history(events, marked, f"{work}/history")
@@ -285,18 +417,17 @@ def run_batch(
         exceptions=F.count_if(F.col("status") == "EXCEPTION"),
     )
 
-    target = f"{output_dir.rstrip('/')}/run_id={run_id}"
+    output_dir = output_dir.rstrip("/")
+    target, pending = f"{output_dir}/run_id={run_id}", f"{output_dir}/_pending/{run_id}-{uuid.uuid4().hex}"
     accepted, rejected = accepted_invoices(routed), exception_queue(routed)
     if ordered:
         accepted = exports.in_document_order(accepted).persist(StorageLevel.DISK_ONLY)
         rejected = exports.in_document_order(rejected).persist(StorageLevel.DISK_ONLY)
-    outputs = {
-        "invoices_csv": exports.export_invoices_csv(accepted, f"{target}/invoices_csv"),
-        "invoices_json": exports.export_invoices_json(accepted, f"{target}/invoices_json"),
-        "exceptions_csv": exports.export_exceptions_csv(rejected, f"{target}/exceptions_csv"),
-        "exceptions_json": exports.export_exceptions_json(rejected, f"{target}/exceptions_json"),
-        "run_summary_json": f"{target}/run_summary_json",
-    }
+    exports.export_invoices_csv(accepted, f"{pending}/invoices_csv")
+    exports.export_invoices_json(accepted, f"{pending}/invoices_json")
+    exports.export_exceptions_csv(rejected, f"{pending}/exceptions_csv")
+    exports.export_exceptions_json(rejected, f"{pending}/exceptions_json")
+    outputs = {name: f"{target}/{name}" for name in OUTPUTS}
 
     if ordered:
         accepted.unpersist()
@@ -312,14 +443,16 @@ def run_batch(
         "output_files": outputs,
     }
     row = spark.createDataFrame([tuple(summary[n] for n in RUN_SUMMARY.names)], RUN_SUMMARY)
-    exports.export_summary(row, outputs["run_summary_json"])
+    exports.export_summary(row, f"{pending}/run_summary_json")
+    _publish(output_dir, pending, target, docs)
 
     recorded = ledger_events(routed).withColumn("processed_at", F.lit(started_at))
     ledger.append(recorded, run_id)
+    remove(spark, answers)
     return BatchRun(run_id, summary, result_columns(routed), outputs)
 
 
-def dry_run(docs: DataFrame, ledger: Ledger) -> DataFrame:
+def dry_run(docs: DataFrame, ledger: Ledger, store: Store = open_store) -> DataFrame:
     """Counts of total, new and known documents; reads the ledger and changes nothing."""
-    hashed = with_content_hash(docs, "raw_text" if "raw_text" in docs.columns else "content")
+    hashed = with_content_hash(docs, "raw_text" if "raw_text" in docs.columns else "content", store)
     return probe_counts(hashed.select("file_hash"), ledger.seen())

@@ -284,6 +284,8 @@ HASHED = """WITH hashed AS (
 _LABEL = "(?im)^[ \\t]*invoice[ \\t]*(number|no\\.?|#)[ \\t]*:[ \\t]*\\S"
 
 ORACLES = {
+    "scan_files": """SELECT doc_id, 'part-' AS name_begins, '.txt' AS suffix,
+        strlen(coalesce(text, '')) + 1 AS length FROM documents""",
     "scanned_file_hashes": """SELECT doc_id, '.txt' AS suffix, strlen(coalesce(text, '')) + 1 AS length,
         sha256(coalesce(text, '') || chr(10)) AS file_hash FROM documents""",
     "content_hash": "SELECT doc_id, sha256(text) AS file_hash FROM documents",

@@ -35,6 +35,14 @@ RAW_EXTRACTION = _struct(
     confidence_score=_D,
 )
 
+# What an extractor said about a document: a record, or why there is none.
+ANSWER = _struct(
+    file_path=_S,
+    file_hash=_S,
+    record=RAW_EXTRACTION,
+    failure=_struct(issue_type=_S, details=_S),
+)
+
 INVOICE = _struct(
     file_name=_S,
     file_hash=_S,

@@ -60,3 +60,34 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     """
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return given.getFileSystem(spark._jsc.hadoopConfiguration()), given
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, if it is there."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Give a folder another name on its file system, in one step where that has renames."""
+    system, place = _file_system(spark, source)
+    goal = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system.mkdirs(goal.getParent())
+    if not system.rename(place, goal):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder that holds few of them; none if it is not there."""
+    system, place = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []

@@ -18,7 +18,7 @@ def db():
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(entry_points.queries())
-    assert set(QUERIES) - set(SQL) == {"scan_files"}
+    assert set(QUERIES) <= set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -31,12 +31,6 @@ def test_query_matches_sql(spark, db, name):
     assert wrong[:3] == []
 
 
-def test_scan_files(spark):
-    found = entry_points.queries()["scan_files"](spark, SF).collect()
-    assert {row.file_name for row in found} >= {"orders.parquet", "documents.parquet"}
-    assert all(row.suffix == ".parquet" and row.length > 0 for row in found)
-
-
 def test_entry(spark):
     row = entry_points.entry(spark).first()
     assert row.total_scanned == 1500
