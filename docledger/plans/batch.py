@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 from pyspark import Accumulator, StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docledger.functions.keys import KEY, with_keys
 from docledger.functions.text import is_blank
@@ -244,7 +245,8 @@ def _with_answers(
     if wide:
         # Contents are picked out once, not once for each commit.
         _keep_admitted(docs, todo).withColumn("_share", share).write.partitionBy("_share").parquet(f"{work}/wanted")
-        docs = spark.read.schema(docs.schema.add("_share", "int")).parquet(f"{work}/wanted")
+        schema = T.StructType([*docs.schema.fields, T.StructField("_share", T.LongType())])
+        docs = spark.read.schema(schema).parquet(f"{work}/wanted")
     for turn in range(commits):
         mine = todo.withColumn("admitted", F.col("admitted") & (share == turn))
         part = docs.where(F.col("_share") == turn).drop("_share") if wide else _keep_admitted(docs, mine)
