@@ -11,11 +11,11 @@ from docledger.schemas import ACCEPTED_STATUSES
 DEDUP_MODES = ("hash", "key", "off")
 
 
-def accepted_history(ledger: DataFrame) -> DataFrame:
+def accepted_history(ledger: DataFrame, *carried: str) -> DataFrame:
     """Keys and hashes of accepted ledger rows. Blank keys never enter history."""
     accepted = ledger.where(F.col("status").isin(*ACCEPTED_STATUSES))
     keyed = with_keys(accepted).where("supplier_key != '' AND number_key != ''")
-    return keyed.select(*KEY, "file_hash")
+    return keyed.select(*KEY, "file_hash", *carried)
 
 
 def history_index(ledger: DataFrame) -> DataFrame:

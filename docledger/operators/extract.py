@@ -195,7 +195,9 @@ def response_extractor(response: str = "response") -> Extractor:
 # --- a user's extractor ------------------------------------------------------------------
 
 def custom_extractor(
-    factory: Callable[[], Callable[[str, str], dict | None]], partitions: int | None = None
+    factory: Callable[[], Callable[[str, str], dict | None]],
+    partitions: int | None = None,
+    request: Callable[[Column, Column], Column] | None = None,
 ) -> Extractor:
     """Run a user's extractor: `factory()` gives a function of text and file name.
 
@@ -204,7 +206,8 @@ def custom_extractor(
     a task whose factory fails gives that error for all its documents. The function returns a dict of record fields, or None for a refusal;
     what it raises becomes that document's error and fails nothing else. Its
     answers go through the same binding as stored responses; the text itself is not
-    sent back. `partitions` spreads the remaining documents evenly, as the new ones
+    sent back. `request`, such as `build_request`, makes what the function gets in place of
+    the text, of file name and text, in the plan. `partitions` spreads the remaining documents evenly, as the new ones
     may sit in a few files.
     """
     if not callable(factory):
@@ -251,7 +254,8 @@ def custom_extractor(
             carried
             + [T.StructField("response", T.StringType()), T.StructField("call_error", T.StringType())]
         )
-        sent = docs.withColumn("raw_text", F.when(_blank_error().isNull(), F.col("raw_text")))
+        text = F.col("raw_text") if request is None else request(F.col("file_name"), F.col("raw_text"))
+        sent = docs.withColumn("raw_text", F.when(_blank_error().isNull(), text))
         if partitions:
             sent = sent.repartition(partitions, "file_path")
         bound = parse_response(sent.mapInPandas(call, answered), "response")

@@ -38,7 +38,7 @@ from docledger.schemas import ANSWER, DEFAULT_CONFIDENCE_FLOOR, RAW_EXTRACTION,
 from docledger.session import exists, move, new_folder, remove, stage
 from docledger.sinks import exports
 from docledger.sources.files import with_content_hash
-from docledger.sources.ledger import Ledger, bucket_of, latest_events
+from docledger.sources.ledger import MIXED, Ledger, bucket_of, latest_events
 from docledger.sources.pages import DECODE_SECONDS, Decoder, decode, read_text
 from docledger.sources.stores import Store, open_store
 
@@ -137,21 +137,30 @@ def _events_of(events: DataFrame, wanted: DataFrame) -> DataFrame:
     if "bucket" in events.columns and "file_hash" in wanted.columns:
         # At most as many rows as a ledger has buckets.
         buckets = wanted.select(bucket_of(F.col("file_hash"))).distinct().collect()
-        events = events.where(F.col("bucket").isin([row[0] for row in buckets]))
+        events = events.where(F.col("bucket").isin([*(row[0] for row in buckets), MIXED]))
     return events.join(F.broadcast(wanted.distinct()), wanted.columns, "left_semi")
 
 
-def _run_history(events: DataFrame, documents: DataFrame, path: str) -> DataFrame:
+def run_history(
+    events: DataFrame,
+    documents: DataFrame,
+    path: str,
+    hashes_of_keys: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """History index over the keys that `documents` can ask for.
 
-    A small run looks for hashes that any accepted event gave one of its keys, then
-    takes all events of those hashes, since a later event may have moved a hash to
-    another key or rejected it. A large run indexes the whole ledger.
+    A small run looks for hashes that any accepted event gave one of its keys, in the
+    ledger's key layout if `hashes_of_keys` reads it, then takes all events of those hashes,
+    since a later event may have moved a hash to another key or rejected it. A large run
+    indexes the whole ledger.
     """
     keys = with_keys(documents.where("issue IS NULL")).select(*KEY)
     if not _fits(keys):
         return history_index(latest_events(events))
-    hits = accepted_history(events).join(F.broadcast(keys.distinct()), KEY, "left_semi")
+    if hashes_of_keys is not None:
+        hits = hashes_of_keys(keys)
+    else:
+        hits = accepted_history(events).join(F.broadcast(keys.distinct()), KEY, "left_semi")
     hashes = stage(hits.select("file_hash").distinct(), path)
     return history_index(latest_events(_events_of(events, hashes)))
 
@@ -410,7 +419,10 @@ def run_batch(
             )
         marked = _with_extracted(marked, extracted)
 
-    history = None if dedup == "off" else _run_history(events, marked, f"{work}/history")
+    history = None
+    if dedup != "off":
+        hits = lambda keys: ledger.hashes_of_keys(keys, run_id)
+        history = run_history(events, marked, f"{work}/history", hits)
     routed = _observed(
         route_documents(marked, history, dedup),
         "routed",

@@ -11,7 +11,13 @@ from docledger.functions.keys import KEY, with_keys
 from docledger.functions.text import file_name, file_suffix, strip
 from docledger.operators import copies, dedup, extract, routing, rules
 from docledger.plans import recipes
-from docledger.plans.batch import extract_records, judge_documents, route_documents, run_batch
+from docledger.plans.batch import (
+    extract_records,
+    judge_documents,
+    route_documents,
+    run_batch,
+    run_history,
+)
 from docledger.schemas import EXCEPTION, INVOICE, RAW_EXTRACTION
 from docledger.session import new_folder, stage
 from docledger.sinks import exports
@@ -116,7 +122,9 @@ def pluggable_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         patterns = {k: re.compile(rf"^{v}: *(\S.*)$", re.M) for k, v in labels.items()}
         amount = re.compile(r"^Total Amount: *(-?[\d,.]+)", re.M)
 
-        def read(text: str, name: str) -> dict:
+        def read(request: str, name: str) -> dict:
+            heading, text = request.split("\n\nText:\n", 1)
+            assert heading == f"File: {name}"
             found = {k: p.search(text) for k, p in patterns.items()}
             record = {k: m.group(1).strip() if m else None for k, m in found.items()}
             total = amount.search(text)
@@ -126,7 +134,7 @@ def pluggable_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return read
 
-    extractor = extract.custom_extractor(label_reader)
+    extractor = extract.custom_extractor(label_reader, request=extract.build_request)
     return _record_columns(extractor.apply(_labelled(spark, sf_dir)))
 
 
@@ -239,9 +247,21 @@ def history_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dup_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = with_keys(recipes.raw_invoices(spark, sf_dir)).select("seq", "file_hash", *KEY)
-    index = stage(dedup.history_index(recipes.ledger(spark, sf_dir)), new_folder(spark, "index"))
-    return dedup.duplicates_of_history(keyed, index).select("seq")
+    """Invoices against a ledger's key layout, as a run asks it."""
+    invoices = recipes.raw_invoices(spark, sf_dir)
+    book = _past_ledger(spark, sf_dir)
+    asking = invoices.select("supplier_name", "invoice_number", F.lit(None).alias("issue"))
+    history = run_history(book.events(), asking, new_folder(spark, "hits"), book.hashes_of_keys)
+    keyed = with_keys(invoices).select("seq", "file_hash", *KEY)
+    return dedup.duplicates_of_history(keyed, stage(history, new_folder(spark, "index"))).select("seq")
+
+
+def _past_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """A ledger that holds every past result."""
+    book = Ledger(spark, new_folder(spark, "ledger"))
+    past = recipes.ledger(spark, sf_dir)
+    book.append(past.withColumn("processed_at", F.col("processed_at").cast("timestamp")), "past")
+    return book
 
 
 def dup_key_only(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,9 +352,7 @@ def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create, append every past result, count, clear, count again."""
-    book = Ledger(spark, new_folder(spark, "ledger"))
-    past = recipes.ledger(spark, sf_dir)
-    book.append(past.withColumn("processed_at", F.col("processed_at").cast("timestamp")), "past")
+    book = _past_ledger(spark, sf_dir)
     filled = book.stats()
     book.clear()
     return filled.withColumn("phase", F.lit("filled")).unionByName(
@@ -410,9 +428,7 @@ def run_batch_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     An invoice's text is its order key, whose hash the ledger has for finished orders.
     """
-    book = Ledger(spark, new_folder(spark, "ledger"))
-    past = recipes.ledger(spark, sf_dir)
-    book.append(past.withColumn("processed_at", F.col("processed_at").cast("timestamp")), "past")
+    book = _past_ledger(spark, sf_dir)
     fields = F.struct(*[F.col(name) for name in RAW_EXTRACTION.names])
     docs = recipes.raw_invoices(spark, sf_dir).select(
         "file_name",

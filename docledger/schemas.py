@@ -83,6 +83,12 @@ LEDGER = T.StructType(
     + [T.StructField("bucket", T.IntegerType())]
 )
 
+# One row per accepted event, by the bucket of its invoice key.
+LEDGER_KEY = _struct(supplier_key=_S, number_key=_S, file_hash=_S, run_id=_S)
+LEDGER_KEYS = T.StructType(
+    [*LEDGER_KEY.fields, T.StructField("batch", _S), T.StructField("bucket", T.IntegerType())]
+)
+
 RUN_SUMMARY = _struct(
     total_scanned=T.LongType(),
     processed_ok=T.LongType(),

@@ -87,7 +87,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
-def subfolders(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder that holds few of them; none if it is not there."""
+def folder_times(spark: SparkSession, path: str) -> dict[str, float]:
+    """Names in a folder that holds few of them, and when each was last changed, in seconds
+    since 1970; none if the folder is not there."""
     system, place = _file_system(spark, path)
-    return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
+    if not system.exists(place):
+        return {}
+    return {s.getPath().getName(): s.getModificationTime() / 1000 for s in system.listStatus(place)}

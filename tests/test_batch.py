@@ -316,7 +316,7 @@ def test_run_history_is_the_index_of_its_keys(spark, folder):
     documents = spark.createDataFrame(
         wanted, "supplier_name string, invoice_number string, issue string"
     )
-    found = batch._run_history(log, documents, f"{folder}/history").collect()
+    found = batch.run_history(log, documents, f"{folder}/history").collect()
     everything = batch.history_index(batch.latest_events(log)).collect()
     keys = {(s, n) for s, n, issue in wanted if issue is None}
 

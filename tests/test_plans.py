@@ -1,8 +1,10 @@
 """What the plans do at scale: pruning, pushdown, early grouping and crowded keys."""
 
 import re
+import shutil
 from contextlib import contextmanager
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from docledger.operators import copies, dedup
 from docledger.plans.queries import QUERIES
 from docledger.plans import batch
 from docledger.session import stage
+from docledger.sources import ledger as ledgers
 from docledger.sources.ledger import BUCKETS, Ledger, latest_events
 
 SF = "/root/testdata/sf0.001"
@@ -206,3 +209,65 @@ def test_small_runs_read_few_buckets_and_compaction_keeps_records(spark, folder)
     ledger.clear()
     assert ledger.events().isEmpty() and ledger.epoch() == 2
 
+
+
+def events_of(spark, rows):
+    columns = "file_hash string, file_name string, supplier_name string, invoice_number string,"
+    return spark.createDataFrame(rows, f"{columns} status string, issue_type string, processed_at timestamp")
+
+
+def test_key_probe_reads_the_buckets_of_its_keys(spark, folder, monkeypatch):
+    """Also of a ledger written before there was a key layout, and not the run's own keys."""
+    monkeypatch.setattr(ledgers, "SMALL_RUN", 0)
+    ledger = Ledger(spark, f"{folder}/ledger")
+    at = datetime(2024, 1, 1)
+    rows = [(f"h{i}", f"n{i}", f" S{i % 50} ", str(i % 50), "OK" if i % 3 else "EXCEPTION", None, at) for i in range(300)]
+    ledger.append(events_of(spark, rows[:200]), "a")
+    ledger.append(events_of(spark, rows[200:]), "b")
+    keys = spark.createDataFrame([("s7", "7"), ("s9", "9"), ("s9", "8")], "supplier_key string, number_key string")
+    probe = ledger.hashes_of_keys(keys, "b")
+    expected = {f"h{i}" for i in range(200) if i % 50 in (7, 9) and i % 3}
+    assert {r.file_hash for r in probe.collect()} == expected
+    assert re.search(r"PartitionFilters: \[.*bucket#\d+ IN", plan(probe))
+    entries = spark.read.parquet(f"{folder}/ledger/keys")
+    assert 10 < entries.select("bucket").distinct().count() <= BUCKETS
+    shutil.rmtree(f"{folder}/ledger/keys")
+    again = Ledger(spark, f"{folder}/ledger")
+    assert {r.file_hash for r in again.hashes_of_keys(keys, "b").collect()} == expected
+
+
+def test_many_small_runs_leave_few_folders(spark, folder):
+    ledger = Ledger(spark, f"{folder}/ledger", merge_at=3, grace=0)
+    before = ledger.events()
+    for n in range(14):
+        rows = [(f"h{i}", f"n{i}", "s", str(i), "OK", None, datetime(2024, 1, 1 + n)) for i in range(n, n + 4)]
+        ledger.append(events_of(spark, rows), f"run-{n}")
+        if n == 5:
+            beside = ledger.current()
+            seen = {r.file_hash for r in beside.collect()}
+    assert before.count() == 0 and len(seen) == 9
+    names = [p.name for p in Path(f"{folder}/ledger/events/0").iterdir()]
+    assert len(names) <= 1 + 2 * 3 + 3
+    assert len(list(Path(f"{folder}/ledger/events/0").glob("*/bucket=*"))) <= 9  # a small run is one file
+    latest = {r.file_hash: r.processed_at.day for r in ledger.current().collect()}
+    assert latest == {f"h{i}": min(i, 13) + 1 for i in range(17)}
+    assert ledger.history().count() == 17
+    assert {r.file_hash for r in ledger.recorded("run-2").collect()} == {f"h{i}" for i in range(2, 6)}
+    key = spark.createDataFrame([("s", "3")], "supplier_key string, number_key string")
+    assert [r.file_hash for r in ledger.hashes_of_keys(key).collect()] == ["h3"]
+    # A run that was merged away and is repeated keeps its new rows through further merges.
+    ledger.append(events_of(spark, [("h2", "n2", "s", "2", "EXCEPTION", "X", datetime(2024, 3, 1))]), "run-2")
+    for n in range(20, 27):
+        ledger.append(events_of(spark, [(f"h{n}", f"n{n}", "s", str(n), "OK", None, datetime(2024, 1, n))]), f"run-{n}")
+    assert ledger.get("h2").first().issue_type == "X"
+    assert {r.documents for r in ledger.stats().where("status = 'TOTAL'").collect()} == {24}
+
+
+def test_merged_folders_stay_for_jobs_that_read_them(spark, folder):
+    ledger = Ledger(spark, f"{folder}/ledger", merge_at=2, grace=3600)
+    ledger.append(events_of(spark, [("h1", "n", "s", "1", "OK", None, datetime(2024, 1, 1))]), "a")
+    listed = ledger.events()
+    ledger.append(events_of(spark, [("h2", "n", "s", "2", "OK", None, datetime(2024, 1, 1))]), "b")
+    ledger.append(events_of(spark, [("h3", "n", "s", "3", "OK", None, datetime(2024, 1, 1))]), "c")
+    assert [r.file_hash for r in listed.collect()] == ["h1"]
+    assert {r.documents for r in ledger.stats().where("status = 'OK'").collect()} == {3}
