@@ -2,10 +2,12 @@
 
 The encoding of a prefix is its last token after the encoding of what comes before that
 token, so one last token per prefix describes all encodings. The new words of a batch go
-into a trie; a walk, depth first, finds the last token of each node from those above it,
-and words with a common prefix share that work. Runs of many letters go by themselves, in memory
-that grows with their length, and are not remembered. A token t may follow a token s if merging
+into a trie, held as their sorted list with the lengths of common prefixes; the walk along it
+is depth first, keeps the last tokens of the prefixes it stands on, and finds those of a
+prefix that words share once. Which tokens may end a prefix comes from an automaton over all
+tokens, longest first; a token t may follow a token s if merging
 the letters of both leaves them as they are; exactly one token that ends a prefix may.
+Very long words are not remembered.
 
 A null text is an empty one, and an empty text has no ids and decodes to an empty text.
 Repeated rows come out alike; an empty table gives an empty result.
@@ -14,7 +16,10 @@ Repeated rows come out alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
+from struct import pack
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +28,8 @@ from docledger.llm.common import tidy
 from docledger.llm.pretokens import END_OF_WORD, Splitter, Vocabulary, spelled
 
 #: Distinct words of each kind, and pairs of tokens, that a worker remembers at most, about.
-REMEMBERED, REMEMBERED_PAIRS = 60_000, 100_000
-#: Letters of the longest word that goes into a trie and is remembered.
+REMEMBERED, REMEMBERED_PAIRS = 100_000, 100_000
+#: Letters of the longest word that is remembered.
 LONGEST = 256
 #: Rows handled at once.
 ROWS_AT_ONCE = 512
@@ -53,7 +58,14 @@ class Codec:
             for at in range(1, len(letters)):
                 endings.setdefault(letters[at:], -1)
             endings[letters] = token
+        self.sizes = {token: len(text.removesuffix(END_OF_WORD)) for text, token in ids.items()}
         self.longest = max(map(len, [*self.inner, *self.final]), default=1)
+        # All tokens that may stand inside a word, to find those that end at each letter.
+        self.inside = ahocorasick.Automaton()
+        for letters, token in self.inner.items():
+            if token >= 0:
+                self.inside.add_word(letters, (len(letters), token))
+        self.inside.make_automaton()
         # Words of late and of before; what is not used for long falls out of both.
         self.recent: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
@@ -155,41 +167,35 @@ class Codec:
         raise ValueError(f"no token ends {letters!r}")
 
     def encode_all(self, words: list[str]) -> None:
-        """Encode the spelled words, all but long ones through one trie, and remember them."""
-        trie: dict = {}
-        for word in words:
-            if len(word) > LONGEST:
-                self.encode_run(word)
-                continue
-            node = trie
-            for letter in word:
-                node = node.setdefault(letter, {})
-            node[""] = None
+        """Encode the spelled words along one trie, and keep what they come to."""
+        if not words or self.inside.kind != ahocorasick.AHOCORASICK:
+            for word in words:  # no token but those that end a word
+                self.remember(word, [-1])
+            return
+        pairs, matches = self.pairs, self.inside.iter
         # Last tokens of the prefixes of the walk's place; that of the empty prefix is unused.
-        last = [-1]
-        walk = [("", iter(trie.items()))]
-        while walk:
-            prefix, children = walk[-1]
-            letter, child = next(children, (None, None))
-            if letter is None:
-                walk.pop()
-                last.pop()
-            elif letter == "":
-                self.remember(prefix, last)
-            else:
-                longer = prefix + letter
-                inner = len(child) > ("" in child)
-                # The last letter of a word is spelled with its end, so a leaf needs no state.
-                last.append(self.last_token(longer, self.inner, last) if inner else -1)
-                walk.append((longer, iter(child.items())))
-
-    def encode_run(self, word: str) -> None:
-        """Encode one long word; of each prefix no more than its last token is kept."""
-        last = [-1]
-        for end in range(1, len(word)):
-            start = max(0, end - self.longest)
-            last.append(self.last_token(word[start:end], self.inner, last, start))
-        self.remember(word, last)
+        last, before = [-1], ""
+        for word in sorted(words):
+            # The last letter of a word is spelled with its end, so a whole word needs no state.
+            shared = 1
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                shared += 1
+            del last[min(shared, len(word)) :]
+            for end, (size, token) in matches(word, 0, len(word) - 1):
+                if end + 1 < len(last):
+                    continue  # known from words before, or settled by a longer token
+                at = end + 1 - size
+                fits = pairs.get((last[at], token)) if at else self.stands(token)
+                if fits is None:
+                    fits = self.follows(last[at], token)
+                if fits:
+                    last.append(token)
+            if len(last) != len(word):
+                raise ValueError(f"no token ends {word[: len(last)]!r}")
+            self.remember(word, last)
+            before = word
 
     def remember(self, word: str, last: list[int]) -> None:
         found = []
@@ -198,18 +204,13 @@ class Codec:
         while at:
             token = self.last_token(word[start:], self.final, last, start) if suffix else last[at]
             found.append(token)
-            at -= len(self.texts[token]) - len(suffix)
+            at -= self.sizes[token]
             suffix = ""
         found.reverse()
         self.encoded[word] = self.entry(found)
 
-    def forget(self) -> None:
-        """Drop what was remembered of the texts; a worker outlives the stage that encodes."""
-        self.recent, self.older, self.encoded = {}, {}, {}
-        self.pairs.clear()
-
     def entry(self, found: list[int]) -> tuple[bytes, str]:
-        return np.array(found, "<u4").tobytes(), " ".join([self.texts[t] for t in found])
+        return pack(f"<{len(found)}I", *found), " ".join([self.texts[t] for t in found])
 
     def look_up(self, words: list[str]) -> list[tuple[bytes, str]]:
         """Ids and decoded text of each distinct pre-token."""
@@ -223,12 +224,9 @@ class Codec:
         for word in new:
             special = self.specials.get(word)
             recent[word] = self.encoded[letters[word]] if special is None else self.entry([special])
-        answers = []
-        for word in words:
-            answer = recent.get(word)
-            if answer is None:
-                answer = recent[word] = older[word]
-            answers.append(answer)
+        answers = list(map(recent.get, words))
+        for at in [at for at, answer in enumerate(answers) if answer is None]:
+            answers[at] = recent[words[at]] = older[words[at]]
         for word in new:
             if len(word) > LONGEST:
                 del recent[word]
@@ -236,7 +234,11 @@ class Codec:
         return answers
 
 
-_codecs: dict[int, Codec] = {}
+@lru_cache(maxsize=1)
+def codec_of(source: str) -> Codec:
+    """The codec of a vocabulary, one for all tasks of a Python worker. What it remembers is
+    bounded, and tasks reach it by the name of this function."""
+    return Codec(Vocabulary.parse(source))
 
 
 def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -248,15 +250,11 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame
     """
     source = Vocabulary.read(path).source
     shared = docs.sparkSession.sparkContext.broadcast(source)  # of the file's fixed size
-    name = hash(source)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
 
     @tidy
     def encode(batches):
-        if name not in _codecs:
-            _codecs.clear()
-            _codecs[name] = Codec(Vocabulary.parse(shared.value))
-        codec = _codecs[name]
+        codec = codec_of(shared.value)
         splitter = Splitter(codec.specials, shared.value)
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         parts = (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
@@ -283,7 +281,6 @@ def encode_texts(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
                 own_ids = batch.column("doc_id").slice(first, len(bounds) - 1)
                 yield pa.RecordBatch.from_arrays([own_ids, *arrays], names)
-        codec.forget()
 
     types = [docs.schema["doc_id"].dataType.simpleString(), "long", "string", "string", "array<int>", "string"]
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, types, strict=False))

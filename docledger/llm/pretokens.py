@@ -180,10 +180,8 @@ class Splitter:
         places, distinct = pd.factorize(value)
         example = np.empty(len(distinct), np.int64)
         example[places[::-1]] = np.arange(len(places) - 1, -1, -1)
-        words = [self._word(codes[first[e] : last[e]]) for e in example.tolist()]
+        text = np.where(kinds == SPECIAL, 32, codes).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        words = [text[a:b] for a, b in zip(first[example].tolist(), last[example].tolist(), strict=True)]
+        for e in np.flatnonzero(kinds[first[example]] == SPECIAL).tolist():
+            words[e] = self.names[codes[first[example[e]]] - FIRST_SPECIAL]
         return Tokens(words, places, bounds)
-
-    def _word(self, codes: np.ndarray) -> str:
-        if codes[0] >= FIRST_SPECIAL:
-            return self.names[codes[0] - FIRST_SPECIAL]
-        return codes.tobytes().decode("utf-32-le")
