@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm.common import sent_if_small, staged, tidy
@@ -203,8 +203,12 @@ def near_duplicates(
     least: float = 0.75,
     seed: int = 5,
 ) -> DataFrame:
-    """One row per document: `class_id`, the least id of its class, and whether it is `kept`."""
-    texts = docs.select("doc_id", "text")
+    """One row per document: `class_id`, the least id of its class, whether it is `kept`, and
+    `text_hash`, which tells texts of one id apart.
+
+    What is grouped are texts, not ids: a node is an id with the hash of its text.
+    """
+    texts = docs.select("doc_id", "text", text_hash())
     total = texts.count()
     keys, df, unused = frequent_shingles(texts, total, rare)
     # At most (mean shingles a document) / rare rows; see above.
@@ -242,27 +246,30 @@ def near_duplicates(
             arrays = [pa.array(x) for x in (upper, lower, weight)]
             arrays.append(pa.array(signature, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *arrays], ["doc_id", "upper", "lower", "weight", "signature"]
+                [batch.column("doc_id"), batch.column("text_hash"), *arrays],
+                ["doc_id", "text_hash", "upper", "lower", "weight", "signature"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = f"struct<doc_id:{id_kind},text_hash:bigint>"
+    node = F.struct("doc_id", "text_hash")
     signed = staged(
         texts.filter("doc_id is not null").mapInArrow(
             sign,
-            f"doc_id {kind}, upper long, lower long, weight double, signature array<long>",
+            f"doc_id {id_kind}, text_hash long, upper long, lower long, weight double, signature array<long>",
         ),
         "signatures",
     )
-    # Texts with the same words: one node, the least id. Others without words: themselves.
-    worded = signed.filter("signature is not null")
-    first = worded.groupBy("upper", "lower").agg(F.min("doc_id").alias("node"))
+    # Texts with the same words: one node, of the least id. Others without words: themselves.
+    worded = signed.filter("signature is not null").withColumn("own", node)
+    first = worded.groupBy("upper", "lower").agg(F.min("own").alias("node"))
     members = staged(
-        worded.select("doc_id", "upper", "lower").join(first, ["upper", "lower"]).select("doc_id", "node"),
+        worded.select("own", "upper", "lower").join(first, ["upper", "lower"]).select("own", "node").distinct(),
         "members",
     )
     nodes = (
         worded.join(first, ["upper", "lower"])
-        .filter("doc_id = node")
+        .filter("own = node")
         .groupBy("node")
         .agg(F.first("weight").alias("weight"), F.first("signature").alias("signature"))
     )
@@ -274,9 +281,12 @@ def near_duplicates(
         entries.join(centres.filter("n > 1"), "bucket").select("bucket", "band", "centre", "node"),
         "buckets",
     )
-    wanted = staged(crowded.select(F.col("node").alias("doc_id")).distinct(), "crowded")
+    wanted = staged(crowded.select("node.*").distinct(), "crowded")
+    key = ["doc_id", "text_hash"]
     needed = staged(
-        texts.join(sent_if_small(wanted, 64), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
+        texts.join(sent_if_small(wanted, 64), key, "left_semi")
+        .dropDuplicates(key)
+        .select(node.alias("node"), "text"),
         "texts",
     )
 
@@ -302,8 +312,8 @@ def near_duplicates(
                     [batch.column("a"), batch.column("b"), pa.array(found)], ["a", "b", "similarity"]
                 )
 
-        left = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        left = needed.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        right = needed.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return staged(
             pairs.join(left, "a").join(right, "b").mapInArrow(
                 similarity, f"a {kind}, b {kind}, similarity double"
@@ -342,7 +352,8 @@ def near_duplicates(
         .withColumn("other", other)
         .withColumn("tile", F.struct(F.least("chunk", "other"), F.greatest("chunk", "other")))
         .join(nodes.select("node", "signature"), "node")
-        .join(needed.select(F.col("doc_id").alias("node"), "text"), "node")
+        .join(needed, "node")
+        .withColumn("class", F.xxhash64("class"))
         .drop("chunks")
     )
 
@@ -386,19 +397,28 @@ def near_duplicates(
     more = tiled.groupBy("bucket", "tile").applyInArrow(settle, f"a {kind}, b {kind}")
     final = components(linked.union(more))
     named = members.join(final, "node", "left").select(
-        "doc_id", F.coalesce("component", "node").alias("class_id")
-    )
-    named = named.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return (
-        docs.select("doc_id")
-        .join(named, "doc_id", "left")
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+        "own.*", F.coalesce("component", "node").alias("class")
     )
+    class_id = F.coalesce("class.doc_id", "doc_id").alias("class_id")
+    kept = F.coalesce(F.col("class") == node, F.lit(True)).alias("kept")
+    return texts.select(*key).join(named, key, "left").select("doc_id", class_id, kept, "text_hash")
+
+
+def text_hash() -> Column:
+    """Tells the texts of one id apart; a null text is one of its own."""
+    return F.xxhash64("text", F.col("text").isNull()).alias("text_hash")
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, once each; rows without an id stay as they are."""
-    keep = near_duplicates(docs, **options).filter("kept").select("doc_id").distinct()
-    named = docs.join(keep.filter("doc_id is not null"), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.filter("doc_id is null"))
+    """One document of each class; rows without an id stay as they are.
+
+    Of rows that are equal in id and text, one stays; an id with several texts keeps those
+    that are no near duplicates.
+    """
+    mark = "text_hash"
+    while mark in docs.columns:
+        mark = f"_{mark}"
+    keep = near_duplicates(docs, **options).filter("kept and doc_id is not null")
+    keep = keep.select("doc_id", F.col("text_hash").alias(mark)).distinct()
+    named = docs.withColumn(mark, text_hash()).join(keep, ["doc_id", mark], "left_semi")
+    return named.dropDuplicates(["doc_id", mark]).select(*docs.columns).union(docs.filter("doc_id is null"))
