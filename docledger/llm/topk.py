@@ -11,8 +11,9 @@ the number of stripes.
 
 Queries meet stripes in chunks of fixed size. Vectors meet vectors of their own length;
 those that are null, empty or hold null or non-finite components take no part, nor do rows
-without id. A row is no candidate for a query of its own id; repeated queries are asked
-once. Ties go to the smaller id. Scores are exact while they stay below 2^53.
+without id. A row is no candidate for a query of its own id. An id asks once, with the least
+of its usable vectors (as arrays compare) if it has several; as candidates all its rows count.
+Ties go to the smaller id. Scores are exact while they stay below 2^53.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docledger.llm.common import sent_if_small, staged, tidy
+from docledger.llm.common import SENT_BYTES, staged, tidy
 from docledger.llm.vectors import matrices
 
 BLOCK, STRIPE, CHUNK = 128, 2048, 1024
+#: Stripes that meet at one place where queries are too large to be sent to all tasks.
+STRIPES_A_PLACE = 16
 #: Stripes of the first pass, and vectors that a task orders its rows by.
 FIRST_STRIPES, PIVOTS = 4, 64
 NONE = -np.inf
@@ -125,11 +128,17 @@ def best_of(stripe: dict, query_ids, queries, floor, k: int):
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each query."""
-    vectors = vectors.select("vec_id", "embedding").filter("vec_id is not null")
-    queries = vectors.filter(is_query).dropDuplicates(["vec_id"])
+    odd = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~odd
+    vectors = vectors.select("vec_id", "embedding").filter(usable)
+    queries = vectors.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     chunks = max(1, -(-queries.count() // CHUNK))
     stripes = staged(stripes_of(vectors, scale), "stripes")
     asked = staged(chunks_of(queries, scale, chunks), "queries")
+    # Queries are sent to all tasks if their bytes are few, else to as many places as stripes are
+    # dealt to: stripes, which are the larger table, are moved once and never multiplied.
+    sent = asked.agg(F.sum(F.length("queries") + 2 * F.length("query_ids"))).first()[0] or 0
+    places = 1 if sent <= SENT_BYTES else max(1, stripes.count() // STRIPES_A_PLACE)
 
     def search(stripes: DataFrame, asked: DataFrame) -> DataFrame:
         @tidy
@@ -146,13 +155,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
                         [pa.array(c) for c in columns], ["query_id", "vec_id", "score"]
                     )
 
-        every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-        # A chunk of queries is CHUNK vectors; their number, not just their bytes, is checked.
-        return (
-            stripes.withColumn("chunk", every)
-            .join(sent_if_small(asked, CHUNK * 1024), ["chunk", "size"])
-            .mapInArrow(run, "query_id long, vec_id long, score long")
-        )
+        if places == 1:
+            met = stripes.join(F.broadcast(asked), "size")
+        else:
+            every = F.explode(F.sequence(F.lit(0), F.lit(places - 1)))
+            place = F.pmod(F.xxhash64("ids"), F.lit(places)).cast("int")
+            met = stripes.withColumn("place", place).join(asked.withColumn("place", every), ["place", "size"])
+        return met.mapInArrow(run, "query_id long, vec_id long, score long")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
