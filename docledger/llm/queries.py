@@ -13,6 +13,7 @@ from docledger.llm.langid import identify_held_out
 from docledger.llm.lm import score_held_out
 from docledger.llm.minhash import near_duplicates
 from docledger.llm.mixing import mix
+from docledger.llm.oracles import ORACLES as ORACLES  # read through this module
 from docledger.llm.sharding import shard_documents
 from docledger.llm.token_counts import count_tokens
 from docledger.llm.topk import top_k
@@ -92,4 +93,3 @@ QUERIES = {
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES: dict[str, str] = {}
