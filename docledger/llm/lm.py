@@ -2,26 +2,27 @@
 
 Tokens are the words of a text, A-Z in lower case, and one end. The model knows every word
 that the training texts have `min_count` times, the end, and all other words as one, so its
-vocabulary grows with the corpus. A context is the `places` tokens before, starts of the text
-where there are none. The vectors of a context's tokens, each turned by the matrix of its
-place, add up to the prediction; the logarithm of a word's probability is that of its share of
-the tokens, plus the product of the prediction with the word's vector, plus a bias, less the
-logarithm of a normaliser.
+vocabulary grows with the corpus, up to the 1 / `least_share` words that can make up that share
+of all tokens. A context is the `places` tokens before, starts of the text where there are
+none. The vectors of a context's tokens, each turned by the matrix of its place, add up to the
+prediction; a word's energy is the logarithm of its share of the tokens, plus the product of
+the prediction with the word's vector, plus a bias.
 
 It is trained by noise-contrastive estimation in tasks over the table of chunks: small batches
 of tokens are told from noise words drawn by their shares. Each round starts all tasks from the
 same model; what they changed is averaged per vector, weighted by how often each task met it.
-A large table's training tokens are each met once, those of a small one once a round.
+Every training token is met `passes` times, whatever the size of the table.
 
-The normaliser of a context sums over the most frequent tokens exactly and over a fixed seeded
-sample of all others, weighted to stand for them; it is an estimate where the vocabulary
-exceeds both. Other words share the probability of their class by their counts, with one added
-to each and to one word never seen.
+Probabilities are normalised exactly, by a tree (see `Tree`): the probability of a word is the
+product of those of the branches on its way, each a softmax over the branches of one node, so
+those of all words add up to one in every context, for any vocabulary, at the cost of some
+hundred energies a token. Other words share the probability of their class by their counts,
+with one added to each and to one word never seen.
 
 Texts are tokenised once, into a table of chunks with word numbers of their own. Counts of
-distinct words go from each chunk to the bucket of their hash and the totals come back, so
-what is moved grows with the distinct words of chunks, not with the tokens. Words are told
-apart by 64-bit hashes.
+distinct words go from each chunk to the bucket of their hash, and the counts of rare words
+come back; frequent ones are in the model. Chunks are scored where they lie, and only sums of
+documents and their rare words move to meet the counts. Words are told apart by 64-bit hashes.
 
 A null text is an empty one; it has its end as only token. A null id is training data.
 Repeated rows are scored alike, and all count; an empty table gives an empty result.
@@ -43,14 +44,13 @@ from docledger.llm.words import word_hashes
 #: The hash that stands for the end of a text.
 END = np.uint64(0)
 MOST_BUCKETS = 1 << 16
-#: Training tokens up to which a table is small; it is gone through in every round.
-SMALL = 1 << 22
-#: Tokens of a training batch and noise words drawn for it; tokens scored at once.
-BATCH, NOISE, SCORED_AT_ONCE = 2048, 64, 4096
-#: Tokens of the normaliser that are summed exactly, and that are sampled for all others.
-EXACT, SAMPLED = 128, 128
+#: Tokens of a training batch and noise words drawn for it; tokens scored at once, in all and
+#: against one node.
+BATCH, NOISE, SCORED_AT_ONCE, ROWS_OF_NODE = 512, 64, 1 << 16, 4096
+#: Words that are branches of the tree's root, words of a leaf, and bits of a branching.
+TOP, LEAF, BITS = 128, 128, 6
 #: Rate of the first round, and what sums of squared slopes start from.
-RATE, FIRST_SQUARES = 0.2, 100.0
+RATE, FIRST_SQUARES = 0.3, 60.0
 #: Vectors whose changes are averaged together.
 ROWS_AT_ONCE = 4096
 #: Tokens of a chunk, about; a longer document is a chunk by itself.
@@ -83,27 +83,34 @@ def tokenised(docs: DataFrame, kind: str) -> DataFrame:
                 counts = np.bincount(tokens[np.repeat(~held_out, sizes)], minlength=len(words))
                 columns = [
                     pa.array([serial]),
+                    pa.array([int(counts.sum())]),
                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                     *(
                         pa.array([c.tobytes()], pa.binary())
-                        for c in (held_out, sizes, tokens.astype("<u4"), words, counts.astype("<i8"))
+                        for c in (held_out, sizes, tokens.astype("<u4"), words, counts.astype("<u4"))
                     ),
                 ]
                 serial += 1
                 yield pa.RecordBatch.from_arrays(
-                    columns, ["chunk", "doc_ids", "held_out", "sizes", "tokens", "words", "counts"]
+                    columns, ["chunk", "trains", "doc_ids", "held_out", "sizes", "tokens", "words", "counts"]
                 )
 
     return docs.mapInArrow(
         run,
-        f"chunk long, doc_ids array<{kind}>, held_out binary, sizes binary, tokens binary, "
+        f"chunk long, trains long, doc_ids array<{kind}>, held_out binary, sizes binary, tokens binary, "
         "words binary, counts binary",
     )
 
 
+def rare_kind(min_count: int) -> str:
+    """The numbers in which counts up to `min_count` are sent back."""
+    return "<u1" if min_count < 1 << 8 else "<u2" if min_count < 1 << 16 else "<i8"
+
+
 def totals(chunks: DataFrame, buckets: int, min_count: int) -> DataFrame:
     """Rows of two kinds: for a chunk and a bucket, training counts of the chunk's words in
-    order; for a bucket (chunk null), its words and counts in all and its frequent ones."""
+    order, `min_count` for more; for a bucket (chunk null), its words and counts in all and
+    its frequent ones."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     @tidy
@@ -111,7 +118,7 @@ def totals(chunks: DataFrame, buckets: int, min_count: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words = np.frombuffer(row["words"], np.uint64)
-                counts = np.frombuffer(row["counts"], "<i8")
+                counts = np.frombuffer(row["counts"], "<u4")
                 bucket = (words >> shift).astype(np.int64)
                 heads = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = [*heads[1:].tolist(), len(words)]
@@ -128,12 +135,13 @@ def totals(chunks: DataFrame, buckets: int, min_count: int) -> DataFrame:
 
     def add_up(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
-        counts = [np.frombuffer(x, "<i8") for x in table["counts"].to_pylist()]
+        counts = [np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()]
         words, place = np.unique(np.concatenate(own), return_inverse=True)
         total = np.bincount(place, np.concatenate(counts)).astype("<i8")
         cuts = np.cumsum([len(x) for x in own])[:-1]
-        back = [total[p].tobytes() for p in np.split(place, cuts)]
-        top = np.flatnonzero((total >= max(min_count, 1)) & (words != END))
+        sent = np.minimum(total, min_count).astype(rare_kind(min_count))
+        back = [sent[p].tobytes() for p in np.split(place, cuts)]
+        top = np.flatnonzero((total >= min_count) & (words != END))
         ends = int(total[words == END].sum())
         n, bucket = table.num_rows, table["bucket"][0].as_py()
         return pa.table(
@@ -161,12 +169,112 @@ def totals(chunks: DataFrame, buckets: int, min_count: int) -> DataFrame:
     )
 
 
+def picked(energies: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's softmax at its chosen place."""
+    energies -= energies.max(axis=1, keepdims=True)
+    own = energies[np.arange(len(chosen)), chosen]
+    return own - np.log(np.exp(energies, out=energies).sum(axis=1))
+
+
+class Tree:
+    """Exact normalisation over any number of tokens.
+
+    The root's branches are the `TOP` most frequent tokens and the first groups of all others.
+    These are halved, at the median of the column that varies most, until no group has more
+    than `LEAF`; so groups hold tokens of like vectors. Each level of groups takes up to `BITS`
+    halvings, and the branches of the last level are tokens. A token's energy is its own; that
+    of a group, the logarithm of a sum over its tokens, is taken as if their energies were
+    spread normally around their mean: the log of its share, plus mean times prediction, plus
+    half the variance, by columns. That choice shapes the probabilities; that they add up to
+    one does not depend on it.
+    """
+
+    def __init__(self, share: np.ndarray, token: np.ndarray):
+        self.log_share = np.log(share).astype(np.float32)
+        order = np.argsort(-share, kind="stable")
+        self.top, self.rest = order[:TOP], np.sort(order[TOP:])
+        depth = max(0, int(np.ceil(np.log2(max(len(self.rest), 1) / LEAF))))
+        bounds = [0, len(self.rest)]
+        for _ in range(depth):
+            halved = [0]
+            for begin, end in zip(bounds, bounds[1:], strict=False):
+                half = (end - begin + 1) // 2
+                if end - begin > 1:
+                    own = self.rest[begin:end]
+                    vectors = token[own].astype(np.float32)
+                    column = vectors[:, vectors.var(axis=0).argmax()]
+                    self.rest[begin:end] = own[np.argpartition(column, half)]
+                halved += [begin + half, end]
+            bounds = halved
+        self.bounds = np.array(bounds)
+        # The leaf of a token, -1 for those of the root, and its place there or among the root's.
+        self.leaf = np.full(len(share), -1, np.int32)
+        self.place = np.zeros(len(share), np.int64)
+        self.leaf[self.rest] = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.place[self.rest] = np.arange(len(self.rest)) - np.repeat(self.bounds[:-1], np.diff(bounds))
+        self.place[self.top] = np.arange(len(self.top))
+        levels = max(1, -(-depth // BITS))
+        self.upto = np.cumsum([depth // levels + (k < depth % levels) for k in range(levels)]).tolist()
+        self.groups = []
+        if len(self.rest):
+            own = share[self.rest].astype(np.float32)[:, None]
+            vectors = token[self.rest].astype(np.float32)
+            sums = [np.add.reduceat(x.astype(np.float64), self.bounds[:-1]) for x in (own, own * vectors, own * vectors**2)]
+            for bits in self.upto:
+                whole, first, second = (s.reshape(1 << bits, -1, s.shape[1]).sum(axis=1) for s in sums)
+                mean = first / whole
+                spread = np.maximum(second / whole - mean**2, 0) / 2
+                self.groups.append((np.concatenate([mean, spread], axis=1).astype(np.float32), np.log(whole[:, 0]).astype(np.float32)))
+
+    def log_probabilities(self, guess: np.ndarray, own: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each token `own` under its prediction."""
+        found, leaf = np.zeros(len(own)), self.leaf[own]
+        depth = self.upto[-1]
+        wide = np.concatenate([guess, guess**2], axis=1)
+        plain = token[self.top].astype(np.float32)
+        branches, constant = np.concatenate([plain, np.zeros_like(plain)], axis=1), self.log_share[self.top]
+        if self.groups:
+            branches = np.concatenate([branches, self.groups[0][0]])
+            constant = np.concatenate([constant, self.groups[0][1]])
+        first = np.where(leaf < 0, self.place[own], len(self.top) + (leaf >> (depth - self.upto[0])))
+        for at in range(0, len(own), ROWS_OF_NODE):
+            part = slice(at, at + ROWS_OF_NODE)
+            found[part] = picked(wide[part] @ branches.T + constant, first[part])
+        below = np.flatnonzero(leaf >= 0)
+        if not len(below):
+            return found
+        below = below[np.argsort(leaf[below], kind="stable")]
+        leaf, wide, inner, place = leaf[below], wide[below], np.zeros(len(below)), self.place[own[below]]
+
+        def runs(node: np.ndarray):
+            heads = np.flatnonzero(np.diff(node, prepend=-1)).tolist()
+            for begin, end in zip(heads, [*heads[1:], len(node)], strict=True):
+                for at in range(begin, end, ROWS_OF_NODE):
+                    yield int(node[begin]), slice(at, min(at + ROWS_OF_NODE, end))
+
+        for k in range(1, len(self.upto)):
+            child = leaf >> (depth - self.upto[k])
+            bits = self.upto[k] - self.upto[k - 1]
+            vectors, constant = self.groups[k]
+            for node, part in runs(child >> bits):
+                here = slice(node << bits, (node + 1) << bits)
+                inner[part] += picked(wide[part] @ vectors[here].T + constant[here], child[part] - here.start)
+        wide = wide[:, : guess.shape[1]]
+        for node, part in runs(leaf):
+            members = self.rest[self.bounds[node] : self.bounds[node + 1]]
+            against = token[members].astype(np.float32).T
+            inner[part] += picked(wide[part] @ against + self.log_share[members], place[part])
+        found[below] += inner
+        return found
+
+
 @dataclass
 class Model:
     """Tokens are the words by their place in the sorted `words`, then all other words, then
     the end; contexts have the start besides. The last column of `token` is the bias."""
 
     words: np.ndarray
+    counts: np.ndarray
     share: np.ndarray
     context: np.ndarray
     token: np.ndarray
@@ -176,6 +284,7 @@ class Model:
     rare_tokens: int
     rare_words: int
     squares: dict[str, np.ndarray] = field(default_factory=dict)
+    tree: Tree | None = None
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The model's number of each word of a chunk."""
@@ -315,10 +424,11 @@ def averaged(table: pa.Table) -> pa.Table:
     )
 
 
-def train(chunks: DataFrame, model: Model, noise: float, rounds: int, seed: int) -> None:
-    """Rounds of tasks over the chunks, with the changes of all averaged into the model."""
+def train(chunks: DataFrame, model: Model, noise: float, rounds: int, passes: int, seed: int) -> None:
+    """Rounds of tasks over the chunks, with the changes of all averaged into the model; each
+    of them goes through so large a share of the documents that all make `passes` passes."""
     spark = chunks.sparkSession
-    shares = 1 if model.tokens <= SMALL else rounds
+    shares = max(1, rounds // passes)
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model.sent())
         rate = RATE * (1 - turn / rounds)
@@ -365,43 +475,25 @@ def placed(row: dict, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return own, np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
 
 
-def log_probabilities(model: Model, own: np.ndarray, before, seed: int) -> np.ndarray:
+def log_probabilities(model: Model, own: np.ndarray, before) -> np.ndarray:
     """Log10 of the normalised probability of each token after its context;
     `before` gives the contexts of a slice of the tokens."""
-    order = np.argsort(-model.share, kind="stable")
-    top, others = order[:EXACT], order[EXACT:]
-    weight = model.share[top]
-    if len(others) <= SAMPLED:
-        top, weight = order, model.share[order]
-    else:
-        upto = np.cumsum(model.share[others])
-        spread = (np.arange(SAMPLED) + np.random.default_rng(seed).random(SAMPLED)) / SAMPLED
-        drawn = others[np.searchsorted(upto, spread * upto[-1], "right").clip(max=len(others) - 1)]
-        top = np.concatenate([top, drawn])
-        weight = np.concatenate([weight, np.full(SAMPLED, upto[-1] / SAMPLED)])
-    against, weight = model.token[top].astype(np.float32).T, weight.astype(np.float32)
-    log_share = np.log(model.share)
     found = np.empty(len(own))
     for at in range(0, len(own), SCORED_AT_ONCE):
         part = slice(at, at + SCORED_AT_ONCE)
         guess = predictions(model.context[before(part)].astype(np.float32), model.turn)
-        score = (guess * model.token[own[part]]).sum(axis=1)
-        whole = guess @ against
-        whole = np.exp(np.minimum(whole, 60, out=whole), out=whole) @ weight
-        # No word is likelier than certain; the sample may leave out the word itself.
-        whole = np.maximum(whole, np.exp(score.clip(-60, 60)) * model.share[own[part]])
-        found[part] = log_share[own[part]] + score - np.log(whole)
+        found[part] = model.tree.log_probabilities(guess, own[part], model.token)
     return found / np.log(10)
 
 
 def fit(
     chunks: DataFrame,
     counted: DataFrame,
-    min_count: int,
     size: int,
     places: int,
     noise: float,
     rounds: int,
+    passes: int,
     seed: int,
 ) -> Model:
     """The model of the training documents among the tokenised ones."""
@@ -418,6 +510,7 @@ def fit(
     random = np.random.default_rng(seed)
     model = Model(
         words,
+        counts,
         share / share.sum(),
         random.normal(0, 0.1, (len(words) + 3, size)).astype(np.float32),
         random.normal(0, 0.1, (len(words) + 2, size + 1)).astype(np.float32),
@@ -432,7 +525,10 @@ def fit(
         model.squares[name] = np.full(len(getattr(model, name)), FIRST_SQUARES, np.float32)
     model.squares["turn"] = np.full(model.turn.shape, 1e-4, np.float32)
     if tokens:
-        train(chunks, model, noise, rounds, seed)
+        train(chunks, model, noise, rounds, passes, seed)
+    model.squares = {}
+    model = model.sent()
+    model.tree = Tree(model.share, model.token)
     return model
 
 
@@ -440,10 +536,12 @@ def score_texts(
     docs: DataFrame,
     held_out=None,
     min_count: int = 10,
+    least_share: float = 1e-7,
     size: int = 24,
     places: int = 3,
     noise: float = 20.0,
-    rounds: int = 3,
+    rounds: int = 2,
+    passes: int = 1,
     seed: int = 6,
 ) -> DataFrame:
     """One row per document: counts of its tokens, log10 probability under the unigram
@@ -452,47 +550,89 @@ def score_texts(
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     chunks = staged(tokenised(rows, kind), "chunks")
-    buckets = 1 << min(4 * max(chunks.count(), 1), MOST_BUCKETS).bit_length()
+    number, trains = chunks.agg(F.count("*"), F.sum("trains")).first()
+    # So at most 1 / least_share words are known, which bounds the model.
+    min_count = max(min_count, 1, int(np.ceil((trains or 0) * least_share)))
+    buckets = 1 << min(4 * max(number, 1), MOST_BUCKETS).bit_length()
     counted = staged(totals(chunks, buckets, min_count), "counts")
-    model = fit(chunks, counted, min_count, size, places, noise, rounds, seed)
-    model.squares = {}
-    shared = docs.sparkSession.sparkContext.broadcast(model.sent())
+    model = fit(chunks, counted, size, places, noise, rounds, passes, seed)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see above
+    sizes_of_rare = (model.tokens, model.distinct, model.rare_tokens, model.rare_words)
 
-    def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        model, row = shared.value, chunk.to_pylist()[0]
-        replies = sorted(
-            zip(replies["bucket"].to_pylist(), replies["counts"].to_pylist(), strict=True)
-        )
-        counts = np.frombuffer(b"".join(c for _, c in replies), "<i8")
-        own, position, sizes = placed(row, model)
-        start, every = len(model.words) + 2, np.arange(len(own))
-
-        def before(part: slice) -> np.ndarray:
-            return contexts(own, position, every[part], start, len(model.turn))
-
-        heads = np.cumsum(sizes) - sizes
-        tokens = np.frombuffer(row["tokens"], "<u4")
-        numbers = model.numbers(np.frombuffer(row["words"], np.uint64))
-        base = np.log10((counts + 1) / (model.tokens + model.distinct + 1))
-        rare = np.log10((counts + 1) / (model.rare_tokens + model.rare_words + 1))
-        rare = np.where(numbers == len(model.words), rare, 0.0)
-        logs = log_probabilities(model, own, before, seed) + rare[tokens]
+    @tidy
+    def score(batches):
+        """Sums over the known tokens of each document, and its rare words."""
+        model = shared.value
+        known, start = len(model.words), len(model.words) + 2
+        # Of the words, the class of rare ones (which meet their counts later) and the end.
+        ends = round(model.share[-1] * (model.tokens + model.distinct + 2)) - 1 if model.tokens else 0
+        counts = np.concatenate([model.counts, [0, ends]])
+        for batch in batches:
+            kind_of_ids = batch.schema.field("doc_ids").type
+            for row in batch.to_pylist():
+                own, position, sizes = placed(row, model)
+                every, doc = np.arange(len(own)), np.repeat(np.arange(len(sizes)), sizes)
+
+                def before(part: slice, own=own, position=position, every=every) -> np.ndarray:
+                    return contexts(own, position, every[part], start, len(model.turn))
+
+                rare = own == known
+                base = np.log10((counts[own] + 1) / (model.tokens + model.distinct + 1))
+                sums = lambda values, doc=doc, n=len(sizes): np.bincount(doc, values, n)
+                columns = [
+                    sums(np.where(rare, 0.0, base)),
+                    sums(log_probabilities(model, own, before)),
+                    sums(~rare & (counts[own] > 0)).astype("<i8"),
+                    sums(rare).astype("<i8"),
+                    np.frombuffer(row["tokens"], "<u4")[rare],
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["chunk"]]),
+                        pa.array([row["doc_ids"]], kind_of_ids),
+                        pa.array([row["held_out"]], pa.binary()),
+                        pa.array([row["sizes"]], pa.binary()),
+                        *(pa.array([c.tobytes()], pa.binary()) for c in columns),
+                    ],
+                    ["chunk", "doc_ids", "held_out", "sizes", "base", "score", "known", "rare_sizes", "rare"],
+                )
+
+    def complete(scored: pa.Table, replies: pa.Table) -> pa.Table:
+        """What the rare words of a chunk's documents add, by their counts."""
+        row = scored.to_pylist()[0]
+        tokens, distinct, rare_tokens, rare_words = sizes_of_rare
+        replies = sorted(zip(replies["bucket"].to_pylist(), replies["counts"].to_pylist(), strict=True))
+        counts = np.frombuffer(b"".join(c for _, c in replies), rare_kind(min_count))
+        counts = counts[np.frombuffer(row["rare"], "<u4")].astype(np.int64)
+        n_rare = np.frombuffer(row["rare_sizes"], "<i8")
+        doc = np.repeat(np.arange(len(n_rare)), n_rare)
+        base = np.bincount(doc, np.log10((counts + 1) / (tokens + distinct + 1)), len(n_rare))
+        inner = np.bincount(doc, np.log10((counts + 1) / (rare_tokens + rare_words + 1)), len(n_rare))
+        known = np.bincount(doc, counts > 0, len(n_rare)).astype(np.int64)
         return pa.table(
             {
-                "doc_id": pa.array(row["doc_ids"], chunk.schema.field("doc_ids").type.value_type),
+                "doc_id": pa.array(row["doc_ids"], scored.schema.field("doc_ids").type.value_type),
                 "held_out": np.frombuffer(row["held_out"], bool),
-                "n_tokens": sizes,
-                "n_known": np.add.reduceat((counts > 0)[tokens].astype(np.int64), heads),
-                "train_tokens": np.full(len(sizes), model.tokens, np.int64),
-                "base_score": np.add.reduceat(base[tokens], heads),
-                "score": np.add.reduceat(logs, heads),
+                "n_tokens": np.frombuffer(row["sizes"], np.int64),
+                "n_known": np.frombuffer(row["known"], "<i8") + known,
+                "train_tokens": np.full(len(n_rare), tokens, np.int64),
+                "base_score": np.frombuffer(row["base"]) + base,
+                "score": np.frombuffer(row["score"]) + inner,
             }
         )
 
-    asked = chunks.drop("counts").groupBy("chunk")
+    asked = (
+        chunks.select("chunk", "doc_ids", "held_out", "sizes", "tokens", "words")
+        .mapInArrow(
+            score,
+            f"chunk long, doc_ids array<{kind}>, held_out binary, sizes binary, base binary, "
+            "score binary, known binary, rare_sizes binary, rare binary",
+        )
+        .groupBy("chunk")
+    )
     given = counted.filter("chunk is not null").select("chunk", "bucket", "counts").groupBy("chunk")
     return asked.cogroup(given).applyInArrow(
-        score,
+        complete,
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double",
     )

@@ -17,7 +17,7 @@ from docledger.llm.bpe import Codec, encode_texts
 from docledger.llm.components import components
 from docledger.llm.embeddings import near_vectors
 from docledger.llm.langid import fit, identify, identify_held_out, recognised
-from docledger.llm.lm import Model, log_probabilities, score_held_out, score_texts
+from docledger.llm.lm import Model, Tree, log_probabilities, score_held_out, score_texts
 from docledger.llm.minhash import near_duplicates, without_near_duplicates
 from docledger.llm.mixing import mix, mixed_documents
 from docledger.llm.pretokens import Vocabulary
@@ -293,22 +293,29 @@ def test_language_model_learns_rare_words(spark):
 
 
 def test_normaliser_of_language_model():
-    """The probabilities of all tokens after a context add up to 1, sampled ones nearly."""
+    """The probabilities of all tokens after a context add up to 1 at every size; where the
+    tree is its root alone they are the softmax of the energies."""
     random = np.random.default_rng(6)
-    for known, near in ((200, 1e-4), (3000, 0.1)):
+    for known in (1, 100, 200, 3000, 70_000):
         share = 1 / np.arange(1, known + 3)
         model = Model(
             np.sort(random.integers(1, 1 << 60, known).astype(np.uint64)),
+            np.ones(known, np.int64),
             share / share.sum(),
             random.normal(0, 0.3, (known + 3, 8)).astype("f4"),
             random.normal(0, 0.3, (known + 2, 9)).astype("f4"),
             np.tile(np.eye(8, dtype="f4"), (2, 1, 1)),
             0, 0, 0, 0,
         )
+        model.tree = Tree(model.share, model.token)
         every = np.arange(known + 2)
-        for context in (known + 2, 5):
-            logs = log_probabilities(model, every, lambda part: np.full((2, len(every[part])), context), 6)
-            assert abs((10**logs).sum() - 1) < near
+        for context in (known + 2, min(5, known)):
+            logs = log_probabilities(model, every, lambda part: np.full((2, len(every[part])), context))
+            assert abs((10**logs).sum() - 1) < 1e-4
+            if known <= 100:
+                guess = np.append(2 * model.context[context], 1)
+                energies = np.log(model.share) + model.token @ guess
+                assert np.allclose(logs * math.log(10), energies - np.log(np.exp(energies).sum()), atol=1e-4)
 
 
 def with_odd_vectors(spark, vectors):
