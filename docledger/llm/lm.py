@@ -9,7 +9,7 @@ prediction; a word's energy is the logarithm of its share of the tokens, plus th
 the prediction with the word's vector, plus a bias.
 
 It is trained by noise-contrastive estimation in tasks over the table of chunks: small batches
-of tokens are told from noise words drawn by their shares. Each round starts all tasks from the
+of short runs of neighbouring tokens are told from noise words drawn by their shares. Each round starts all tasks from the
 same model; what they changed is averaged per vector, weighted by how often each task met it.
 Every training token is met `passes` times, whatever the size of the table.
 
@@ -44,11 +44,14 @@ from docledger.llm.words import word_hashes
 #: The hash that stands for the end of a text.
 END = np.uint64(0)
 MOST_BUCKETS = 1 << 16
-#: Tokens of a training batch and noise words drawn for it; tokens scored at once, in all and
-#: against one node.
-BATCH, NOISE, SCORED_AT_ONCE, ROWS_OF_NODE = 512, 64, 1 << 16, 4096
+#: Tokens of a training batch, of a run of neighbours in it, and noise words drawn for it.
+BATCH, RUN, NOISE = 768, 32, 64
+#: Tokens whose contexts are gathered at once; tokens scored at once, in all and against one node.
+GATHERED_AT_ONCE, SCORED_AT_ONCE, ROWS_OF_NODE = 1 << 15, 1 << 19, 1024
+#: Sums of float32 exponentials that have lost nothing.
+SAFE = np.float32(1e-25), np.float32(1e35)
 #: Words that are branches of the tree's root, words of a leaf, and bits of a branching.
-TOP, LEAF, BITS = 128, 128, 6
+TOP, LEAF, BITS = 64, 64, 5
 #: Rate of the first round, and what sums of squared slopes start from.
 RATE, FIRST_SQUARES = 0.3, 60.0
 #: Vectors whose changes are averaged together.
@@ -171,9 +174,16 @@ def totals(chunks: DataFrame, buckets: int, min_count: int) -> DataFrame:
 
 def picked(energies: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Logarithm of each row's softmax at its chosen place."""
-    energies -= energies.max(axis=1, keepdims=True)
     own = energies[np.arange(len(chosen)), chosen]
-    return own - np.log(np.exp(energies, out=energies).sum(axis=1))
+    with np.errstate(over="ignore"):
+        total = np.exp(energies).sum(axis=1)
+    found = own - np.log(np.clip(total, *SAFE))
+    # Energies are of modest size; rows whose sums leave the safe range are taken by their largest.
+    far = np.flatnonzero((total <= SAFE[0]) | (total >= SAFE[1]))
+    if len(far):
+        largest = energies[far].max(axis=1, keepdims=True)
+        found[far] = own[far] - largest[:, 0] - np.log(np.exp(energies[far] - largest).sum(axis=1))
+    return found
 
 
 class Tree:
@@ -224,27 +234,33 @@ class Tree:
                 whole, first, second = (s.reshape(1 << bits, -1, s.shape[1]).sum(axis=1) for s in sums)
                 mean = first / whole
                 spread = np.maximum(second / whole - mean**2, 0) / 2
-                self.groups.append((np.concatenate([mean, spread], axis=1).astype(np.float32), np.log(whole[:, 0]).astype(np.float32)))
+                mean[:, -1] += np.log(whole[:, 0])
+                self.groups.append(np.concatenate([mean, spread], axis=1).astype(np.float32))
+
+    def against(self, tokens: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Vectors whose products with predictions are the energies; the last column meets a one."""
+        vectors = token[tokens].astype(np.float32)
+        vectors[:, -1] += self.log_share[tokens]
+        return vectors.T
 
     def log_probabilities(self, guess: np.ndarray, own: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each token `own` under its prediction."""
         found, leaf = np.zeros(len(own)), self.leaf[own]
         depth = self.upto[-1]
-        wide = np.concatenate([guess, guess**2], axis=1)
-        plain = token[self.top].astype(np.float32)
-        branches, constant = np.concatenate([plain, np.zeros_like(plain)], axis=1), self.log_share[self.top]
-        if self.groups:
-            branches = np.concatenate([branches, self.groups[0][0]])
-            constant = np.concatenate([constant, self.groups[0][1]])
+        wide = lambda part: np.concatenate([guess[part], guess[part] ** 2], axis=1)
+        top, groups = self.against(self.top, token), self.groups[0].T if self.groups else None
         first = np.where(leaf < 0, self.place[own], len(self.top) + (leaf >> (depth - self.upto[0])))
         for at in range(0, len(own), ROWS_OF_NODE):
             part = slice(at, at + ROWS_OF_NODE)
-            found[part] = picked(wide[part] @ branches.T + constant, first[part])
+            energies = guess[part] @ top
+            if groups is not None:
+                energies = np.concatenate([energies, wide(part) @ groups], axis=1)
+            found[part] = picked(energies, first[part])
         below = np.flatnonzero(leaf >= 0)
         if not len(below):
             return found
         below = below[np.argsort(leaf[below], kind="stable")]
-        leaf, wide, inner, place = leaf[below], wide[below], np.zeros(len(below)), self.place[own[below]]
+        leaf, guess, inner, place = leaf[below], guess[below], np.zeros(len(below)), self.place[own[below]]
 
         def runs(node: np.ndarray):
             heads = np.flatnonzero(np.diff(node, prepend=-1)).tolist()
@@ -255,25 +271,25 @@ class Tree:
         for k in range(1, len(self.upto)):
             child = leaf >> (depth - self.upto[k])
             bits = self.upto[k] - self.upto[k - 1]
-            vectors, constant = self.groups[k]
+            vectors = self.groups[k]
             for node, part in runs(child >> bits):
                 here = slice(node << bits, (node + 1) << bits)
-                inner[part] += picked(wide[part] @ vectors[here].T + constant[here], child[part] - here.start)
-        wide = wide[:, : guess.shape[1]]
+                inner[part] += picked(wide(part) @ vectors[here].T, child[part] - here.start)
         for node, part in runs(leaf):
             members = self.rest[self.bounds[node] : self.bounds[node + 1]]
-            against = token[members].astype(np.float32).T
-            inner[part] += picked(wide[part] @ against + self.log_share[members], place[part])
+            inner[part] += picked(guess[part] @ self.against(members, token), place[part])
         found[below] += inner
         return found
 
 
 @dataclass
 class Model:
-    """Tokens are the words by their place in the sorted `words`, then all other words, then
-    the end; contexts have the start besides. The last column of `token` is the bias."""
+    """Tokens are the words in falling order of counts, then all other words, then the end;
+    contexts have the start besides. So the vectors that are met most lie together. `ranks`
+    are the tokens of the sorted `words`. The last column of `token` is the bias."""
 
     words: np.ndarray
+    ranks: np.ndarray
     counts: np.ndarray
     share: np.ndarray
     context: np.ndarray
@@ -292,7 +308,10 @@ class Model:
         at = np.searchsorted(self.words, hashes)
         fits = at < known
         fits[fits] = self.words[at[fits]] == hashes[fits]
-        return np.where(hashes == END, known + 1, np.where(fits, at, known))
+        numbers = np.full(len(hashes), known, np.int32)
+        numbers[fits] = self.ranks[at[fits]]
+        numbers[hashes == END] = known + 1
+        return numbers
 
     def sent(self) -> Model:
         """The same with vectors of half the length, as tasks get it."""
@@ -319,51 +338,73 @@ class Learner:
         self.weights = {k: getattr(model, k).astype(np.float32) for k in ("context", "token", "turn")}
         self.squares = {k: v.copy() for k, v in model.squares.items()}
         self.met = {k: np.zeros(len(self.weights[k]), np.int64) for k in ("context", "token")}
+        self.last = np.zeros(len(model.context), np.int64)
         self.upto = np.cumsum(model.share)
         self.tokens = 0
 
-    def learn(self, own: np.ndarray, position: np.ndarray, chosen: np.ndarray) -> None:
-        chosen = self.random.permutation(chosen)
-        self.tokens += len(chosen)
+    def learn(self, own: np.ndarray, sizes: np.ndarray, trains: np.ndarray) -> None:
+        """Batches of short runs of neighbours from documents that train, in random order.
+        Every document has starts ahead of it, which are contexts and never learned."""
         start, places = len(self.weights["context"]) - 1, len(self.weights["turn"])
+        own, sizes = own[np.repeat(trains, sizes)], sizes[trains]
+        self.tokens += len(own)
+        own = np.insert(own, np.repeat(np.cumsum(sizes) - sizes, places), start)
+        own = np.concatenate([own, np.full(-len(own) % RUN + places, start, own.dtype)])
+        runs = np.lib.stride_tricks.sliding_window_view(own, RUN + places)[::RUN]
+        order = self.random.permutation(len(runs))
         with np.errstate(over="ignore"):
-            for at in range(0, len(chosen), BATCH):
-                part = chosen[at : at + BATCH]
-                self.step(own[part], contexts(own, position, part, start, places))
+            for at in range(0, len(runs), BATCH // RUN):
+                self.step(runs[order[at : at + BATCH // RUN]], start)
 
-    def step(self, own: np.ndarray, before: np.ndarray) -> None:
+    def step(self, runs: np.ndarray, start: int) -> None:
         """Tell tokens from `noise` draws each, whose slopes are those of NOISE shared ones."""
         context, token, turn = self.weights["context"], self.weights["token"], self.weights["turn"]
+        places, size = turn.shape[:2]
+        after = runs[:, places:].ravel()
+        learned = np.flatnonzero(after != start)
+        if not len(learned):
+            return
+        own = after[learned]
         drawn = np.searchsorted(self.upto, self.random.random(NOISE) * self.upto[-1], "right")
         drawn = drawn.clip(max=len(token) - 1)
-        vectors, words, others = context[before], token[own], token[drawn]
-        guess = predictions(vectors, turn)
+        vectors, words, others = context[runs], token[own], token[drawn]
+        before = [vectors[:, places - k - 1 : places - k - 1 + RUN] for k in range(places)]
+        added = sum(b @ turn[k] for k, b in enumerate(before)).reshape(-1, size)
+        guess = np.concatenate([added[learned], np.ones((len(learned), 1), np.float32)], axis=1)
         odds = np.float32(np.log(self.noise))
-        real = 1 / (1 + np.exp((guess * words).sum(axis=1) - odds))
+        real = 1 / (1 + np.exp(np.einsum("ij,ij->i", guess, words) - odds))
         false = guess @ others.T
         np.exp(np.subtract(odds, false, out=false), out=false)
         false += 1
         np.divide(np.float32(-self.noise / NOISE), false, out=false)
-        to_guess = (real[:, None] * words + false @ others)[:, :-1]
-        to_turn = vectors.transpose(0, 2, 1) @ to_guess
-        to_vectors = to_guess @ turn.transpose(0, 2, 1)
+        to_guess = np.zeros((len(after), size), np.float32)
+        to_guess[learned] = (real[:, None] * words + false @ others)[:, :-1]
+        to_turn = np.stack([b.reshape(-1, size).T @ to_guess for b in before]) / np.float32(len(own))
+        to_vectors, to_runs = np.zeros_like(vectors), to_guess.reshape(len(runs), RUN, size)
+        for k in range(places):
+            to_vectors[:, places - k - 1 : places - k - 1 + RUN] += to_runs @ turn[k].T
         to_words = np.concatenate([real[:, None] * guess, false.T @ guess])
         self.climb("token", np.concatenate([own, drawn]), to_words)
-        self.climb("context", before.ravel(), to_vectors.reshape(-1, turn.shape[1]))
-        to_turn /= len(own)
+        self.climb("context", runs[:, :-1].ravel(), to_vectors[:, :-1].reshape(-1, size))
         self.squares["turn"] += to_turn**2
         turn += np.float32(0.1 * self.rate) * to_turn / np.sqrt(self.squares["turn"])
 
     def climb(self, name: str, rows: np.ndarray, slopes: np.ndarray) -> None:
         """Move each row by its slope over the root of its mean squared slopes so far."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        heads = np.flatnonzero(np.diff(rows, prepend=-1))
-        summed = np.add.reduceat(slopes[order], heads)
-        rows, n = rows[heads], np.diff(heads, append=len(rows))
+        width, every = slopes.shape[1], np.arange(len(rows))
+        # One of the places of each row stands for it.
+        self.last[rows] = every
+        last = self.last[rows]
+        ones = last == every
+        place = (np.cumsum(ones) - 1)[last]
+        rows, n = rows[ones], np.bincount(place)
+        cells = (place[:, None] * width + np.arange(width)).ravel()
+        summed = np.bincount(cells, slopes.ravel(), len(rows) * width).reshape(-1, width).astype(np.float32)
         squares = self.squares[name]
-        squares[rows] += (summed**2).mean(axis=1)
-        self.weights[name][rows] += np.float32(self.rate) * summed / np.sqrt(squares[rows])[:, None]
+        own = squares[rows] + np.einsum("ij,ij->i", summed, summed) / width
+        squares[rows] = own
+        summed *= (np.float32(self.rate) / np.sqrt(own))[:, None]
+        self.weights[name][rows] += summed
         self.met[name][rows] += n
 
     def changes(self):
@@ -442,10 +483,10 @@ def train(chunks: DataFrame, model: Model, noise: float, rounds: int, passes: in
                     learner = learner or Learner(
                         shared.value, noise, rate, np.random.default_rng((seed, turn, part))
                     )
-                    own, position, sizes = placed(row, learner.model)
+                    own, _, sizes = placed(row, learner.model)
                     trains = ~np.frombuffer(row["held_out"], bool)
                     trains &= np.arange(len(sizes)) % shares == turn % shares
-                    learner.learn(own, position, np.flatnonzero(np.repeat(trains, sizes)))
+                    learner.learn(own, sizes, trains)
             for name, bucket, data in learner.changes() if learner else ():
                 columns = [pa.array([name]), pa.array([bucket]), pa.array([part]), pa.array([data], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["name", "bucket", "part", "changes"])
@@ -469,7 +510,7 @@ def train(chunks: DataFrame, model: Model, noise: float, rounds: int, passes: in
 
 def placed(row: dict, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The model's tokens of a chunk, their places in their documents, the documents' sizes."""
-    numbers = model.numbers(np.frombuffer(row["words"], np.uint64)).astype(np.int32)
+    numbers = model.numbers(np.frombuffer(row["words"], np.uint64))
     sizes = np.frombuffer(row["sizes"], np.int64)
     own = numbers[np.frombuffer(row["tokens"], "<u4")]
     return own, np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
@@ -480,9 +521,13 @@ def log_probabilities(model: Model, own: np.ndarray, before) -> np.ndarray:
     `before` gives the contexts of a slice of the tokens."""
     found = np.empty(len(own))
     for at in range(0, len(own), SCORED_AT_ONCE):
-        part = slice(at, at + SCORED_AT_ONCE)
-        guess = predictions(model.context[before(part)].astype(np.float32), model.turn)
-        found[part] = model.tree.log_probabilities(guess, own[part], model.token)
+        end = min(at + SCORED_AT_ONCE, len(own))
+        guess = np.empty((end - at, model.token.shape[1]), np.float32)
+        for begin in range(at, end, GATHERED_AT_ONCE):
+            part = slice(begin, min(begin + GATHERED_AT_ONCE, end))
+            vectors = model.context[before(part)].astype(np.float32)
+            guess[begin - at : part.stop - at] = predictions(vectors, model.turn)
+        found[at:end] = model.tree.log_probabilities(guess, own[at:end], model.token)
     return found / np.log(10)
 
 
@@ -501,15 +546,17 @@ def fit(
     tokens, distinct, ends = (sum(found[c].to_pylist()) for c in ("tokens", "distinct", "ends"))
     words = np.frombuffer(b"".join(found["top"].to_pylist()), np.uint64)
     counts = np.frombuffer(b"".join(found["top_counts"].to_pylist()), "<i8")
-    order = np.argsort(words)
+    order = np.lexsort((words, -counts))
     words, counts = words[order], counts[order]
+    ranks = np.argsort(words).astype(np.int32)
     rare_tokens = tokens - ends - int(counts.sum())
     rare_words = max(0, distinct - len(words) - (ends > 0))
     # With one added to each count, as in `base_score`; the class has what its words have.
     share = np.concatenate([counts, [rare_tokens + rare_words, ends]]) + 1.0
     random = np.random.default_rng(seed)
     model = Model(
-        words,
+        words[ranks],
+        ranks,
         counts,
         share / share.sum(),
         random.normal(0, 0.1, (len(words) + 3, size)).astype(np.float32),

@@ -300,6 +300,7 @@ def test_normaliser_of_language_model():
         share = 1 / np.arange(1, known + 3)
         model = Model(
             np.sort(random.integers(1, 1 << 60, known).astype(np.uint64)),
+            np.arange(known, dtype=np.int32),
             np.ones(known, np.int64),
             share / share.sum(),
             random.normal(0, 0.3, (known + 3, 8)).astype("f4"),
