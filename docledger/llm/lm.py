@@ -45,13 +45,13 @@ from docledger.llm.words import word_hashes
 END = np.uint64(0)
 MOST_BUCKETS = 1 << 16
 #: Tokens of a training batch, of a run of neighbours in it, and noise words drawn for it.
-BATCH, RUN, NOISE = 768, 32, 64
-#: Tokens whose contexts are gathered at once; tokens scored at once, in all and against one node.
+BATCH, RUN, NOISE = 512, 16, 64
+#: Contexts added up at once; tokens scored at once, in all and against one node.
 GATHERED_AT_ONCE, SCORED_AT_ONCE, ROWS_OF_NODE = 1 << 15, 1 << 19, 1024
 #: Sums of float32 exponentials that have lost nothing.
 SAFE = np.float32(1e-25), np.float32(1e35)
 #: Words that are branches of the tree's root, words of a leaf, and bits of a branching.
-TOP, LEAF, BITS = 64, 64, 5
+TOP, LEAF, BITS = 128, 64, 5
 #: Rate of the first round, and what sums of squared slopes start from.
 RATE, FIRST_SQUARES = 0.3, 60.0
 #: Vectors whose changes are averaged together.
@@ -176,7 +176,7 @@ def picked(energies: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Logarithm of each row's softmax at its chosen place."""
     own = energies[np.arange(len(chosen)), chosen]
     with np.errstate(over="ignore"):
-        total = np.exp(energies).sum(axis=1)
+        total = np.exp(energies) @ np.ones(energies.shape[1], np.float32)
     found = own - np.log(np.clip(total, *SAFE))
     # Energies are of modest size; rows whose sums leave the safe range are taken by their largest.
     far = np.flatnonzero((total <= SAFE[0]) | (total >= SAFE[1]))
@@ -324,10 +324,20 @@ def contexts(tokens: np.ndarray, position: np.ndarray, at: np.ndarray, start: in
     return np.stack([np.where(inside > k, tokens[np.maximum(at - k - 1, 0)], start) for k in range(places)])
 
 
-def predictions(vectors: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """Turned vectors of each place added up, with a one for the bias."""
-    added = (vectors @ turn).sum(axis=0)
-    return np.concatenate([added, np.ones((len(added), 1), np.float32)], axis=1)
+def predictions(model: Model, before: np.ndarray) -> np.ndarray:
+    """Turned vectors of each place added up, with a one for the bias. Each distinct token of
+    the contexts is turned once."""
+    met = np.zeros(len(model.context), bool)
+    met[before] = True
+    used = np.flatnonzero(met)
+    place = np.empty(len(met), np.int32)
+    place[used] = np.arange(len(used))
+    turned = model.context[used].astype(np.float32) @ model.turn
+    found = np.ones((before.shape[1], model.token.shape[1]), np.float32)
+    for at in range(0, len(found), GATHERED_AT_ONCE):
+        rows = place[before[:, at : at + GATHERED_AT_ONCE]]
+        found[at : at + GATHERED_AT_ONCE, :-1] = sum(own[r] for own, r in zip(turned, rows, strict=True))
+    return found
 
 
 class Learner:
@@ -347,6 +357,8 @@ class Learner:
         Every document has starts ahead of it, which are contexts and never learned."""
         start, places = len(self.weights["context"]) - 1, len(self.weights["turn"])
         own, sizes = own[np.repeat(trains, sizes)], sizes[trains]
+        if not len(own):
+            return
         self.tokens += len(own)
         own = np.insert(own, np.repeat(np.cumsum(sizes) - sizes, places), start)
         own = np.concatenate([own, np.full(-len(own) % RUN + places, start, own.dtype)])
@@ -522,11 +534,7 @@ def log_probabilities(model: Model, own: np.ndarray, before) -> np.ndarray:
     found = np.empty(len(own))
     for at in range(0, len(own), SCORED_AT_ONCE):
         end = min(at + SCORED_AT_ONCE, len(own))
-        guess = np.empty((end - at, model.token.shape[1]), np.float32)
-        for begin in range(at, end, GATHERED_AT_ONCE):
-            part = slice(begin, min(begin + GATHERED_AT_ONCE, end))
-            vectors = model.context[before(part)].astype(np.float32)
-            guess[begin - at : part.stop - at] = predictions(vectors, model.turn)
+        guess = predictions(model, before(slice(at, end)))
         found[at:end] = model.tree.log_probabilities(guess, own[at:end], model.token)
     return found / np.log(10)
 
