@@ -41,10 +41,9 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scanned_file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text written out as a file of its own, then scanned and hashed."""
     folder = new_folder(spark, "texts")
-    docs = recipes.read(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.write.partitionBy("doc_id").text(folder)
+    recipes.write_texts(spark, sf_dir, folder, "doc_id")
     found = files.with_content_hash(files.scan_files(spark, folder, ".txt"))
-    doc_id = F.regexp_extract("file_path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id")
+    doc_id = recipes.written_id("doc_id").alias("doc_id")
     suffix = file_suffix(F.col("file_name")).alias("suffix")
     return found.select(doc_id, suffix, "length", "file_hash")
 

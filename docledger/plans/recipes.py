@@ -7,13 +7,21 @@ same rules sees the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.functions.text import strip
+from docledger.sources.stores import open_store, qualified
 
 ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
 
+# Folders that `write_texts` puts into one folder, at most.
+FOLDERS_IN_ONE = 1000
+
 # Currency spelling by order key modulo 11.
 CURRENCY_SPELLINGS = ("EUR", "€", "usd", "$", "£", "C$", " aud ", "Fr.", "100 CHF", "EUR", "JPY")
 
@@ -229,3 +237,40 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(
         "doc_id", "text", name.alias("name"), F.concat(F.lit("texts/"), name).alias("path")
     )
+
+
+def write_texts(spark: SparkSession, sf_dir: str, folder: str, key: str) -> None:
+    """Write every row of the documents table as a file of its own, its text and a newline,
+    named `part-*.txt`, into a folder `key=ID`.
+
+    Tasks write the files at their places. Spark's partitioned writer would move each of them
+    once more on the driver, one after the other, and list all folders there. A file appears
+    complete under a name that follows from its row, so a task run again replaces its files.
+    """
+    root = qualified(spark, folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, attempt, serial = context.partitionId(), context.taskAttemptId(), 0
+        system, place = open_store(root)
+        system.create_dir(place)
+        for batch in batches:
+            columns = (batch.column(name).to_pylist() for name in ("doc_id", "content"))
+            for doc_id, content in zip(*columns, strict=True):
+                home = f"{place}/{part}-{serial // FOLDERS_IN_ONE}/{key}={doc_id}"
+                path = f"{home}/part-{part:05}-{serial}"
+                system.create_dir(home)
+                with system.open_output_stream(f"{path}.{attempt}") as stream:
+                    stream.write(content)
+                system.move(f"{path}.{attempt}", f"{path}.txt")
+                serial += 1
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["files"])
+
+    line = F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("content")
+    rows = read(spark, sf_dir, "documents").select("doc_id", line)
+    rows.mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+
+
+def written_id(key: str) -> Column:
+    """The id of the document that `write_texts` wrote to `file_path`."""
+    return F.regexp_extract("file_path", rf"/{key}=(-?\d+)/".replace(".", r"\."), 1).try_cast("long")
