@@ -30,10 +30,9 @@ from docledger.sources.ledger import Ledger, latest_events, lookup, status_count
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text written out as a file in a folder that Spark's own sources pass over."""
     folder = new_folder(spark, "hidden-texts")
-    docs = recipes.read(spark, sf_dir, "documents").select(F.col("doc_id").alias(".id"), "text")
-    docs.write.partitionBy(".id").text(folder)
+    recipes.write_texts(spark, sf_dir, folder, ".id")
     found = files.scan_files(spark, folder, ".TXT")
-    doc_id = F.regexp_extract("file_path", r"\.id=(\d+)/", 1).cast("long").alias("doc_id")
+    doc_id = recipes.written_id(".id").alias("doc_id")
     begin = F.substring("file_name", 1, 5).alias("name_begins")
     return found.select(doc_id, begin, file_suffix(F.col("file_name")).alias("suffix"), "length")
 

@@ -12,7 +12,7 @@ from docledger.plans import recipes
 ROWS = [(1, "a"), (1, "bé"), (1, "a"), (-4, "x\ny"), (None, "no id"), (7, None), (8, "")]
 
 
-@pytest.mark.parametrize("name", ["scanned_file_hashes"])
+@pytest.mark.parametrize("name", ["scan_files", "scanned_file_hashes"])
 def test_rows_of_one_id_and_without_are_files_of_their_own(spark, folder, name):
     table = f"{folder}/documents.parquet"
     spark.createDataFrame(ROWS, "doc_id long, text string").coalesce(1).write.parquet(table)
