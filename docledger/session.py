@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The JVM never compiles methods above 8000 bytes; with this, Spark splits stages that need more.
+HUGE_METHOD, COMPILED_BYTES = "spark.sql.codegen.hugeMethodLimit", "8000"
+
 
 def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks. A cluster brings its own."""
@@ -17,8 +22,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # The JVM never compiles methods above 8000 bytes; let Spark split those stages.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config(HUGE_METHOD, COMPILED_BYTES)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -62,6 +66,21 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def split_stages(spark: SparkSession) -> Iterator[None]:
+    """Let what runs in the block be compiled, also in a session that keeps Spark's own limit.
+
+    Dates and rules make one method of more bytes than the JVM compiles: interpreted, they
+    take several times as long. Nothing but speed depends on it.
+    """
+    given = spark.conf.get(HUGE_METHOD)
+    spark.conf.set(HUGE_METHOD, COMPILED_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(HUGE_METHOD, given)
+
+
 def _file_system(spark: SparkSession, path: str):
     given = spark._jvm.org.apache.hadoop.fs.Path(path)
     return given.getFileSystem(spark._jsc.hadoopConfiguration()), given

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from docledger.functions.keys import KEY
 from docledger.operators.dedup import accepted_history, history_index
 from docledger.schemas import LEDGER, LEDGER_EVENT, LEDGER_KEY, LEDGER_KEYS
-from docledger.session import folder_times, remove
+from docledger.session import folder_times, new_folder, remove, stage
 
 # Fixed for the life of a ledger: the folder of a hash follows from it.
 BUCKETS = 64
@@ -183,13 +183,16 @@ class Ledger:
         The keys are written first: a key whose event is missing finds nothing, while an event
         whose key is missing would not be found.
         """
-        rows = events.select(*LEDGER_EVENT.names).withColumn("run_id", F.lit(run_id))
+        # Cutting by ranges reads its input twice, for keys and for events: it is made once.
+        work = new_folder(self.spark, "append")
+        rows = stage(events.select(*LEDGER_EVENT.names).withColumn("run_id", F.lit(run_id)), work)
         folder = self._current().folder
         merged = self._merged(folder)
         again = merged is not None and not merged.where(F.col("merged") == run_id).isEmpty()
         # The name of a merged folder is not used again.
         batch = f"{run_id}~{uuid.uuid4().hex}" if again else run_id
-        self._write(rows, folder, batch, events.limit(SMALL_RUN + 1).count() <= SMALL_RUN)
+        self._write(rows, folder, batch, rows.limit(SMALL_RUN + 1).count() <= SMALL_RUN)
+        remove(self.spark, work)
         self._merge(folder)
 
     def _merged(self, folder: str) -> DataFrame | None:
