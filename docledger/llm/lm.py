@@ -46,8 +46,9 @@ END = np.uint64(0)
 MOST_BUCKETS = 1 << 16
 #: Tokens of a training batch, of a run of neighbours in it, and noise words drawn for it.
 BATCH, RUN, NOISE = 512, 16, 64
-#: Contexts added up at once; tokens scored at once, in all and against one node.
-GATHERED_AT_ONCE, SCORED_AT_ONCE, ROWS_OF_NODE = 1 << 15, 1 << 19, 1024
+#: Contexts added up at once; tokens scored at once, in all, against one node and the root: what
+#: is computed between two passes stays in the processor's cache.
+GATHERED_AT_ONCE, SCORED_AT_ONCE, ROWS_OF_NODE, ROWS_OF_ROOT = 1 << 15, 1 << 19, 1024, 1024
 #: Sums of float32 exponentials that have lost nothing.
 SAFE = np.float32(1e-25), np.float32(1e35)
 #: Words that are branches of the tree's root, words of a leaf, and bits of a branching.
@@ -248,14 +249,14 @@ class Tree:
         found, leaf = np.zeros(len(own)), self.leaf[own]
         depth = self.upto[-1]
         wide = lambda part: np.concatenate([guess[part], guess[part] ** 2], axis=1)
-        top, groups = self.against(self.top, token), self.groups[0].T if self.groups else None
+        root = self.against(self.top, token)
+        if self.groups:
+            # One product for both kinds of branches: squares mean nothing to tokens.
+            root = np.concatenate([np.concatenate([root, np.zeros_like(root)]), self.groups[0].T], axis=1)
         first = np.where(leaf < 0, self.place[own], len(self.top) + (leaf >> (depth - self.upto[0])))
-        for at in range(0, len(own), ROWS_OF_NODE):
-            part = slice(at, at + ROWS_OF_NODE)
-            energies = guess[part] @ top
-            if groups is not None:
-                energies = np.concatenate([energies, wide(part) @ groups], axis=1)
-            found[part] = picked(energies, first[part])
+        for at in range(0, len(own), ROWS_OF_ROOT):
+            part = slice(at, at + ROWS_OF_ROOT)
+            found[part] = picked((wide(part) if self.groups else guess[part]) @ root, first[part])
         below = np.flatnonzero(leaf >= 0)
         if not len(below):
             return found
@@ -336,7 +337,10 @@ def predictions(model: Model, before: np.ndarray) -> np.ndarray:
     found = np.ones((before.shape[1], model.token.shape[1]), np.float32)
     for at in range(0, len(found), GATHERED_AT_ONCE):
         rows = place[before[:, at : at + GATHERED_AT_ONCE]]
-        found[at : at + GATHERED_AT_ONCE, :-1] = sum(own[r] for own, r in zip(turned, rows, strict=True))
+        added = turned[0].take(rows[0], axis=0)
+        for own, r in zip(turned[1:], rows[1:], strict=True):
+            added += own.take(r, axis=0)
+        found[at : at + GATHERED_AT_ONCE, :-1] = added
     return found
 
 
