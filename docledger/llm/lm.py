@@ -31,6 +31,7 @@ Repeated rows are scored alike, and all count; an empty table gives an empty res
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,13 @@ END = np.uint64(0)
 MOST_BUCKETS = 1 << 16
 #: Tokens of a training batch, of a run of neighbours in it, and noise words drawn for it.
 BATCH, RUN, NOISE = 512, 16, 64
-#: Contexts added up at once; tokens scored at once, in all, against one node and the root: what
-#: is computed between two passes stays in the processor's cache.
-GATHERED_AT_ONCE, SCORED_AT_ONCE, ROWS_OF_NODE, ROWS_OF_ROOT = 1 << 15, 1 << 19, 1024, 1024
+#: Contexts added up at once; tokens scored at once, in all (a usual chunk is two equal parts),
+#: below the root and against it: what is computed between two passes stays in the processor's cache.
+GATHERED_AT_ONCE, SCORED_AT_ONCE, ROWS_BELOW, ROWS_OF_ROOT = 1 << 13, 5 << 17, 2048, 512
 #: Sums of float32 exponentials that have lost nothing.
 SAFE = np.float32(1e-25), np.float32(1e35)
+#: An energy of no probability.
+NONE = np.float32(-1e30)
 #: Words that are branches of the tree's root, words of a leaf, and bits of a branching.
 TOP, LEAF, BITS = 128, 64, 5
 #: Rate of the first round, and what sums of squared slopes start from.
@@ -219,7 +222,7 @@ class Tree:
             bounds = halved
         self.bounds = np.array(bounds)
         # The leaf of a token, -1 for those of the root, and its place there or among the root's.
-        self.leaf = np.full(len(share), -1, np.int32)
+        self.leaf = np.full(len(share), -1, np.int16 if len(bounds) < 1 << 15 else np.int32)
         self.place = np.zeros(len(share), np.int64)
         self.leaf[self.rest] = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         self.place[self.rest] = np.arange(len(self.rest)) - np.repeat(self.bounds[:-1], np.diff(bounds))
@@ -241,45 +244,57 @@ class Tree:
     def against(self, tokens: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Vectors whose products with predictions are the energies; the last column meets a one."""
         vectors = token[tokens].astype(np.float32)
-        vectors[:, -1] += self.log_share[tokens]
-        return vectors.T
+        vectors[..., -1] += self.log_share[tokens]
+        return vectors
+
+    def members(self, leaves: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Vectors of the tokens of leaves. Leaves differ by one token at most; what the smaller
+        ones lack has no probability."""
+        begin, size = self.bounds[leaves], self.bounds[leaves + 1] - self.bounds[leaves]
+        places = np.arange(size.max())
+        lacking = places >= size[:, None]
+        vectors = self.against(self.rest[np.where(lacking, begin[:, None], begin[:, None] + places)], token)
+        vectors[lacking] = 0
+        vectors[lacking, -1] = NONE
+        return vectors
 
     def log_probabilities(self, guess: np.ndarray, own: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each token `own` under its prediction."""
         found, leaf = np.zeros(len(own)), self.leaf[own]
-        depth = self.upto[-1]
-        wide = lambda part: np.concatenate([guess[part], guess[part] ** 2], axis=1)
-        root = self.against(self.top, token)
+        depth, size = self.upto[-1], guess.shape[1]
+        wide = lambda rows: np.concatenate([rows, rows**2], axis=1)
+        root, first = self.against(self.top, token).T, self.place[own]
         if self.groups:
-            # One product for both kinds of branches: squares mean nothing to tokens.
-            root = np.concatenate([np.concatenate([root, np.zeros_like(root)]), self.groups[0].T], axis=1)
-        first = np.where(leaf < 0, self.place[own], len(self.top) + (leaf >> (depth - self.upto[0])))
+            first = np.where(leaf < 0, first, len(self.top) + (leaf >> (depth - self.upto[0])))
         for at in range(0, len(own), ROWS_OF_ROOT):
-            part = slice(at, at + ROWS_OF_ROOT)
-            found[part] = picked((wide(part) if self.groups else guess[part]) @ root, first[part])
+            rows = guess[at : at + ROWS_OF_ROOT]
+            energies = np.empty((len(rows), len(self.top) + (len(self.groups[0]) if self.groups else 0)), np.float32)
+            np.matmul(rows, root, out=energies[:, : len(self.top)])
+            if self.groups:
+                np.matmul(wide(rows), self.groups[0].T, out=energies[:, len(self.top) :])
+            found[at : at + ROWS_OF_ROOT] = picked(energies, first[at : at + ROWS_OF_ROOT])
+
+        def inside(rows: np.ndarray, node: np.ndarray, chosen: np.ndarray, vectors) -> np.ndarray:
+            """The same among the branches of each row's node; rows of a node lie together."""
+            heads = np.flatnonzero(np.diff(node, prepend=-1))
+            branches = vectors(node[heads])
+            energies = np.empty((len(rows), branches.shape[1]), np.float32)
+            heads = heads.tolist()
+            for begin, end, those in zip(heads, [*heads[1:], len(node)], branches, strict=True):
+                np.matmul(rows[begin:end], those.T, out=energies[begin:end])
+            return picked(energies, chosen)
+
         below = np.flatnonzero(leaf >= 0)
-        if not len(below):
-            return found
         below = below[np.argsort(leaf[below], kind="stable")]
-        leaf, guess, inner, place = leaf[below], guess[below], np.zeros(len(below)), self.place[own[below]]
-
-        def runs(node: np.ndarray):
-            heads = np.flatnonzero(np.diff(node, prepend=-1)).tolist()
-            for begin, end in zip(heads, [*heads[1:], len(node)], strict=True):
-                for at in range(begin, end, ROWS_OF_NODE):
-                    yield int(node[begin]), slice(at, min(at + ROWS_OF_NODE, end))
-
-        for k in range(1, len(self.upto)):
-            child = leaf >> (depth - self.upto[k])
-            bits = self.upto[k] - self.upto[k - 1]
-            vectors = self.groups[k]
-            for node, part in runs(child >> bits):
-                here = slice(node << bits, (node + 1) << bits)
-                inner[part] += picked(wide(part) @ vectors[here].T, child[part] - here.start)
-        for node, part in runs(leaf):
-            members = self.rest[self.bounds[node] : self.bounds[node + 1]]
-            inner[part] += picked(guess[part] @ self.against(members, token), place[part])
-        found[below] += inner
+        for at in range(0, len(below), ROWS_BELOW):
+            part = below[at : at + ROWS_BELOW]
+            rows, leaves = wide(guess[part]), leaf[part].astype(np.int64)
+            inner = inside(rows[:, :size], leaves, self.place[own[part]], lambda nodes: self.members(nodes, token))
+            for k in range(1, len(self.upto)):
+                child, bits = leaves >> (depth - self.upto[k]), self.upto[k] - self.upto[k - 1]
+                groups = self.groups[k].reshape(-1, 1 << bits, 2 * size)
+                inner += inside(rows, child >> bits, child & ((1 << bits) - 1), groups.__getitem__)
+            found[part] += inner
         return found
 
 
@@ -334,7 +349,8 @@ def predictions(model: Model, before: np.ndarray) -> np.ndarray:
     place = np.empty(len(met), np.int32)
     place[used] = np.arange(len(used))
     turned = model.context[used].astype(np.float32) @ model.turn
-    found = np.ones((before.shape[1], model.token.shape[1]), np.float32)
+    found = np.empty((before.shape[1], model.token.shape[1]), np.float32)
+    found[:, -1] = 1
     for at in range(0, len(found), GATHERED_AT_ONCE):
         rows = place[before[:, at : at + GATHERED_AT_ONCE]]
         added = turned[0].take(rows[0], axis=0)
@@ -352,7 +368,7 @@ class Learner:
         self.weights = {k: getattr(model, k).astype(np.float32) for k in ("context", "token", "turn")}
         self.squares = {k: v.copy() for k, v in model.squares.items()}
         self.met = {k: np.zeros(len(self.weights[k]), np.int64) for k in ("context", "token")}
-        self.last = np.zeros(len(model.context), np.int64)
+        self.last = np.zeros(len(model.context), np.int32)
         self.upto = np.cumsum(model.share)
         self.tokens = 0
 
@@ -367,26 +383,34 @@ class Learner:
         own = np.insert(own, np.repeat(np.cumsum(sizes) - sizes, places), start)
         own = np.concatenate([own, np.full(-len(own) % RUN + places, start, own.dtype)])
         runs = np.lib.stride_tricks.sliding_window_view(own, RUN + places)[::RUN]
-        order = self.random.permutation(len(runs))
+        runs, at_once = runs[self.random.permutation(len(runs))], BATCH // RUN
+        # The run of the last starts may have nothing to learn, and be a batch by itself.
+        if len(runs) % at_once == 1 and (runs[-1, places:] == start).all():
+            runs = runs[:-1]
+        starts = range(0, len(runs), at_once)
+        drawn = np.searchsorted(self.upto, self.random.random((len(starts), NOISE)) * self.upto[-1], "right")
+        drawn = drawn.clip(max=len(self.weights["token"]) - 1)
+        for name, rows in (("context", runs[:, :-1]), ("token", own[own != start]), ("token", drawn)):
+            self.met[name] += np.bincount(rows.ravel(), minlength=len(self.met[name]))
         with np.errstate(over="ignore"):
-            for at in range(0, len(runs), BATCH // RUN):
-                self.step(runs[order[at : at + BATCH // RUN]], start)
+            for at, others in zip(starts, drawn, strict=True):
+                self.step(runs[at : at + at_once], others, start)
 
-    def step(self, runs: np.ndarray, start: int) -> None:
+    def step(self, runs: np.ndarray, drawn: np.ndarray, start: int) -> None:
         """Tell tokens from `noise` draws each, whose slopes are those of NOISE shared ones."""
         context, token, turn = self.weights["context"], self.weights["token"], self.weights["turn"]
         places, size = turn.shape[:2]
         after = runs[:, places:].ravel()
         learned = np.flatnonzero(after != start)
-        if not len(learned):
-            return
-        own = after[learned]
-        drawn = np.searchsorted(self.upto, self.random.random(NOISE) * self.upto[-1], "right")
-        drawn = drawn.clip(max=len(token) - 1)
-        vectors, words, others = context[runs], token[own], token[drawn]
-        before = [vectors[:, places - k - 1 : places - k - 1 + RUN] for k in range(places)]
-        added = sum(b @ turn[k] for k, b in enumerate(before)).reshape(-1, size)
-        guess = np.concatenate([added[learned], np.ones((len(learned), 1), np.float32)], axis=1)
+        own = after.take(learned)
+        vectors, words, others = context.take(runs, axis=0), token.take(own, axis=0), token.take(drawn, axis=0)
+        # The turns of all places side by side, and which rows and columns belong to a place.
+        flat, side = vectors.reshape(-1, size), turn.transpose(1, 0, 2).reshape(size, -1)
+        where = [np.s_[:, places - k - 1 : places - k - 1 + RUN, k * size : (k + 1) * size] for k in range(places)]
+        turned = (flat @ side).reshape(*runs.shape, -1)
+        added = sum(turned[w] for w in where).reshape(-1, size)
+        guess = np.ones((len(learned), size + 1), np.float32)
+        guess[:, :-1] = added.take(learned, axis=0)
         odds = np.float32(np.log(self.noise))
         real = 1 / (1 + np.exp(np.einsum("ij,ij->i", guess, words) - odds))
         false = guess @ others.T
@@ -395,10 +419,12 @@ class Learner:
         np.divide(np.float32(-self.noise / NOISE), false, out=false)
         to_guess = np.zeros((len(after), size), np.float32)
         to_guess[learned] = (real[:, None] * words + false @ others)[:, :-1]
-        to_turn = np.stack([b.reshape(-1, size).T @ to_guess for b in before]) / np.float32(len(own))
-        to_vectors, to_runs = np.zeros_like(vectors), to_guess.reshape(len(runs), RUN, size)
-        for k in range(places):
-            to_vectors[:, places - k - 1 : places - k - 1 + RUN] += to_runs @ turn[k].T
+        to_runs, slopes = to_guess.reshape(len(runs), RUN, size), np.zeros_like(turned)
+        for w in where:
+            slopes[w] = to_runs
+        slopes = slopes.reshape(len(flat), -1)
+        to_turn = (flat.T @ slopes).reshape(size, places, size).transpose(1, 0, 2) / np.float32(len(own))
+        to_vectors = (slopes @ side.T).reshape(vectors.shape)
         to_words = np.concatenate([real[:, None] * guess, false.T @ guess])
         self.climb("token", np.concatenate([own, drawn]), to_words)
         self.climb("context", runs[:, :-1].ravel(), to_vectors[:, :-1].reshape(-1, size))
@@ -407,21 +433,21 @@ class Learner:
 
     def climb(self, name: str, rows: np.ndarray, slopes: np.ndarray) -> None:
         """Move each row by its slope over the root of its mean squared slopes so far."""
-        width, every = slopes.shape[1], np.arange(len(rows))
-        # One of the places of each row stands for it.
+        width, every = slopes.shape[1], np.arange(len(rows), dtype=np.int32)
+        # One of the places of each row stands for it, and the others' slopes are added to its own.
         self.last[rows] = every
-        last = self.last[rows]
+        last = self.last.take(rows)
         ones = last == every
-        place = (np.cumsum(ones) - 1)[last]
-        rows, n = rows[ones], np.bincount(place)
-        cells = (place[:, None] * width + np.arange(width)).ravel()
-        summed = np.bincount(cells, slopes.ravel(), len(rows) * width).reshape(-1, width).astype(np.float32)
-        squares = self.squares[name]
-        own = squares[rows] + np.einsum("ij,ij->i", summed, summed) / width
+        first, more = np.flatnonzero(ones), np.flatnonzero(~ones)
+        summed = slopes.take(first, axis=0)
+        cells = (np.cumsum(ones) - 1).take(last.take(more))[:, None] * width + np.arange(width)
+        np.add.at(summed.reshape(-1), cells.ravel(), slopes.take(more, axis=0).ravel())
+        rows, squares, weights = rows.take(first), self.squares[name], self.weights[name]
+        own = squares.take(rows) + np.einsum("ij,ij->i", summed, summed) / width
         squares[rows] = own
         summed *= (np.float32(self.rate) / np.sqrt(own))[:, None]
-        self.weights[name][rows] += summed
-        self.met[name][rows] += n
+        summed += weights.take(rows, axis=0)
+        weights[rows] = summed
 
     def changes(self):
         """(name, bucket, packed changes) of what was met."""
@@ -536,8 +562,8 @@ def log_probabilities(model: Model, own: np.ndarray, before) -> np.ndarray:
     """Log10 of the normalised probability of each token after its context;
     `before` gives the contexts of a slice of the tokens."""
     found = np.empty(len(own))
-    for at in range(0, len(own), SCORED_AT_ONCE):
-        end = min(at + SCORED_AT_ONCE, len(own))
+    parts = -(-len(own) // SCORED_AT_ONCE)
+    for at, end in pairwise(len(own) * k // max(parts, 1) for k in range(parts + 1)):
         guess = predictions(model, before(slice(at, end)))
         found[at:end] = model.tree.log_probabilities(guess, own[at:end], model.token)
     return found / np.log(10)

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from docledger.llm import lm
 from docledger.llm.bpe import Codec, encode_texts
 from docledger.llm.components import components
 from docledger.llm.embeddings import near_vectors
@@ -319,6 +320,106 @@ def test_normaliser_of_language_model():
                 assert np.allclose(logs * math.log(10), energies - np.log(np.exp(energies).sum()), atol=1e-4)
 
 
+def language_model(known, size=8, places=2):
+    random = np.random.default_rng(6)
+    share = 1 / np.arange(1, known + 3)
+    model = Model(
+        np.sort(random.integers(1, 1 << 60, known).astype(np.uint64)),
+        np.arange(known, dtype=np.int32),
+        np.ones(known, np.int64),
+        share / share.sum(),
+        random.normal(0, 0.3, (known + 3, size)).astype("f4"),
+        random.normal(0, 0.3, (known + 2, size + 1)).astype("f4"),
+        random.normal(0, 0.3, (places, size, size)).astype("f4"),
+        0, 0, 0, 0,
+    )
+    model.tree = Tree(model.share, model.token)
+    return model, random
+
+
+def test_language_model_scores_leaves_together(monkeypatch):
+    """Every token has the product of its branches' softmaxes, one by one; many leaves, which
+    few tokens meet each, are not handled one by one."""
+    model, random = language_model(70_000)
+    tree, own = model.tree, random.integers(0, 70_002, 20_000).astype(np.int32)
+    own[:300] = np.arange(300)
+    before = random.integers(0, 70_003, (2, len(own)))
+    calls = []
+    monkeypatch.setattr(lm, "picked", lambda e, chosen, picked=lm.picked: calls.append(1) or picked(e, chosen))
+    logs = log_probabilities(model, own, lambda part: before[:, part])
+    assert len(np.unique(tree.leaf[own])) > 1000 > 10 * len(calls)
+    softmax = lambda e, at: e[at] - np.log(np.exp(e).sum())
+    energy = lambda words, guess: np.log(model.share[words]) + model.token[words] @ guess
+    for i in [*range(0, 300, 7), *range(300, len(own), 499)]:
+        guess = np.append(sum(model.context[before[k, i]] @ model.turn[k] for k in range(2)), 1).astype("f8")
+        wide = np.append(guess, guess**2)
+        leaf, place, depth = int(tree.leaf[own[i]]), tree.place[own[i]], tree.upto[-1]
+        root = np.append(energy(tree.top, guess), tree.groups[0] @ wide)
+        node = leaf >> (depth - tree.upto[0])
+        expected = softmax(root, place if leaf < 0 else len(tree.top) + node)
+        if leaf >= 0:
+            for k in range(1, len(tree.upto)):
+                child, bits = leaf >> (depth - tree.upto[k]), tree.upto[k] - tree.upto[k - 1]
+                branches = tree.groups[k][child >> bits << bits :][: 1 << bits]
+                expected += softmax(branches @ wide, child & ((1 << bits) - 1))
+            members = tree.rest[tree.bounds[leaf] : tree.bounds[leaf + 1]]
+            assert members[place] == own[i]
+            expected += softmax(energy(members, guess), place)
+        assert abs(logs[i] * math.log(10) - expected) < 1e-3
+
+
+def test_language_model_learns_a_batch_as_by_single_tokens():
+    """One batch against sums over its tokens; noise is drawn once for a call, not a batch."""
+    model, random = language_model(300)
+    for name in ("context", "token"):
+        model.squares[name] = np.full(len(getattr(model, name)), 2.0, np.float32)
+    model.squares["turn"] = np.full(model.turn.shape, 1e-4, np.float32)
+    draws = []
+
+    class Random:
+        def permutation(self, n):
+            return np.arange(n)
+
+        def random(self, shape):
+            draws.append(np.random.default_rng(1).random(shape))
+            return draws[-1]
+
+    sizes = np.array([40, 1, 200, 90])
+    learner = lm.Learner(model, 20.0, 0.3, Random())
+    own = random.integers(0, 302, sizes.sum()).astype(np.int32)
+    learner.learn(own, sizes, np.array([True, True, False, True]))
+    trained = np.split(own, np.cumsum(sizes)[:-1])
+    texts = [[302, 302, *trained[k].tolist()] for k in (0, 1, 3)]
+    upto = np.cumsum(model.share)
+    drawn = np.searchsorted(upto, draws[0].ravel() * upto[-1], "right")
+    slopes = {k: np.zeros(getattr(model, k).shape) for k in ("context", "token", "turn")}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for text in texts:
+        for i in range(2, len(text)):
+            before = [text[i - 1 - k] for k in range(2)]
+            guess = np.append(sum(model.context[b] @ model.turn[k] for k, b in enumerate(before)), 1)
+            cases = [(text[i], 1 - sigmoid(guess @ model.token[text[i]] - math.log(20)))]
+            cases += [(w, -20 / lm.NOISE * sigmoid(guess @ model.token[w] - math.log(20))) for w in drawn]
+            to_guess = sum(x * model.token[w] for w, x in cases)[:-1]
+            for w, x in cases:
+                slopes["token"][w] += x * guess
+            for k, b in enumerate(before):
+                slopes["context"][b] += model.turn[k] @ to_guess
+                slopes["turn"][k] += np.outer(model.context[b], to_guess) / 131
+    for name in ("context", "token"):
+        squares = 2 + (slopes[name] ** 2).mean(axis=1, keepdims=True)
+        moved = learner.weights[name] - getattr(model, name)
+        # The starts are contexts, never learned.
+        assert np.allclose(moved[:302], (0.3 * slopes[name] / np.sqrt(squares))[:302], atol=1e-4)
+    moved = 0.03 * slopes["turn"] / np.sqrt(1e-4 + slopes["turn"] ** 2)
+    assert np.allclose(learner.weights["turn"] - model.turn, moved, atol=1e-4)
+    met = np.bincount([*drawn, *(w for text in texts for w in text[2:])], minlength=302)
+    assert (learner.met["token"] == met).all() and learner.tokens == 131
+    big = np.tile(np.arange(300, dtype=np.int32), 10)
+    learner.learn(big, np.array([len(big)]), np.array([True]))
+    assert [d.shape for d in draws] == [(1, lm.NOISE), (6, lm.NOISE)]
+
+
 def with_odd_vectors(spark, vectors):
     kind = vectors.schema["embedding"].dataType.simpleString()
     rows = [(9001, None, 1), (9050, [0.0] * 64, 1), (9100, [float("nan")] * 64, 1), (9002, [1.0, None], 1)]
